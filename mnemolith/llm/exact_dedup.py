@@ -45,8 +45,8 @@ def _slots(h: np.ndarray, bits: int, hashes: int) -> np.ndarray:
     return np.stack([(low + np.uint64(i) * high) & np.uint64(bits - 1) for i in range(hashes)])
 
 
-def possibly_repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_bits: int = 1 << 28, k: int = 3) -> tuple[bytes, int, int]:
-    """(packed bits of slots that were hit again, number of bits, hash functions) over the one column of ``hashes``."""
+def bloom_filter(hashes: DataFrame, rows: int, least: int, bits_per_row: int = 16, max_bits: int = 1 << 28, k: int = 3) -> tuple[bytes, int, int]:
+    """(packed bits of slots hit ``least`` times (1 or 2), number of bits, hash functions) over the one column of ``hashes``."""
     bits = 1 << max(16, min(max_bits.bit_length() - 1, (rows * bits_per_row - 1).bit_length()))
     width = bits // PIECES
 
@@ -73,7 +73,7 @@ def possibly_repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 1
                 slots = np.frombuffer(s, np.int32)
                 x[slots] = np.minimum(x[slots] + 1 + np.frombuffer(m, np.bool_), 2)
         if seen:
-            yield pa.record_batch([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x > 1, bitorder="little").tobytes() for x in seen.values()], pa.binary())], names=["piece", "bits"])
+            yield pa.record_batch([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x >= least, bitorder="little").tobytes() for x in seen.values()], pa.binary())], names=["piece", "bits"])
 
     pieces = hashes.mapInArrow(hits, "piece int, slots binary, again binary").repartition("piece").mapInArrow(merged, "piece int, bits binary")
     packed = bytearray(bits // 8)
@@ -82,14 +82,22 @@ def possibly_repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 1
     return bytes(packed), bits, k
 
 
-def _possibly_repeated(spark, packed: bytes, bits: int, k: int):
+def in_filter(packed: bytes, bits: int, k: int, h: np.ndarray) -> np.ndarray:
+    """Whether all slots of each hash are set."""
+    filled = np.frombuffer(packed, np.uint8)
+    out = np.ones(len(h), np.bool_)
+    for s in _slots(h, bits, k):
+        out &= ((filled[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).astype(np.bool_)
+    return out
+
+
+def filter_test(spark, packed: bytes, bits: int, k: int):
+    """A column function: whether a hash is in the filter, which is broadcast."""
     shared = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        filled = np.frombuffer(shared.value, np.uint8)
-        s = _slots(h.to_numpy(), bits, k)
-        return pd.Series(((filled[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0))
+        return pd.Series(in_filter(shared.value, bits, k, h.to_numpy()))
 
     return test
 
@@ -97,7 +105,7 @@ def _possibly_repeated(spark, packed: bytes, bits: int, k: int):
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bloom) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     keyed = cut(docs.select(F.col(id_col).alias("id"), F.unhex(text_digest(text_col)).alias("sha")).withColumns({"h": F.xxhash64("sha"), "row": F.monotonically_increasing_id()}))
-    test = _possibly_repeated(docs.sparkSession, *possibly_repeated_filter(keyed.select("h"), max(1, keyed.count()), **bloom))
+    test = filter_test(docs.sparkSession, *bloom_filter(keyed.select("h"), max(1, keyed.count()), 2, **bloom))
     tested = keyed.withColumn("maybe", test("h"))
     alone = tested.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     maybe = tested.where("maybe").select("id", "sha", "row")
@@ -113,7 +121,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = docs.columns
     hashed = docs.withColumn("__sha", F.unhex(text_digest(text_col))).withColumn("__h", F.xxhash64("__sha"))
     keys = cut(hashed.select(F.col(id_col).alias("__id"), "__sha", "__h"))
-    test = _possibly_repeated(docs.sparkSession, *possibly_repeated_filter(keys.select("__h"), max(1, keys.count()), **bloom))
+    test = filter_test(docs.sparkSession, *bloom_filter(keys.select("__h"), max(1, keys.count()), 2, **bloom))
     groups = keys.where(test("__h")).groupBy("__sha").agg(F.min("__id").alias("__keep"))
     tested = hashed.withColumn("__maybe", test("__h"))
     alone = tested.where(~F.col("__maybe")).select(columns)

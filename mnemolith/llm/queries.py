@@ -6,9 +6,10 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mnemolith.llm import exact_dedup, packing, simhash, token_counts
-from mnemolith.llm.common import documents
+from mnemolith.llm import exact_dedup, merkle, packing, piece_codec, quality, repeats, sharding, simhash, token_counts
+from mnemolith.llm.common import crc_mod, documents
 from mnemolith.session import shared_dir
 
 
@@ -16,11 +17,26 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each call, so that a result never depends on earlier ones."""
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), f"{shared_dir(spark)}/token_counts_{uuid.uuid4().hex}")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.scores(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle_into_shards(documents(spark, sf_dir))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(documents(spark, sf_dir))
 
@@ -29,7 +45,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op4_token_counts, op7_near_dedup, op8_exact_dedup)}
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_edits(documents(spark, sf_dir))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_piece_codec, op4_token_counts, op5_quality, op6_shards, op7_near_dedup, op8_exact_dedup, op9_merkle, op10_repeats)}
 
 ORACLE = {
     "op8_exact_dedup": r"""

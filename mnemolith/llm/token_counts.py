@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,8 @@ from mnemolith.llm.common import text_or_empty
 SCHEMA = "text_digest binary, tokenizer_digest string, n_bytes long, n_tokens long"
 #: A run of spaces with what follows it; U+2581 is the model's own mark for a space.
 PART = re.compile("[ ▁]+[^ ▁]*")
-#: Parts remembered in a task at most.
-KNOWN = 400_000
+#: Parts remembered in a worker at most.
+KNOWN = 1_000_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -41,6 +42,7 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+@lru_cache(maxsize=2)  # a worker keeps what it knows from task to task
 def piece_counter(path: str) -> Callable[[list[str]], list[int]]:
     """Counts of whole texts as the library gives them.
 
