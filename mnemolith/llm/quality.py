@@ -89,9 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, chars: int = 8192,
         x = np.array([[*sizes(t), len(t)] for t, _ in rest], float)
         y = np.array([q for _, q in rest], float)
         # a class sampled below its share counts more
-        model["weights"] = _logistic(_features(x[:, 0], x[:, 1], x[:, 2]), y)
+        weights = _logistic(_features(x[:, 0], x[:, 1], x[:, 2]), y)
         shift = np.log(model["share"] / (1 - model["share"])) - np.log(y.mean() / (1 - y.mean()))
-        model["weights"][0] += shift
+        model["weights"] = [weights[0] + shift, *weights[1:].tolist()]
     return model
 
 
