@@ -1,0 +1,104 @@
+"""Column builders over text and token arrays."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def one_line(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+
+
+def question_key(s: Column) -> Column:
+    return F.lower(one_line(s))
+
+
+def message_text(speaker: Column, role: Column, text: Column, content: Column, collapse: bool = True) -> Column:
+    """``speaker: text``; an empty string falls through to the next choice."""
+    blank = lambda c: F.nullif(c, F.lit(""))
+    body = F.coalesce(blank(text), blank(content), F.lit(""))
+    return F.concat(F.coalesce(blank(speaker), blank(role), F.lit("Turn")), F.lit(": "), one_line(body) if collapse else body)
+
+
+def capitalised(s: Column) -> Column:
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(s.substr(F.lit(2), F.length(s))))
+
+
+def turn_order(turn_id: Column) -> Column:
+    """D1:2 as struct(1, 2); (0, 0) if it has another form."""
+    number = lambda k: F.coalesce(F.regexp_extract(turn_id, r"^D(\d+):(\d+)$", k).try_cast("int"), F.lit(0))
+    return F.struct(number(1).alias("dialogue"), number(2).alias("turn"))
+
+
+def profile_of(path: Column) -> Column:
+    """What follows the first underscore of the file's stem; the stem if it has none."""
+    stem = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    return F.when(F.instr(stem, "_") > 0, F.regexp_replace(stem, "^[^_]*_", "")).otherwise(stem)
+
+
+def specific_question(profile: Column, question: Column) -> Column:
+    return F.concat(F.lit("For "), profile, F.lit(", "), F.lower(F.substring(question, 1, 1)), question.substr(F.lit(2), F.length(question)))
+
+
+def short_sha1(s: Column, n: int = 10) -> Column:
+    return F.substring(F.sha1(s), 1, n)
+
+
+def answer_body(s: Column) -> Column:
+    """What follows the first line break; empty without one."""
+    return F.when(F.instr(s, "\n") > 0, s.substr(F.instr(s, "\n") + 1, F.length(s))).otherwise(F.lit(""))
+
+
+def normalised_text(s: Column) -> Column:
+    """Lower case, blanks collapsed, without blanks and full stops at either end."""
+    return F.regexp_replace(F.lower(one_line(s)), r"^[ .]+|[ .]+$", "")
+
+
+def gold_in_body(gold: Column, s: Column) -> Column:
+    g = normalised_text(gold)
+    return (g != "") & F.contains(normalised_text(answer_body(s)), g)
+
+
+def first_line_matches(prediction: Column, answer: Column) -> Column:
+    return F.split(F.lower(F.trim(prediction)), "\n")[0] == F.lower(F.trim(answer))
+
+
+def words(s: Column) -> Column:
+    """Lower-case words; an empty array for blank text."""
+    return F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != "")
+
+
+def token_f1(a: Column, b: Column) -> Column:
+    """Multiset F1 of two token arrays: 1 if both are empty, 0 if one is."""
+    once = F.array_distinct(F.array_intersect(a, b))
+    shared = F.aggregate(once, F.lit(0), lambda s, w: s + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
+
+
+def unique_ratio(tokens: Column) -> Column:
+    return F.when(F.size(tokens) > 0, F.size(F.array_distinct(tokens)) / F.size(tokens)).otherwise(F.lit(0.0))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix of two arrays."""
+    n = F.least(F.size(a), F.size(b))
+    same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.eqNullSafe(y))
+    return F.when(n == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(same, F.lit(False)).cast("int"), F.lit(0)) - 1, n))
+
+
+def block_end(tokens: Column, eos: Column, size: int) -> Column:
+    """How many tokens an answer block keeps: to the end token with it, the block's size at most."""
+    at = F.nullif(F.array_position(tokens, eos).cast("int"), F.lit(0))
+    return F.least(F.lit(size), F.size(tokens), F.coalesce(at, F.size(tokens)))
+
+
+def heading(line: Column) -> Column:
+    """Title of a level-one heading; null for any other line."""
+    return F.nullif(F.regexp_extract(F.trim(line), r"(?s)^= ([^=].*?) =$", 1), F.lit(""))
+
+
+def token_span(offsets: Column, start: Column, end: Column) -> Column:
+    """First and one past the last token that overlap characters [start, end)."""
+    at = F.filter(F.transform(offsets, lambda o, i: F.when((o["end"] > start) & (o["start"] < end), i)), lambda i: i.isNotNull())
+    return F.struct(F.array_min(at).alias("first"), (F.array_max(at) + 1).alias("end"))

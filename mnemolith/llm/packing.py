@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from mnemolith.session import cut
 SMALL = 0.125
 #: Numbers of groups of large lengths that are tried; the plan with the fewest sequences is taken.
 GROUPS = (12, 20, 40)
+#: Parts of texts remembered in a worker at most.
+KNOWN = 1_000_000
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
@@ -195,6 +198,7 @@ def _plan(counts: dict[int, int], capacity: int, small: float, groups: int) -> l
     return runs
 
 
+@lru_cache(maxsize=2)  # a worker keeps what it knows from task to task
 def word_ids(tokenizer_path: str, end_id: int) -> Callable[[str], np.ndarray]:
     """Token ids of a text, then the end id.
 
@@ -212,7 +216,7 @@ def word_ids(tokenizer_path: str, end_id: int) -> Callable[[str], np.ndarray]:
 
     def ids(text: str) -> np.ndarray:
         parts = text.encode("utf-8", "surrogatepass").split()
-        if len(known) > 400_000:
+        if len(known) > KNOWN:
             known.clear()
         new = [p for p in dict.fromkeys(parts) if p not in known]
         if new:

@@ -6,8 +6,10 @@ each digest it lacks, and appends those. A tokenizer's digest is that of its
 file, so another version never meets stale counts.
 
 The normal form of the content is the text itself, null being empty: anything
-more could change a count. Rows of the same digest are thinned in their own
-task before any shuffle, so a hot text sends one row from each task.
+more could change a count. Two Bloom filters, of bounded size, tell which rows
+are surely neither repeated nor in the cache: those are encoded where they are,
+and only the others' texts shuffle. They are thinned in their own task before,
+so a hot text sends one row from each.
 
 Defined results: repeated rows are counted once and reported each; empty text
 has 0 tokens; an empty table gives no rows and appends nothing; other columns
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from mnemolith.llm.common import text_or_empty
+from mnemolith.llm.exact_dedup import bloom_filter, filter_test
+from mnemolith.session import cut
 
 SCHEMA = "text_digest binary, tokenizer_digest string, n_bytes long, n_tokens long"
 #: A run of spaces with what follows it; U+2581 is the model's own mark for a space.
@@ -85,7 +89,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit. Appends what the cache lacked."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     text = text_or_empty(text_col)
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("text_digest"))
+    texts = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("text_digest"))
+    keyed = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("text_digest")))
 
     def stored() -> DataFrame:
         try:
@@ -110,7 +115,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             texts = b.column(1).to_pylist()
             yield pa.record_batch([b.column(0), pa.array([version] * len(texts)), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(count(texts), pa.int64())], names=["text_digest", "tokenizer_digest", "n_bytes", "n_tokens"])
 
-    misses = keyed.join(stored().select("text_digest"), "text_digest", "left_anti").select("text_digest", "text")
-    misses.mapInArrow(once, "text_digest binary, text string").repartition("text_digest").mapInArrow(encode, SCHEMA).write.mode("append").parquet(cache_path)
-    counts = stored().groupBy("text_digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
-    return keyed.select("id", "text_digest").join(counts, "text_digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    h, cached = F.xxhash64("text_digest"), stored().select("text_digest")
+    repeated = filter_test(spark, *bloom_filter(keyed.select(h), max(1, keyed.count()), 2))(h)
+    n = cached.count()
+    found = filter_test(spark, *bloom_filter(cached.select(h), n, 1))(h) if n else F.lit(False)
+    marked = texts.withColumn("maybe", repeated | found).select("text_digest", "text", "maybe")
+    single = marked.where("not maybe").select("text_digest", "text").mapInArrow(encode, SCHEMA)
+    others = marked.where("maybe").select("text_digest", "text").mapInArrow(once, "text_digest binary, text string")
+    misses = others.join(cached, "text_digest", "left_anti") if n else others.repartition("text_digest")
+    single.unionByName(misses.select("text_digest", "text").mapInArrow(encode, SCHEMA)).write.mode("append").parquet(cache_path)
+    # written once more, so that the join shuffles both its sides and Spark can split a hot text's rows
+    counts = cut(stored().groupBy("text_digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens")))
+    return keyed.join(counts, "text_digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
