@@ -25,7 +25,7 @@ def retrieval_plans(sequences: DataFrame, *, local: int = 256, block: int = 32,
     """
     first, last = local + least * block - 1, F.col("n_tokens") - horizon - 2
     at = F.explode(points) if points is not None else F.explode(F.when(last >= first, F.sequence(F.lit(first).cast("long"), last.cast("long"), F.lit(interval).cast("long"))))
-    plans = sequences.select("sequence_id", "n_tokens", at.cast("long").alias("retrieval_position"))
+    plans = sequences.select("sequence_id", "n_tokens", at.alias("retrieval_position")).withColumn("retrieval_position", F.col("retrieval_position").cast("long"))
     start = F.greatest(F.lit(0).cast("long"), F.col("retrieval_position") + 1 - local)
     n = F.floor(start / block).cast("int")
     return plans.select(

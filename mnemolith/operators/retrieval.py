@@ -91,7 +91,7 @@ def bootstrap(rows: DataFrame, by: list[str], value: str, iterations: int = 2000
                 # the draw depends on the row's own hash, not on where it is
                 total, count = np.zeros(iterations), np.zeros(iterations)
                 for h, v in zip(g["__h"].to_numpy(), g[value].to_numpy(float)):
-                    n = np.random.default_rng([h & 0xFFFFFFFFFFFFFFFF, seed]).poisson(1.0, iterations)
+                    n = np.random.default_rng([int(h) & 0xFFFFFFFFFFFFFFFF, seed]).poisson(1.0, iterations)
                     total += n * v
                     count += n
                 yield pd.DataFrame({**dict(zip(by, key)), "total": [total], "count": [count]})

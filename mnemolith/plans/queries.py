@@ -161,8 +161,8 @@ def long_conversations(spark, sf_dir):
     return prepare.long_conversations(t.table(spark, sf_dir, "conversations"), "train", 2).select("conv_id", "n_messages", "text")
 
 
-@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS m FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, m, len(m) AS n, len(m) // 2 AS at FROM c),
-  w AS (SELECT *, greatest(0, least(at - 1, n - 3)) AS s FROM e) SELECT conv_id, array_to_string(m[s + 1 : s + 3], chr(10)) AS context FROM w""")
+@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS m FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, m, len(m) AS n, len(m) // 2 AS mid FROM c),
+  w AS (SELECT *, greatest(0, least(mid - 1, n - 3)) AS s FROM e) SELECT conv_id, array_to_string(m[s + 1 : s + 3], chr(10)) AS context FROM w""")
 def conversation_context_window(spark, sf_dir):
     """Three messages around the middle one, which is taken for the evidence."""
     m = t.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("m"))
@@ -335,8 +335,8 @@ def sweep_summary(spark, sf_dir):
     return rounded(retrieval.mean_summary(retrieval.sweep(t.candidates(spark, sf_dir), [1, 2, 4]), ["policy", "budget"], "covered"))
 
 
-@query(SWEEP + """, d AS (SELECT a.budget, b.policy AS baseline, round(a.covered - b.covered, 9) AS d FROM sw a JOIN sw b ON a.sample_id = b.sample_id AND a.budget = b.budget AND a.policy = 'learned' AND b.policy <> 'learned')
-  SELECT budget, baseline, count(*) AS n, round(avg(d), 6) AS mean_difference, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0 END), 6) AS tie_rate FROM d GROUP BY ALL""")
+@query(SWEEP + """, pd AS (SELECT a.budget, b.policy AS baseline, round(a.covered - b.covered, 9) AS d FROM sw a JOIN sw b ON a.sample_id = b.sample_id AND a.budget = b.budget AND a.policy = 'learned' AND b.policy <> 'learned')
+  SELECT budget, baseline, count(*) AS n, round(avg(d), 6) AS mean_difference, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0 END), 6) AS win_rate, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0 END), 6) AS tie_rate FROM pd GROUP BY ALL""")
 def paired_comparison(spark, sf_dir):
     s = retrieval.sweep(t.candidates(spark, sf_dir), [1, 2, 4]).withColumn("covered", F.round("covered", 9))
     wide = retrieval.paired(s)
@@ -378,7 +378,7 @@ def asof_visible_current(spark, sf_dir):
     return temporal.visible(t.records(spark, sf_dir), "current").select("record_id", "slot")
 
 
-@query(REC + ", m AS (SELECT floor(max(write_time) / 2) AS at FROM w) SELECT record_id, slot FROM w, m WHERE write_time <= at AND (superseded_by IS NULL OR superseded_by > at)")
+@query(REC + ", m AS (SELECT floor(max(write_time) / 2) AS till FROM w) SELECT record_id, slot FROM w, m WHERE write_time <= till AND (superseded_by IS NULL OR superseded_by > till)")
 def asof_visible_historical(spark, sf_dir):
     r = t.records(spark, sf_dir)
     at = r.agg(F.floor(F.max("write_time") / 2)).first()[0]
@@ -404,7 +404,7 @@ def slot_centroids(spark, sf_dir):
     return rounded(temporal.centroids(t.records(spark, sf_dir), ["slot"]))
 
 
-@query(f"WITH {V} SELECT (SELECT sum(160 + 8 * 3 * len(x)) FROM v)::BIGINT AS record_bytes, (SELECT sum(b) FROM (SELECT 192 + 8 * (64 + count(*)) AS b FROM v GROUP BY label))::BIGINT AS slot_bytes, record_bytes + slot_bytes AS bytes")
+@query(f"WITH {V}, r AS (SELECT sum(160 + 8 * 3 * len(x))::BIGINT AS record_bytes FROM v), s AS (SELECT sum(b)::BIGINT AS slot_bytes FROM (SELECT 192 + 8 * (64 + count(*)) AS b FROM v GROUP BY label)) SELECT record_bytes, slot_bytes, record_bytes + slot_bytes AS bytes FROM r, s")
 def memory_bytes(spark, sf_dir):
     r = t.records(spark, sf_dir)
     return temporal.memory_bytes(r, r.groupBy("slot").agg(F.count("*").alias("records")).withColumn("dims", F.lit(64)))
@@ -496,7 +496,7 @@ def sequential_windows(spark, sf_dir):
     """Four contiguous streams in windows of 512 tokens, each of which has a next one."""
     c = _corpus(spark, sf_dir)
     total = int(c.agg(F.sum(F.size("w") + 1)).first()[0])
-    tokens = c.select(F.explode(F.sequence(F.col("offset"), F.col("offset") + F.size("w"))).cast("long").alias("position"))
+    tokens = c.select(F.explode(F.sequence(F.col("offset").cast("long"), (F.col("offset") + F.size("w")).cast("long"))).alias("position"))
     b = lm_eval.batchify(tokens, total, 4).where(F.col("pos") < total // 4 - 1)
     return b.groupBy("stream", F.floor(F.col("pos") / 512).cast("int").alias("window_index")).agg(F.count("*").alias("tokens"))
 
