@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolith.llm import exact_dedup, merkle, packing, piece_codec, quality, repeats, sharding, simhash, token_counts
+from mnemolith.llm import exact_dedup, merkle, mixing_lm, packing, piece_codec, quality, repeats, sharding, simhash, token_counts
 from mnemolith.llm.common import crc_mod, documents
 from mnemolith.session import shared_dir
 
@@ -21,6 +21,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.lm_scores(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each call, so that a result never depends on earlier ones."""
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), f"{shared_dir(spark)}/token_counts_{uuid.uuid4().hex}")
@@ -53,7 +57,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_piece_codec, op4_token_counts, op5_quality, op6_shards, op7_near_dedup, op8_exact_dedup, op9_merkle, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_piece_codec, op3_mixing_lm, op4_token_counts, op5_quality, op6_shards, op7_near_dedup, op8_exact_dedup, op9_merkle, op10_repeats)}
 
 ORACLE = {
     "op8_exact_dedup": r"""

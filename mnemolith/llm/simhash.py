@@ -13,6 +13,13 @@ paired: there the chain must hold to all but its last segment, which is an
 equi-join again, of the exact chain with the chain or one of its one-bit
 variants. So no bucket makes all its pairs and no link is lost.
 
+``near_groups`` decides by the similarity of shingle sets (five words, 0.8).
+Whole-document fingerprints of such pairs differ in up to 17 of 64 bits, where
+no chain has a prefix without differences; so each document also gets
+fingerprints of ``samples`` hash-chosen samples of its shingles, which are
+equal if the samples are. Either kind of link is confirmed by the exact
+similarity of the two shingle sets.
+
 Defined results: a null text counts as empty; no words give fingerprint zero,
 which links like any other; fewer words than a shingle make one shingle of all
 of them; repeated rows give repeated rows; a null id takes part but is never a
@@ -32,6 +39,7 @@ from pyspark.sql import functions as F
 
 from mnemolith.llm.common import text_or_empty
 from mnemolith.llm.components import connected_components
+from mnemolith.llm.exact_dedup import bloom_filter, filter_test
 from mnemolith.session import cut
 
 BITS = 64
@@ -52,13 +60,28 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int = 3) -> int:
     """64 bits, each 1 if it is set in over half the shingle hashes."""
-    h = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
     total = np.zeros(BITS, np.int64)
     for k in range(0, len(h), 8192):
         total += np.unpackbits(h[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
     return int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def sample_prints(h: np.ndarray, samples: int, size: int) -> np.ndarray:
+    """SimHash of the ``size`` shingles that come first in each of ``samples`` seeded orders of the distinct hashes ``h``."""
+    out = np.zeros(samples, np.uint64)
+    for i in range(samples):
+        key = (h ^ np.uint64((i * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+        first = h[np.argpartition(key, size - 1)[:size]] if len(h) > size else h
+        total = np.unpackbits(first.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        out[i] = np.packbits(total * 2 > len(first), bitorder="little").view("<u8")[0]
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) with the fingerprint as a signed long."""
 
@@ -120,3 +143,92 @@ def near_components(docs: DataFrame, words: int = 3, max_distance: int = 2, segm
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __row: the id if ids are there and distinct, else a hash of id and text (rows equal in both are one)."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    plain = ids.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).count() == 0
+    return docs.withColumn("__row", F.col(id_col).cast("long") if plain else F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_or_empty(text_col)))
+
+
+def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 2, segments: int = 8, crowd: int = 64, samples: int = 16, sample_size: int = 4) -> DataFrame:
+    """Links (u, v), u > v, between rows (row, text) whose sets of shingles are ``similarity`` or more alike.
+
+    Candidates meet by their class (equal fingerprints of the same sample):
+    each row with the class's first and last, so a class of any size makes two
+    links a row. What that leaves unlinked meets once more among itself.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = []
+            for t in b.column(1).to_pylist():
+                h = shingle_hashes(t, words)
+                every.append(np.concatenate([np.array([majority(h)], np.uint64), sample_prints(np.unique(h), samples, sample_size)]) if len(h) else np.zeros(2, np.uint64))
+            lengths = np.fromiter(map(len, every), np.int64, len(every))
+            kinds, values = (np.concatenate(x) if every else np.empty(0, k) for x, k in (([np.arange(n) for n in lengths], np.int64), (every, np.uint64)))
+            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(kinds.astype(np.int32)), pa.array(values.view(np.int64))], names=["row", "kind", "fp"])
+
+    made = cut(rows.select("row", "text").mapInArrow(prints, "row long, kind int, fp long"))
+    firsts = cut(made.where("kind = 0").groupBy("fp").agg(F.min("row").alias("row")))
+    linked = links(firsts.select("fp"), max_distance, segments, crowd)
+    near = linked.join(firsts.select(F.col("fp").alias("a"), F.col("row").alias("u")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("row").alias("v")), "b").select("u", "v")
+    sampled = made.where("kind > 0")
+
+    def met(members: DataFrame) -> DataFrame:
+        ends = members.groupBy("kind", "fp").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
+        return members.join(ends, ["kind", "fp"]).select(F.col("row").alias("u"), F.explode(F.array("first", "last")).alias("v")).where("u <> v")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(h, pa.binary())], names=["row", "hashes"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                small, large = sorted((len(x), len(y)))
+                if small >= similarity * large:
+                    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if both >= similarity * (len(p) + len(q) - both):
+                        keep.append(i)
+            yield b.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        named = cut(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
+        test = filter_test(rows.sparkSession, *bloom_filter(named.select(F.xxhash64("row")), max(1, named.count()), 1))
+        hashes = cut(rows.select("row", "text").where(test(F.xxhash64("row"))).mapInArrow(sets, "row long, hashes binary").dropDuplicates(["row"]))
+        both = pairs.join(hashes.select(F.col("row").alias("v"), F.col("hashes").alias("hv")), "v").join(hashes.select(F.col("row").alias("u"), F.col("hashes").alias("hu")), "u")
+        return cut(both.select("u", "v", "hu", "hv").mapInArrow(alike, "u long, v long"))
+
+    found = confirmed(met(sampled).unionByName(near))
+    done = found.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    return found.unionByName(confirmed(met(sampled.join(done, "row", "left_anti"))))
+
+
+def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the one with the smallest id; columns as they are.
+
+    Rows without words are one group (their sets are equal); rows equal in id and text are copies.
+    """
+    columns, spark = docs.columns, docs.sparkSession
+    rows = keyed(docs, id_col, text_col)
+    roots = cut(connected_components(near_links(rows.select(F.col("__row").alias("row"), text_or_empty(text_col).alias("text")), words, similarity, **how), "u", "v"))
+    members = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    test = filter_test(spark, *bloom_filter(members.select(F.xxhash64("node")), max(1, members.count()), 1))
+    tested = rows.withColumn("__maybe", test(F.xxhash64("__row")))
+    alone, maybe = tested.where("not __maybe"), tested.where("__maybe")
+    # by id: a component's row with the smallest id stays (a null id last)
+    ids = maybe.select("__row", F.col(id_col).alias("__id")).join(members, F.col("__row") == F.col("node"))
+    kept = ids.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), "__id", "__row")).alias("m")).select(F.col("m.__row").alias("node"))
+    gone = cut(members.select("node").join(kept, "node", "left_anti"))
+    stay = maybe.join(gone, maybe["__row"] == gone["node"], "left_anti")
+    out = alone.unionByName(stay)
+    twice = rows.groupBy("__row").count().where("count > 1").select("__row")
+    if twice.limit(1).count():
+        out = out.join(twice, "__row", "left_anti").unionByName(out.join(twice, "__row", "left_semi").dropDuplicates(["__row"]).select("__row", *[c for c in out.columns if c != "__row"]))
+    return out.select([F.col(f"`{c}`") for c in columns])
