@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +80,15 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
     return out
 
 
+def pack(text: str) -> bytes:
+    """Compressed, for the way between tasks."""
+    return zstandard.compress(text.encode("utf-8", "surrogatepass"), 1)
+
+
+def unpack(raw: bytes) -> str:
+    return zstandard.decompress(raw).decode("utf-8", "surrogatepass")
+
+
 def likeness(a: str, b: str) -> float:
     if a[:16] == b[:16]:
         return 1.0
@@ -118,9 +128,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            yield pa.record_batch([b.column(0), pa.array([t[:n] for t, n in zip(texts, b.column(1).to_pylist())], pa.string()), pa.array([fingerprint(t) for t in texts], pa.string()), *([b.column(2)] if many else [])], names=["to", "head", "print", *(["whole"] if many else [])])
+            yield pa.record_batch([b.column(0), pa.array([pack(t[:n]) for t, n in zip(texts, b.column(1).to_pylist())], pa.binary()), pa.array([pack(fingerprint(t)) for t in texts], pa.binary()), *([b.column(2)] if many else [])], names=["to", "head", "print", *(["whole"] if many else [])])
 
-    sent = rows.join(wanted, "id").select("to", "need", "text").mapInArrow(heads, "to long, head string, print string" + ", whole string" * many)
+    sent = rows.join(wanted, "id").select("to", "need", "text").mapInArrow(heads, "to long, head binary, print binary" + ", whole string" * many)
     if many:
         sent = sent.groupBy("to").agg(F.min(F.struct("whole", "head", "print")).alias("s")).select("to", "s.head", "s.print")
 
@@ -129,7 +139,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out = []
             for i, t, head, other in zip(*(c.to_pylist() for c in b.columns)):
                 half = len(t) // 2
-                edited = t[: len(t) - half] + head[:half]
+                edited, other = t[: len(t) - half] + unpack(head)[:half], unpack(other)
                 own, new = fingerprint(t), fingerprint(edited)
                 out.append((None if i == NO_ID else i, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, new, likeness(own, new), likeness(own, other)))
             if out:
