@@ -126,16 +126,22 @@ def covering_starts(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, id_
                 yield _lists("windows", keys, values, ["hashes", "starts"], [pa.int64(), pa.int32()])
 
     found = rows.mapInArrow(windows, "doc long, tag long, hashes array<long>, starts array<int>")
-    each = found.select("doc", "tag", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("doc", "tag", F.col("w.hashes").alias("h"), F.col("w.starts").alias("start"))
+    # the tag moves only where ids are shared
+    key = ["doc", "tag"] if _shared_ids(docs, id_col) else ["doc"]
+    each = found.select(*key, F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(*key, F.col("w.hashes").alias("h"), F.col("w.starts").alias("start"))
     firsts = found.select("doc", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
-    return each.join(firsts, "h").where("doc > first").groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"))
+    starts = each.join(firsts, "h").where("doc > first").groupBy(*key).agg(F.collect_list("start").alias("starts"))
+    return starts.select("doc", F.col("tag") if "tag" in key else F.lit(0).cast("long").alias("tag"), "starts")
+
+
+def _shared_ids(docs: DataFrame, id_col: str) -> bool:
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"))
+    return ids.groupBy("doc").count().where("count > 1").limit(1).count() > 0
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with doc (the id), tag (tells rows apart that share an id) and text without nulls."""
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"))
-    shared_ids = ids.groupBy("doc").count().where("count > 1").limit(1).count() > 0
-    text = text_or_empty(text_col)
+    shared_ids, text = _shared_ids(docs, id_col), text_or_empty(text_col)
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), (F.xxhash64(text) if shared_ids else F.lit(0).cast("long")).alias("tag"), text.alias("text"), F.struct(*docs.columns).alias("row"))
 
 
