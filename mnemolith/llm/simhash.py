@@ -155,30 +155,35 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 2, segments: int = 8, crowd: int = 64, samples: int = 16, sample_size: int = 4) -> DataFrame:
     """Links (u, v), u > v, between rows (row, text) whose sets of shingles are ``similarity`` or more alike.
 
-    Candidates meet by their class (equal fingerprints of the same sample):
-    each row with the class's first and last, so a class of any size makes two
-    links a row. What that leaves unlinked meets once more among itself.
+    They may leave out links inside a component, never one between two.
+    Candidates meet by their class (equal fingerprints of the whole text or of
+    the same sample). Rounds compare leaders of each class with all its other
+    members; two members are left uncompared only once both are of one
+    component. The leaders are the member with the most links so far (the
+    middle of a group links it at once) and a hash-chosen share, four times as
+    many each round, of those outside that member's component.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = []
+            every, sizes = [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
-                every.append(np.concatenate([np.array([majority(h)], np.uint64), sample_prints(np.unique(h), samples, sample_size)]) if len(h) else np.zeros(2, np.uint64))
+                distinct = np.unique(h)
+                every.append(np.concatenate([np.array([majority(h)], np.uint64), sample_prints(distinct, samples, sample_size)]) if len(h) else np.zeros(2, np.uint64))
+                sizes.append(len(distinct))
             lengths = np.fromiter(map(len, every), np.int64, len(every))
             kinds, values = (np.concatenate(x) if every else np.empty(0, k) for x, k in (([np.arange(n) for n in lengths], np.int64), (every, np.uint64)))
-            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(kinds.astype(np.int32)), pa.array(values.view(np.int64))], names=["row", "kind", "fp"])
+            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(kinds.astype(np.int32)), pa.array(values.view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["row", "kind", "fp", "size"])
 
-    made = cut(rows.select("row", "text").mapInArrow(prints, "row long, kind int, fp long"))
+    made = cut(rows.select("row", "text").mapInArrow(prints, "row long, kind int, fp long, size int"))
     firsts = cut(made.where("kind = 0").groupBy("fp").agg(F.min("row").alias("row")))
     linked = links(firsts.select("fp"), max_distance, segments, crowd)
     near = linked.join(firsts.select(F.col("fp").alias("a"), F.col("row").alias("u")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("row").alias("v")), "b").select("u", "v")
-    sampled = made.where("kind > 0")
-
-    def met(members: DataFrame) -> DataFrame:
-        ends = members.groupBy("kind", "fp").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
-        return members.join(ends, ["kind", "fp"]).select(F.col("row").alias("u"), F.explode(F.array("first", "last")).alias("v")).where("u <> v")
+    # classes of the same rows are one class
+    mark = [F.count("*").alias("n"), F.min("row").alias("leader"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
+    classes = made.groupBy("kind", "fp").agg(*mark).where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min(F.struct("kind", "fp")).alias("c")).select("c.kind", "c.fp", "leader")
+    members = cut(made.join(classes, ["kind", "fp"]).select(F.xxhash64("kind", "fp").alias("class"), "row", "size", "leader").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,17 +202,37 @@ def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
                         keep.append(i)
             yield b.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    def confirmed(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that aren't among the ``known`` ones, and those of them that are alike."""
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        pairs = cut(pairs.join(known, ["u", "v"], "left_anti") if known is not None else pairs)
         named = cut(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
         test = filter_test(rows.sparkSession, *bloom_filter(named.select(F.xxhash64("row")), max(1, named.count()), 1))
         hashes = cut(rows.select("row", "text").where(test(F.xxhash64("row"))).mapInArrow(sets, "row long, hashes binary").dropDuplicates(["row"]))
         both = pairs.join(hashes.select(F.col("row").alias("v"), F.col("hashes").alias("hv")), "v").join(hashes.select(F.col("row").alias("u"), F.col("hashes").alias("hu")), "u")
-        return cut(both.select("u", "v", "hu", "hv").mapInArrow(alike, "u long, v long"))
-
-    found = confirmed(met(sampled).unionByName(near))
-    done = found.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    return found.unionByName(confirmed(met(sampled.join(done, "row", "left_anti"))))
+        return pairs, cut(both.select("u", "v", "hu", "hv").mapInArrow(alike, "u long, v long"))
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        return pairs.where((F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size")) & (F.col("row") != F.col("lead"))).select(F.col("row").alias("u"), F.col("lead").alias("v"))
+
+    ends = members.where("row = leader").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"))
+    compared, found = confirmed(sized(members.join(ends, "class")).unionByName(near))
+    left, share = cut(members.where("row <> leader").drop("leader")), 4
+    while True:
+        roots = connected_components(found, "u", "v").select(F.col("node").alias("row"), "root")
+        degrees = found.select(F.explode(F.array("u", "v")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
+        state = left.join(roots, "row", "left").join(degrees, "row", "left").select("class", "row", "size", F.coalesce("root", "row").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        state = cut(state)
+        hub = F.max(F.struct("degree", F.xxhash64("row").alias("h"), "row", "root")).alias("hub")
+        opened = state.groupBy("class").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low <> high").select("class", "n", F.col("hub.row").alias("hub"), F.col("hub.root").alias("hub_root"))
+        chosen = (F.col("row") == F.col("hub")) | ((F.col("root") != F.col("hub_root")) & (F.pmod(F.xxhash64("row"), F.col("n")) < share))
+        state = cut(state.join(opened, "class").select("class", "row", "size", "root", chosen.alias("chosen")))
+        if not state.limit(1).count():
+            return found
+        leaders = state.where("chosen").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"), F.col("root").alias("lead_root"))
+        seen, more = confirmed(sized(state.join(leaders, "class").where("root <> lead_root")), compared)
+        compared, found = compared.unionByName(seen), found.unionByName(more)
+        left, share = state.where("not chosen").select("class", "row", "size"), share * 4
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -68,6 +68,22 @@ def test_large_group_of_near_copies(spark):
     assert [r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_group_around_one_text(spark):
+    rng = random.Random(7)
+    base = [f"x{i}" for i in range(1000)]
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for i in rng.sample(range(1000), 20):
+            copy[i] = f"y{k}_{i}"
+        texts.append(" ".join(copy))
+    # the copies are like the text in the middle only
+    hub = " ".join(base)
+    assert all(alike(hub, t) for t in texts) and not any(alike(texts[0], t) for t in texts[1:])
+    rows = list(enumerate([*texts[:200], hub, *texts[200:]]))
+    assert [r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
 def test_odd_rows(spark, odd, empty):
     rows = simhash.drop_near(odd).collect()
     assert simhash.drop_near(empty).count() == 0
