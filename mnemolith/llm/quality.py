@@ -8,8 +8,11 @@ dictionary, turns the two sizes per byte (difference, size, and their squares)
 into a score from 0 to 1.
 
 The fit takes a bounded sample of the labelled training rows: ``rows`` of each
-label, in the order of a hash of their ids, and ``chars`` characters of each.
-Scoring reads every whole text; it takes the text alone.
+label, in the order of a hash of their ids. Their texts are read whole: the
+dictionaries are built of ``blocks`` blocks of each label at most, chosen by
+hash from all places of the texts, and the curve is fitted to sizes of whole
+texts, as scores are made. Scoring reads every whole text; it takes the text
+alone.
 
 Defined results: a null text counts as empty; an empty text gets the share of
 good rows in the calibration sample; repeated rows get equal scores; an empty
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemolith.llm.common import crc_mod, text_or_empty
+from mnemolith.session import cut
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 65536
 
@@ -63,31 +67,52 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, chars: int = 8192, parts: int = 4, held: int = 2) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, blocks: int = 8192, parts: int = 4, held: int = 2) -> dict:
     """The model: dictionaries, weights, and the share of good rows. Rows whose crc32(id) modulo ``parts`` is ``held`` aren't read."""
+    spark = docs.sparkSession
     known = labels.where("quality in (0, 1)").where(crc_mod("doc_id", parts) != held).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64("doc_id")
     sample = known.where("quality = 0").orderBy(order, "doc_id").limit(rows).unionByName(known.where("quality = 1").orderBy(order, "doc_id").limit(rows))
     share = known.agg(F.avg("quality")).first()[0]
-    # the sample is 2 * rows ids and a bounded part of their texts
-    got = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.substring(text_or_empty(), 1, chars)).alias("text")).collect()
-    got = sorted(got, key=lambda r: r.doc_id)
+    texts = cut(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(text_or_empty()).alias("text")))
     model = {"share": 0.5 if share is None else float(share), "dictionaries": None, "weights": None}
-    built: list[list[bytes]] = [[], []]
-    rest = []
     seen = [0, 0]
-    for r in got:
-        raw = r.text.encode("utf-8", "surrogatepass")
+    role: list[tuple[int, bool]] = []
+    for r in sorted(texts.select("doc_id", "quality").collect(), key=lambda r: r.doc_id):  # 2 * rows ids
         seen[r.quality] += 1
-        if seen[r.quality] % 3:
-            built[r.quality].append(raw)
-        elif raw:
-            rest.append((raw, r.quality))
-    if all(sum(map(len, b)) >= 8192 and len(b) >= 10 for b in built) and {q for _, q in rest} == {0, 1}:
-        model["dictionaries"] = [zstandard.train_dictionary(DICTIONARY, [x[k : k + BLOCK] for x in b for k in range(0, len(x), BLOCK)]).as_bytes() for b in built]
-        sizes = sizes_of(model["dictionaries"])
-        x = np.array([[*sizes(t), len(t)] for t, _ in rest], float)
-        y = np.array([q for _, q in rest], float)
+        role.append((r.doc_id, seen[r.quality] % 3 != 0))
+    dealt = texts.join(F.broadcast(spark.createDataFrame(role, "doc_id long, builds boolean")), "doc_id")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, q, t in zip(*(c.to_pylist() for c in b.columns)):
+                raw = t.encode("utf-8", "surrogatepass")
+                got = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)] or [b""]
+                yield pa.record_batch([pa.array([x] * len(got), k) for x, k in ((i, pa.int64()), (q, pa.int32()))] + [pa.array(range(len(got)), pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "quality", "place", "block"])
+
+    cutup = cut(dealt.where("builds").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(pieces, "doc_id long, quality int, place long, block binary"))
+    built: list[list[bytes]] = []
+    for quality in (0, 1):
+        its = cutup.where(F.col("quality") == quality)
+        chosen = its.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(blocks).collect()  # blocks * BLOCK bytes
+        built.append([bytes(r.block) for r in sorted(chosen, key=lambda r: (r.doc_id, r.place)) if r.block])
+    rest = dealt.where("not builds AND text <> ''")
+    enough = all(sum(map(len, b)) >= 8192 for b in built) and all(n - n // 3 >= 10 for n in seen)
+    if enough and {r[0] for r in rest.select("quality").distinct().collect()} == {0, 1}:
+        model["dictionaries"] = [zstandard.train_dictionary(DICTIONARY, b).as_bytes() for b in built]
+        shared = spark.sparkContext.broadcast(model["dictionaries"])
+
+        def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sizes = sizes_of(shared.value)
+            for b in batches:
+                raw = [t.encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
+                three = np.array([[*sizes(t), len(t)] for t in raw], np.int64).reshape(-1, 3)
+                yield pa.record_batch([b.column(0), b.column(1), *(pa.array(three[:, k]) for k in range(3))], names=["doc_id", "quality", "bad", "good", "n"])
+
+        pairs = rest.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measured, "doc_id long, quality int, bad long, good long, n long")
+        pairs = sorted(pairs.collect(), key=lambda r: r.doc_id)
+        x = np.array([[r.bad, r.good, r.n] for r in pairs], float)
+        y = np.array([r.quality for r in pairs], float)
         # a class sampled below its share counts more
         weights = _logistic(_features(x[:, 0], x[:, 1], x[:, 2]), y)
         shift = np.log(model["share"] / (1 - model["share"])) - np.log(y.mean() / (1 - y.mean()))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -24,3 +25,15 @@ def test_scores(spark, odd, empty):
     assert fit(docs, flipped) == model
     none = fit(docs, labels.limit(0))
     assert {r.score for r in scores(odd, none).collect()} == {0.5}
+
+
+def test_whole_texts_teach(spark):
+    # what tells good from bad stands after 10,000 characters of the same words
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(600)]
+    common, kinds = words[:200], (words[200:400], words[400:])
+    rows = [(i, " ".join(rng.choices(common, k=1500) + rng.choices(kinds[i % 2], k=1500)), i % 2) for i in range(240)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in scores(docs, fit(docs, spark.createDataFrame([r[::2] for r in rows], "doc_id long, quality int"))).collect()}
+    held = [(got[i], q) for i, _, q in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((s >= 0.5) == (q == 1) for s, q in held) >= 0.9 * len(held)
