@@ -1,0 +1,18 @@
+"""Distractors against brute force over all texts."""
+
+import hashlib
+
+from mnemolith.operators import prepare
+
+
+def test_all_texts_are_candidates(spark):
+    texts = [(i, f"word{i % 7} Other{i % 3} text") for i in range(150)] + [(None, "no id"), (150, None)]
+    targets = [(i, f"WORD{i % 8}") for i in range(40)] + [(40, ""), (41, None)]
+    wanted = set()
+    for t, a in targets:
+        order = sorted((hashlib.sha256(f"0:{t}:{i}".encode()).hexdigest(), i) for i, x in texts if None not in (i, x, a) and i != t and a.lower() not in x.lower())
+        wanted |= {(t, i, k + 1) for k, (_, i) in enumerate(order[:5])}
+    assert len(wanted) == 200
+    made = [spark.createDataFrame(x, s).repartition(3) for x, s in ((targets, "target_id long, answer string"), (texts, "text_id long, text string"))]
+    for at_once in (1024, 16):
+        assert {tuple(r) for r in prepare.distractors(*made, 5, at_once=at_once).select("target_id", "text_id", "rank").collect()} == wanted
