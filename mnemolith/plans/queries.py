@@ -392,6 +392,15 @@ def record_weights(spark, sf_dir):
     return rounded(r.select("record_id", w.alias("weight")))
 
 
+@query(REC + """, n AS (SELECT max(write_time) AS now FROM w) SELECT record_id, round(exp(-0.001 * (now - write_time)) * power(1e-6 + 1, 0.5) * (CASE WHEN superseded_by IS NULL THEN 1 ELSE 0 END), 6) AS weight FROM w, n""")
+def record_weights_all(spark, sf_dir):
+    """Every record at the last write's time; ``record_weights`` is at time 1000."""
+    r = t.records(spark, sf_dir)
+    r = r.crossJoin(F.broadcast(r.agg(F.max("write_time").alias("now"))))
+    w = vector.record_weight(F.col("now"), F.col("write_time"), F.col("write_time"), F.lit(1.0), F.when(F.col("superseded_by").isNull(), 0.0).otherwise(1.0), F.lit(True), age_decay=0.001, gain_power=0.5)
+    return rounded(r.select("record_id", w.alias("weight")))
+
+
 @query(REC + """, d AS (SELECT slot, unnest(vector) AS a, generate_subscripts(vector, 1) AS dim FROM w), s AS (SELECT slot, dim, sum(a) AS s FROM d GROUP BY ALL), n AS (SELECT slot, sqrt(sum(s * s)) AS norm FROM s GROUP BY slot),
   c AS (SELECT slot, count(*) AS records, count(*)::DOUBLE AS mass, min(write_time) AS first_time, max(write_time) AS last_time FROM w GROUP BY slot), r AS (SELECT *, norm / (mass + 1) AS r FROM c JOIN n USING (slot))
   SELECT slot, records, mass, round(norm / mass, 6) AS resultant, round(least(100, r * (64 - r * r) / (1 - r * r)), 6) AS concentration, round(mass - norm, 6) AS scatter, first_time, last_time FROM r""")
