@@ -174,18 +174,34 @@ def conversation_context_window(spark, sf_dir):
     return m.select("conv_id", F.array_join(F.transform(window, lambda x: F.regexp_replace(x, r"^\d+:", "")), "\n").alias("context"))
 
 
+def _prompts(spark, sf_dir):
+    """A conversation's last message asks, the one before is its evidence."""
+    c = t.table(spark, sf_dir, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    name = F.concat(F.lit("D1:"), F.col("turn").cast("string"))
+    qa = c.where("turn = last AND last > 0").select(F.col("conv_id").alias("index"), F.col("conv_id").cast("string").alias("user_name"), F.lit("c").alias("conversation_id"), F.col("text").alias("question"), F.lit("a").alias("answer"), F.array(F.concat(F.lit("D1:"), (F.col("turn") - 1).cast("string"))).alias("evidence_turn_ids"))
+    turns = c.where("turn < last").select(F.col("conv_id").cast("string").alias("user_name"), name.alias("turn_id"), "role", F.col("text").alias("content"))
+    return prepare.evidence_prompts(qa, turns, 3, 2).select("entity", "condition_id", F.md5("prompt").alias("prompt_md5"))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, text, role, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations), q AS (SELECT conv_id, text AS question FROM t WHERE turn = last),
   c AS (SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY turn) FILTER (turn = last - 1) AS evidence_only,
     string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY turn) FILTER (turn < last AND turn >= last - 3) AS recent_context FROM t WHERE last > 0 GROUP BY conv_id),
   u AS (SELECT conv_id, 'evidence_only' AS condition_id, evidence_only AS context FROM c UNION ALL SELECT conv_id, 'recent_context', recent_context FROM c)
   SELECT conv_id::VARCHAR AS entity, condition_id, md5('Conversation evidence:' || chr(10) || context || chr(10) || chr(10) || 'Memory request: ' || trim(question, ' ') || chr(10) || 'Question: ' || trim(question, ' ')) AS prompt_md5 FROM u JOIN q USING (conv_id)""")
 def evidence_prompts(spark, sf_dir):
-    """A conversation's last message asks, the one before is its evidence."""
-    c = t.table(spark, sf_dir, "conversations").withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
-    name = F.concat(F.lit("D1:"), F.col("turn").cast("string"))
-    qa = c.where("turn = last AND last > 0").select(F.col("conv_id").alias("index"), F.col("conv_id").cast("string").alias("user_name"), F.lit("c").alias("conversation_id"), F.col("text").alias("question"), F.lit("a").alias("answer"), F.array(F.concat(F.lit("D1:"), (F.col("turn") - 1).cast("string"))).alias("evidence_turn_ids"))
-    turns = c.where("turn < last").select(F.col("conv_id").cast("string").alias("user_name"), name.alias("turn_id"), "role", F.col("text").alias("content"))
-    return prepare.evidence_prompts(qa, turns, 3, 2).where("condition_id <> 'noisy_context'").select("entity", "condition_id", F.md5("prompt").alias("prompt_md5"))
+    return _prompts(spark, sf_dir).where("condition_id <> 'noisy_context'")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, role, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations), q AS (SELECT conv_id, text AS question FROM t WHERE turn = last AND last > 0),
+  l AS (SELECT conv_id, turn, turn = last - 1 AS own, upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text AS line FROM t WHERE turn < last),
+  r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS late, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn DESC) AS other FROM l),
+  u AS (SELECT conv_id, 'evidence_only' AS condition_id, string_agg(line, chr(10) ORDER BY turn) AS context FROM r WHERE own GROUP BY conv_id
+    UNION ALL SELECT conv_id, 'recent_context', string_agg(line, chr(10) ORDER BY turn) FROM r WHERE late <= 3 GROUP BY conv_id
+    UNION ALL SELECT conv_id, 'noisy_context', string_agg(line, chr(10) ORDER BY own, turn) FROM r WHERE own OR other <= 2 GROUP BY conv_id)
+  SELECT conv_id::VARCHAR AS entity, condition_id, md5('Conversation evidence:' || chr(10) || context || chr(10) || chr(10) || 'Memory request: ' || trim(question, ' ') || chr(10) || 'Question: ' || trim(question, ' ')) AS prompt_md5 FROM u JOIN q USING (conv_id)""")
+def evidence_prompts_all(spark, sf_dir):
+    """All three prompts of each question; ``evidence_prompts`` has no noisy one."""
+    return _prompts(spark, sf_dir)
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS row FROM documents)
@@ -306,6 +322,16 @@ def attention_event_summary(spark, sf_dir):
     return rounded(att.event_summary(events, ["sample_id"]))
 
 
+@query(ATT + """, r AS (SELECT sample_id, layer, key_position // 8 AS block_index, head, future_index AS event, sum(p) AS mass, 8 AS length, 40 AS key_len FROM a GROUP BY ALL),
+  h AS (SELECT sample_id, layer, block_index, head, avg(mass) AS mass, avg(length) AS length, avg(length / key_len) AS uniform FROM r GROUP BY ALL)
+  SELECT sample_id, layer::INT AS layer, block_index::INT AS block_index, round(avg(length), 6) AS mean_tokens, round(avg(mass), 6) AS mean_mass, round(max(mass), 6) AS max_head_mass, round(avg(mass) / avg(uniform), 6) AS enrichment, sum(CASE WHEN mass / uniform >= 2 THEN 1 ELSE 0 END)::BIGINT AS heads_twice FROM h GROUP BY sample_id, layer, block_index""")
+def attention_event_summary_all(spark, sf_dir):
+    """Every layer and block; ``attention_event_summary`` is of the first of each."""
+    a = t.attention(spark, sf_dir).withColumns({"layer": F.col("layer").cast("int"), "block_index": F.floor(F.col("key_position") / t.BLOCK).cast("int")})
+    events = a.groupBy("sample_id", "layer", "block_index", "head", F.col("future_index").alias("event")).agg(F.sum("p").alias("mass")).withColumns({"length": F.lit(t.BLOCK), "key_len": F.lit(t.KEYS)})
+    return rounded(att.event_summary(events, ["sample_id", "layer", "block_index"]))
+
+
 def _top(policy: str, order: str):
     sql = ATT + f""" SELECT sample_id, cand_index, rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {order}) AS rank FROM cand) WHERE rank <= 2"""
 
