@@ -6,6 +6,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between Spark and its Python workers, where the session sets none.
+BATCH_BYTES = 2 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(cores: str = "8", app: str = "mnemolith") -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
@@ -23,21 +27,28 @@ def local_session(cores: str = "8", app: str = "mnemolith") -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder of spark.checkpoint.dir and cut its lineage.
-
-    The setting is read from the session; only where it is unset (tests) is a
-    folder of our own taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Arrow batches are cut by bytes, not only by rows, so that long texts don't make large ones; a session's own setting stays."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see."""
+    """The checkpoint folder, which the driver and all executors see.
+
+    The setting is read from the session; only on one machine (tests) is a
+    folder of our own taken where it is unset.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the checkpoint folder and cut its lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
