@@ -3,30 +3,36 @@
 A text is its tokens: lower-cased (A-Z) words and one end. A token is coded in
 bits, and the bits' probabilities give the text's:
 
-* The most frequent training tokens (``words`` at most) and an escape have
-  Huffman codes; a bit's node in that tree is its symbol context. Its
-  predictors are the node alone (exact counts), and the node hashed with the
-  end of the word before and with that whole word. Bits below depth ``DEPTH`` of the
-  tree are coded by exact counts alone, all at once.
-* Any other word is escaped and spelled by the bits of its bytes and a closing
-  space; the predictors are the bits so far, hashed with two, three and four
-  bytes before and with the whole word so far.
+* The most frequent training tokens (``words`` at most) and an escape are the
+  leaves of an alphabetic tree; a bit's node there is its symbol context. Every bit is
+  mixed from four predictors: the node alone (exact counts), and the node
+  hashed with the end of the word before, with that whole word, and with the
+  last two frequent words before, which tell what kind of text it is.
+* What is escaped is a mixture of two codes: its share of the counts of all
+  training tokens outside the tree (by a join to the table of all counts,
+  which grows with the corpus and is never collected), and its spelling, by
+  the bits of its bytes and a closing space. The spelling's predictors are the
+  bits so far hashed with the last frequent word and two bytes before, with
+  three and four bytes before, and with the whole word so far. How much goes to spelling is the share of training tokens that
+  occur once (Good and Turing's estimate of what is new).
 
 A hashed context's slot holds how often either bit followed in the training
-texts (spelled bits: in their distinct tokens, since what is spelled is new).
-Predictors meet as log odds, weighted and summed: the weights are chosen by a
-gate (how often the contexts were seen), start from fixed values and are
-refined online, after each block of words, by the gradient of that block's
-coding cost. They start anew in every document, so a score depends on the
-training texts and the document alone. ``score`` is the log10 probability;
-``bits_per_byte`` is the same in bits over the lower-cased text's bytes.
-
-``base_score`` is that of single token counts. Counts of the frequent tokens
-are broadcast; the rest of a document's tokens are joined to the table of all
-counts, which is never collected.
-
-Everything that is gathered covers all training texts; broadcast are ``words``
-tokens and ``1 << slots`` counts, whatever the corpus.
+texts (spelled bits: in tokens that are escaped or occur once there, which are
+like what is new).
+A predictor draws its counts towards what a shorter context says, so one
+seldom seen says little; it enters the mixture as what it adds in log odds.
+The mixture is a weighted sum: the weights are chosen by a gate (how often the
+contexts were seen), start from fixed values and are refined online, after
+each block of words, by the gradient of that block's coding cost. They start
+anew in every document, so a score depends on the training texts and the
+document alone. ``score`` is the log10 probability; ``bits_per_byte`` is the
+same in bits over the lower-cased text's bytes.
+
+``base_score`` is that of single token counts.
+
+Everything that is gathered covers all training texts. The number of slots
+follows the number of training tokens up to ``1 << slots`` for each of six
+tables; those and ``words`` tokens are what is broadcast, 48 MB and a few.
 
 Defined results: a null text counts as empty (one end token); repeated rows
 get equal scores; a null id counts as the empty text where rows are dealt into
@@ -36,7 +42,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -48,49 +53,57 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import crc_mod, text_or_empty
-from mnemolith.session import cut
+from mnemolith.llm.common import crc_mod, quoted, text_or_empty
+from mnemolith.session import bounded_batches, cut
 
 #: The end token and the escape as table keys; words are never empty and hold no blank.
 END, ESCAPE = b"", b" "
 #: Words between refinements of the weights, words and bytes that are worked on at once.
 BLOCK, AT_ONCE, BYTES = 64, 60_000, 8_000_000
-#: Bits of a code that are mixed.
-DEPTH = 12
-INPUTS, GATES = 4, 32
-#: Pieces that a table of counts is merged in.
+#: Predictors of a bit, gates of coded and of spelled bits, tables of slots (three of coded bits, one of spelled).
+INPUTS, GATES, TABLES = 4, 32, 6
+#: The tables of coded and of spelled bits' contexts.
+OF_CODED, OF_SPELLED = (0, 1, 2), (3, 3, 4, 5)
+#: Tokens whose last two before a token tell what kind of text it is in.
+FREQUENT = 64
+#: Pieces that the tables of counts are merged in.
 PIECES = 512
-#: First weights of the predictors, for each gate of coded and then of spelled bits.
-FIRST = np.repeat(np.array([[0.4, 0.5, 0.3, 0.0], [0.35, 0.5, 0.5, 0.25]], np.float32).T, GATES // 2, axis=1)
-RATE = 0.01
-
-
-def huffman(counts: list[int], depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, number, nodes, bits, rest) of each symbol's code down to ``depth``; rest is what the bits below it cost by the counts, in nats."""
-    heap = [(n, k, k) for k, n in enumerate(counts)]
-    heapq.heapify(heap)
-    weight, parent = list(counts), {}
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        made = len(weight)
-        parent[a[2]], parent[b[2]] = (made, 0), (made, 1)
-        weight.append(a[0] + b[0])
-        heapq.heappush(heap, (weight[-1], made, made))
-    first, nodes, bits, rest = [0], [], [], []
-    for k in range(len(counts)):
-        at, path = k, []
-        while at in parent:
-            up, bit = parent[at]
-            path.append((up - len(counts), bit, at))
-            at = up
-        path.reverse()
-        kept = path if depth is None else path[:depth]
-        for node, bit, _ in kept:
-            nodes.append(node)
-            bits.append(bit)
-        rest.append(math.log(weight[kept[-1][2]] / weight[k]) if kept else 0.0)
-        first.append(len(nodes))
-    return np.array(first[:-1], np.int64), np.diff(first), np.array(nodes, np.int64), np.array(bits, np.int8), np.array(rest)
+#: How much a predictor is drawn to what the shorter context says, in observations.
+DRAWN = ((4.0, 16.0, 4.0), (4.0, 4.0, 4.0, 4.0))
+#: First weights of the predictors, for coded and for spelled bits.
+FIRST = np.repeat(np.array([[1.0, 0.8, 0.8, 0.8], [1.0, 1.0, 0.7, 0.3]], np.float32).T, GATES // 2, axis=1)
+RATE = 0.02
+EDGE = b".,;:!?()\"'"
+
+
+Code = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def alphabetic(keys: list, counts: list[int]) -> Code:
+    """(first, number, nodes, bits, odds): each symbol's code as a run of nodes and bits, and the odds of a 1 at each of those by the counts.
+
+    The tree halves the symbols, sorted by their keys, where their counts are halved. So a node's
+    symbols begin alike, and what a context says of one of them is learnt from all.
+    """
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    upto = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[order])])
+    paths: list[tuple] = [()] * len(keys)
+    todo, node, ones = [(0, len(keys), ())], 0, []
+    while todo:
+        a, z, path = todo.pop()
+        if z - a == 1:
+            paths[order[a]] = path
+            continue
+        half = (upto[a] + upto[z]) / 2
+        k = int(np.searchsorted(upto[a + 1 : z], half)) + a + 1
+        if k == z or k > a + 1 and half - upto[k - 1] < upto[k] - half:
+            k -= 1
+        ones.append((upto[z] - upto[k]) / (upto[k] - upto[a]))
+        todo += [(a, k, (*path, (node, 0))), (k, z, (*path, (node, 1)))]
+        node += 1
+    number = np.fromiter(map(len, paths), np.int64, len(paths))
+    flat = np.array([x for p in paths for x in p], np.int64).reshape(-1, 2)
+    return np.cumsum(number) - number, number, flat[:, 0].copy(), flat[:, 1].astype(np.int8), np.array(ones, np.float32)[flat[:, 0]] if len(flat) else np.empty(0, np.float32)
 
 
 class Tokens:
@@ -132,97 +145,126 @@ def _mix64(h: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Turns tokens into bit events: bit, and slots of the predictors."""
+    """Turns tokens into bit events: place in the code, bit, and slots of the predictors."""
 
     def __init__(self, vocabulary: list[bytes], code: tuple, spelling: tuple, slots: int):
         self.index = {w: k for k, w in enumerate(vocabulary)}
-        self.first, self.number, self.nodes, self.bits, self.rest = code
-        self.spelling = spelling
-        self.escape, self.slots, self.base = self.index[ESCAPE], slots, len(vocabulary)
-        self.keys = (self.nodes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        self.code, self.spelling, self.slots = code, spelling, slots
+        self.escape = self.index[ESCAPE]
+        self.keys = [(c[2].astype(np.uint64) + np.uint64(1)) * np.uint64(k) for c, k in ((code, 0x9E3779B97F4A7C15), (spelling, 0xD1342543DE82EF95))]
 
-    def _slot(self, h: np.ndarray) -> np.ndarray:
-        return (_mix64(h) & np.uint64((1 << self.slots) - 1)).astype(np.int64) + self.base
-
-    def look(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbol of each token, and hashes of the end of the token before it and of that whole token."""
+    def look(self, t: Tokens) -> tuple[np.ndarray, ...]:
+        """Symbol of each token; hashes of the end of the token before it, of that whole token, and of the last two frequent ones before; the last of those."""
         get, escape, hash_of = self.index.get, self.escape, xxhash.xxh64_intdigest
         symbol = np.fromiter((get(w, escape) for w in t.kinds), np.int64, len(t.kinds))[t.kind]
-        one, two = np.ones(len(symbol), np.uint64), np.ones(len(symbol), np.uint64)
+        ends, whole = np.zeros(len(symbol), np.uint64), np.zeros(len(symbol), np.uint64)
         later = t.place[1:] > 0
-        for context, of in ((one, lambda w: hash_of(w[-3:], 1)), (two, lambda w: hash_of(w, 2))):
+        for context, of in ((ends, lambda w: hash_of(w.rstrip(EDGE)[-3:], 1)), (whole, lambda w: hash_of(w, 2))):
             own = np.fromiter(map(of, t.kinds), np.uint64, len(t.kinds))[t.kind[:-1]]
             context[1:][later] = own[later]
-        return symbol, one, two
-
-    def coded(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bits of each token, bit, slots) of the mixed code bits."""
-        n = self.number[symbol]
-        word = np.repeat(np.arange(len(symbol)), n)
-        at = np.arange(len(word))
-        at += (self.first[symbol] - (np.cumsum(n) - n))[word]
-        key, slot = self.keys[at], np.empty((3, len(at)), np.int64)
-        slot[0] = self.nodes[at]
-        for k, c in ((1, one), (2, two)):
+        here = np.arange(len(symbol))
+        start = here - t.place
+        frequent = np.concatenate([[-1], np.maximum.accumulate(np.where(symbol < FREQUENT, here, -1))])
+        last = frequent[:-1]  # before the token; -1 or before its text if there is none
+        last2 = np.where(last >= start, frequent[np.maximum(last, 0)], -1)
+        one, two = (np.where(x >= start, symbol[x], FREQUENT).astype(np.uint64) for x in (last, last2))
+        return symbol, ends, whole, one * np.uint64(FREQUENT + 1) + two + np.uint64(1), one
+
+    def _events(self, code: tuple, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each symbol, which symbol each bit is of, and its place in the code."""
+        n = code[1][symbol]
+        of = np.repeat(np.arange(len(symbol)), n)
+        at = np.arange(len(of))
+        at += (code[0][symbol] - (np.cumsum(n) - n))[of]
+        return n, of, at
+
+    def coded(self, symbol: np.ndarray, *contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits of each token, places in the code, slots of its contexts)."""
+        n, word, at = self._events(self.code, symbol)
+        key, slot = self.keys[0][at], np.empty((len(contexts), len(at)), np.int64)
+        for k, c in enumerate(contexts):
             h = c[word]
             h ^= key
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h >>= np.uint64(64 - self.slots)
             slot[k] = h
-            slot[k] += self.base
-        return n, self.bits[at], slot
+            slot[k] += OF_CODED[k] << self.slots
+        return n, at, slot
 
-    def spelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bits of each word, bit, slots) of the bits that spell words, each with a closing space."""
-        first, number, nodes, code, _ = self.spelling
+    def spelled(self, words: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits of each word, places in the code, slots) of the bits that spell words, each with a closing space; ``kind`` tells the text's."""
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         raw = np.frombuffer(b" ".join([*words, b""]), np.uint8)
         b = raw.astype(np.uint64)
         starts = np.cumsum(size) - size
         place = np.arange(len(b)) - np.repeat(starts, size)
-        past = np.zeros(len(b), np.uint64)
-        pasts = []
+        past, pasts = np.zeros(len(b), np.uint64), []
         for k in range(1, 5):
             prior = np.zeros(len(b), np.uint64)
             prior[k:] = b[:-k]
             past = past * np.uint64(257) + np.where(place >= k, prior + np.uint64(1), np.uint64(0))
             if k > 1:
-                pasts.append(past * np.uint64(4) + np.uint64(k - 1))
+                pasts.append(past * np.uint64(256) + (np.repeat(kind, size) if k == 2 else np.uint64(k - 1)))
         # the whole word so far: a running sum of mixed bytes less what it was where the word began
         mixed = np.cumsum(_mix64((b + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         sofar = np.concatenate([np.zeros(1, np.uint64), mixed[:-1]])
         pasts.append(sofar - np.repeat(sofar[starts], size))
-        n = number[raw]
-        char = np.repeat(np.arange(len(raw)), n)
-        at = np.arange(len(char)) - np.repeat(np.cumsum(n) - n, n) + first[raw][char]
-        node = (nodes[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
-        slot = np.stack([self._slot((p * np.uint64(0x9E3779B97F4A7C15))[char] + node) for p in pasts])
-        return np.add.reduceat(n, starts), code[at], slot
-
-
-def log_odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds and how often each slot was seen (0 to 3) from counts of either bit."""
-    n = counts.astype(np.float64)
-    odds = np.log((n[1] + 0.4) / (n[0] + 0.4)).astype(np.float32)
-    return odds, np.digitize(n.sum(axis=0), (2, 16, 256)).astype(np.int8)
+        n, char, at = self._events(self.spelling, raw.astype(np.int64))
+        key, slot = self.keys[1][at], np.empty((len(pasts), len(at)), np.int64)
+        for k, p in enumerate(pasts):
+            slot[k] = _mix64((p * np.uint64(0x9E3779B97F4A7C15))[char] + key) >> np.uint64(64 - self.slots)
+            slot[k] += OF_SPELLED[k] << self.slots
+        return np.add.reduceat(n, starts), at, slot
 
 
 class Scorer:
-    def __init__(self, coder: Coder, odds: np.ndarray, seen: np.ndarray):
-        self.coder, self.odds, self.seen = coder, odds, seen
-
-    def _inputs(self, slot: np.ndarray, kind: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gate = self.seen[slot[1]].astype(np.int32)
-        gate *= 4
-        gate += self.seen[slot[-1]]
-        gate += 16 * kind
-        gate += of * GATES
-        return self.odds[slot], gate
-
-    def score(self, t: Tokens) -> np.ndarray:
-        """log10 probability of each text."""
-        symbol, one, two = self.coder.look(t)
-        total = -np.bincount(t.of, self.coder.rest[symbol], len(t.count))
+    """``table`` has a slot's counts of ones and of zeros in the upper and the lower 16 bits."""
+
+    def __init__(self, coder: Coder, table: np.ndarray):
+        self.coder, self.table = coder, table
+
+    def _drawn(self, one: np.ndarray, zero: np.ndarray, slot: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of a 1 and a 0 by the slot's counts and ``k`` observations of those given, log odds, and how often it was seen (0 to 3)."""
+        c = self.table[slot]
+        a, b = (c >> np.uint32(16)).astype(np.float32), (c & np.uint32(0xFFFF)).astype(np.float32)
+        n = a + b
+        seen = (n >= 2).astype(np.int32)
+        seen += n >= 16
+        seen += n >= 256
+        n += k
+        a += k * one
+        b += k * zero
+        odds = np.log(a / b)
+        a /= n
+        b /= n
+        return a, b, odds, seen
+
+    def inputs(self, kind: int, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what each predictor adds in log odds, gate) of coded (0) or spelled (1) bits."""
+        base = (self.coder.code, self.coder.spelling)[kind][4][at]
+        zero = 1 / (1 + base)
+        one = base * zero
+        x = np.empty((INPUTS, len(at)), np.float32)
+        if kind == 0:
+            x[0] = np.log(base)
+            a, b, first, ends = self._drawn(one, zero, slot[0], DRAWN[0][0])
+            _, _, second, whole = self._drawn(a, b, slot[1], DRAWN[0][1])
+            x[1], x[2] = first - x[0], second - first
+            x[3] = self._drawn(one, zero, slot[2], DRAWN[0][2])[2] - x[0]
+            return x, ends * 4 + whole
+        before, seen = np.float32(0), []
+        for k in range(INPUTS):
+            one, zero, odds, n = self._drawn(one, zero, slot[k], DRAWN[1][k])
+            x[k] = odds - before
+            before = odds
+            seen.append(n)
+        return x, GATES // 2 + seen[1] * 4 + seen[3]
+
+    def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text's coded bits, and of each token's spelling (0 for those in the tree)."""
+        looked = self.coder.look(t)
+        symbol = looked[0]
+        total, spelt = np.zeros(len(t.count)), np.zeros(len(symbol))
         ends, w, begin = np.cumsum(t.count), None, 0
         while begin < len(symbol):
             # whole texts, or a part of one
@@ -237,36 +279,46 @@ class Scorer:
             order = np.argsort(block, kind="stable")
             whose, block = whose[order], block[order]
             own = symbol[begin:stop][order]
-            n, bit, slot = self.coder.coded(own, one[begin:stop][order], two[begin:stop][order])
             edges = np.searchsorted(block, np.arange(block[-1] + 2))
-            streams = [(np.concatenate([[0], np.cumsum(n)])[edges], bit.astype(np.float32), *self._inputs(slot, 0, np.repeat(whose, n)))]
-            strange = np.flatnonzero(own == self.coder.escape)
-            if len(strange):
-                n, bit, slot = self.coder.spelled([t.kinds[k] for k in t.kind[begin:stop][order[strange]].tolist()])
-                its = np.searchsorted(strange, edges)
-                streams.append((np.concatenate([[0], np.cumsum(n)])[its], bit.astype(np.float32), *self._inputs(slot, 1, np.repeat(whose[strange], n))))
-            cost = np.zeros(len(docs))
+            streams = []
+            for kind in (0, 1):
+                if kind == 0:
+                    n, at, slot = self.coder.coded(own, *(c[begin:stop][order] for c in looked[1:4]))
+                    its, word = edges, np.repeat(whose, n)
+                else:
+                    strange = np.flatnonzero(own == self.coder.escape)
+                    if not len(strange):
+                        continue
+                    n, at, slot = self.coder.spelled([t.kinds[k] for k in t.kind[begin:stop][order[strange]].tolist()], looked[4][begin:stop][order[strange]])
+                    its, word = np.searchsorted(strange, edges), np.repeat(whose[strange], n)
+                x, gate = self.inputs(kind, at, slot)
+                gate += word * GATES
+                bit = (self.coder.code, self.coder.spelling)[kind][3][at]
+                streams.append((np.concatenate([[0], np.cumsum(n)])[its], bit.astype(np.float32), x, gate, np.zeros(len(at), np.float32), n))
             for k in range(len(edges) - 1):
-                for at, y, x, cell in streams:
+                for at, y, x, cell, cost, _ in streams:
                     a, z = int(at[k]), int(at[k + 1])
                     if a < z:
-                        self._step(w, y[a:z], x[:, a:z], cell[a:z], cost)
-            total[docs] -= cost
+                        cost[a:z] = self._step(w, y[a:z], x[:, a:z], cell[a:z])
+            total[docs] -= np.bincount(streams[0][3] // GATES, streams[0][4], len(docs))
+            if len(streams) > 1:
+                n = streams[1][5]
+                spelt[begin + order[strange]] = -np.add.reduceat(streams[1][4].astype(np.float64), np.cumsum(n) - n)
             begin = stop
-        return total / math.log(10)
+        return total, spelt
 
-    def _step(self, w: np.ndarray, y: np.ndarray, x: np.ndarray, cell: np.ndarray, cost: np.ndarray) -> None:
-        """Adds a block's cost to its texts and takes one step along its gradient."""
+    def _step(self, w: np.ndarray, y: np.ndarray, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Costs of a block's bits; takes one step along their gradient."""
         s = w[0][cell]
         s *= x[0]
         for i in range(1, len(x)):
             s += w[i][cell] * x[i]
-        np.clip(s, -12, 12, out=s)
+        np.clip(s, -16, 16, out=s)
         p = 1 / (1 + np.exp(-s))
         error = y - p
-        cost += np.bincount(cell // GATES, -np.log1p(-np.abs(error)), len(cost))
         for i in range(len(x)):
             w[i] += RATE * np.clip(np.bincount(cell, error * x[i], w.shape[1]), -20, 20)
+        return -np.log1p(-np.abs(error))
 
 
 def token_counts(training: DataFrame) -> DataFrame:
@@ -291,107 +343,126 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def context_counts(training: DataFrame, counts: DataFrame, shared, size: int) -> np.ndarray:
-    """Counts of either bit for every node and slot, 2 rows of ``size``: coded bits of all texts, spelled bits of each distinct token."""
-    width = -(-size // PIECES)
+def context_counts(training: DataFrame, shared, slots: int) -> np.ndarray:
+    """The tables of slots over all training texts: coded bits of every token, spelled bits of those that are escaped or occur once.
+
+    A task sends its pieces as slots and counts where few are set, else as counts alone.
+    """
+    size = TABLES << slots
+    width = size // PIECES
 
     def pieces(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        table = table.reshape(2, PIECES, width)
-        for p in np.flatnonzero(table.any(axis=(0, 2))).tolist():
-            x = table[:, p]
-            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes()], pa.binary())], names=["piece", "counts"])
+        table = table.reshape(PIECES, width, 2)
+        for p in range(PIECES):
+            x = table[p]
+            some = np.flatnonzero(x.any(axis=1))
+            if len(some):
+                sparse = 2 * len(some) < width
+                kept = x[some] if sparse else x
+                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([some.astype("<u4").tobytes() if sparse else b""], pa.binary()), pa.array([kept.astype("<u2" if kept.max() < 1 << 16 else "<u4").tobytes()], pa.binary())], names=["piece", "slots", "counts"])
 
     def add(table: np.ndarray, bit: np.ndarray, slot: np.ndarray) -> None:
-        for k in (0, 1):
-            np.add.at(table[k], slot[:, bit == k].reshape(-1), np.uint32(1))
+        for s in slot:
+            s *= 2
+            s += bit
+            np.add.at(table, s, np.uint32(1))
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, table = Coder(*shared.value), np.zeros((2, width * PIECES), np.uint32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *given, once = shared.value
+        coder, table = Coder(*given), np.zeros(2 * size, np.uint32)
         for b in batches:
             for _, texts in runs(b.column(0)):
-                every = coder.look(Tokens(texts))
-                for k in range(0, len(every[0]), AT_ONCE):
-                    _, bit, slot = coder.coded(*(x[k : k + AT_ONCE] for x in every))
-                    add(table, bit, slot)
-        yield from pieces(table)
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, table = Coder(*shared.value), np.zeros((2, width * PIECES), np.uint32)
-        for b in batches:
-            words = [w for w in b.column(0).to_pylist() if w]
-            while words:  # about AT_ONCE bytes at once
-                n, k = 0, 0
-                while k < len(words) and (not k or n + len(words[k]) <= 4 * AT_ONCE):
-                    n, k = n + len(words[k]), k + 1
-                _, bit, slot = coder.spelled(words[:k])
-                add(table, bit, slot)
-                words = words[k:]
+                t = Tokens(texts)
+                *every, kind = coder.look(t)
+                for k in range(0, len(t.kind), AT_ONCE):
+                    _, at, slot = coder.coded(*(x[k : k + AT_ONCE] for x in every))
+                    add(table, coder.code[3][at], slot)
+                    rare = np.flatnonzero(once[every[0][k : k + AT_ONCE]]) + k
+                    if len(rare):
+                        _, at, slot = coder.spelled([t.kinds[i] for i in t.kind[rare].tolist()], kind[rare])
+                        add(table, coder.spelling[3][at], slot)
         yield from pieces(table)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(raw, "<u2" if len(raw) == 4 * width else "<u4").reshape(2, width)
-                total.setdefault(p, np.zeros((2, width), np.int64))[...] += x
+            for p, at, raw in zip(*(c.to_pylist() for c in b.columns)):
+                its = np.frombuffer(at, "<u4") if at else slice(None)
+                n = len(at) // 4 if at else width
+                total.setdefault(p, np.zeros((width, 2), np.int64))[its] += np.frombuffer(raw, "<u2" if len(raw) == 4 * n else "<u4").reshape(n, 2)
         for p, x in total.items():
-            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["piece", "counts"])
+            while (large := x.max(axis=1) >= 1 << 16).any():  # counts that don't fit are halved together
+                x[large] = (x[large] + 1) // 2
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([(x[:, 1] << 16 | x[:, 0]).astype("<u4").tobytes()], pa.binary())], names=["piece", "counts"])
 
-    table = np.zeros((2, PIECES, width), np.int64)
-    schema = "piece int, counts binary"
-    every = training.select("text").mapInArrow(coded, schema).unionByName(counts.select("token").mapInArrow(spelled, schema))
+    table = np.zeros((PIECES, width), np.uint32)
+    schema = "piece int, slots binary, counts binary"
+    every = few(training.select("text")).mapInArrow(count, schema)
     for r in every.repartition("piece").mapInArrow(merge, "piece int, counts binary").toLocalIterator():
-        table[:, r.piece] = np.frombuffer(r.counts, np.int64).reshape(2, width)  # PIECES rows
-    return table.reshape(2, -1)[:, :size]
+        table[r.piece] = np.frombuffer(r.counts, "<u4")  # PIECES rows
+    return table.reshape(-1)
 
 
-def lm_scores(docs: DataFrame, parts: int = 5, held: int = 1, words: int = 1 << 17, slots: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """A quarter of the tasks, or one for each core: each of them sends a table."""
+    n = df.rdd.getNumPartitions()
+    return df.coalesce(max(1, min(n, max(df.sparkSession.sparkContext.defaultParallelism, -(-n // 4)))))
+
+
+def lm_scores(docs: DataFrame, parts: int = 5, held: int = 1, words: int = 1 << 17, slots: int = 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (crc_mod(id_col, parts) == held).alias("held_out"))
+    bounded_batches(spark)
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (crc_mod(id_col, parts) == held).alias("held_out"))
     training = rows.where("not held_out")
     counts = cut(token_counts(training))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = [(bytes(r.token), r.n) for r in counts.orderBy(F.desc("n"), "token").limit(words).collect()]
-    rest = total.n - sum(n for _, n in top)
-    known = dict(top)
-    # every tree holds the end and the escape; counts of 0 are coded as 1
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
+    known = {bytes(r.token): r.n for r in counts.orderBy(F.desc("n"), "token").limit(words).collect()}
+    rest = total.n - sum(known.values())
+    # of what is escaped, the share that is new
+    escaped = rest + total.once + 1
+    new = (total.once + 1) / escaped
     symbols = [*known, *([] if END in known else [END]), ESCAPE]
-    code = huffman([*(max(1, known.get(s, 0)) for s in symbols[:-1]), max(1, rest)], DEPTH)
+    code = alphabetic(symbols, [*(known.get(s, 1) for s in symbols[:-1]), escaped])
     # bytes of the frequent tokens shape the code that spells words
     of_byte = Counter(b for w in symbols for b in w)
-    spelling = huffman([16 * of_byte[b] + 1 for b in range(32)] + [len(symbols)] + [16 * of_byte[b] + 1 for b in range(33, 256)])
-    shared = spark.sparkContext.broadcast((symbols, code, spelling, slots))
-    odds, seen = log_odds(context_counts(training, counts, shared, len(symbols) + (1 << slots)))
-    model = spark.sparkContext.broadcast((odds, seen, known))
+    spelling = alphabetic(list(range(256)), [16 * of_byte[b] + 1 for b in range(32)] + [len(symbols)] + [16 * of_byte[b] + 1 for b in range(33, 256)])
+    slots = min(slots, max(12, (total.n + 1).bit_length()))
+    once = np.array([known.get(s, 0) == 1 and s != END for s in symbols[:-1]] + [True])
+    shared = spark.sparkContext.broadcast((symbols, code, spelling, slots, once))
+    model = spark.sparkContext.broadcast((context_counts(training, shared, slots), known))
     n_all, norm = total.n, math.log10(total.n + 0.5 * (total.v + 1))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, seen, known = model.value
-        scorer = Scorer(Coder(*shared.value), odds, seen)
+        table, known = model.value
+        scorer = Scorer(Coder(*shared.value[:4]), table)
         logs = {w: math.log10(n + 0.5) for w, n in known.items()}
         for b in batches:
             for first, texts in runs(b.column(1)):
-                t = Tokens(texts)
+                t, size = Tokens(texts), len(texts)
                 log = np.fromiter((logs.get(w, np.nan) for w in t.kinds), float, len(t.kinds))[t.kind]
-                top, size = ~np.isnan(log), len(texts)
-                # the other tokens of each text, and how often it has them
-                of, kind, times = t.of[~top], t.kind[~top], np.empty(0, np.int64)
-                if len(of):
-                    pair, times = np.unique(of * len(t.kinds) + kind, return_counts=True)
-                    of, kind = np.divmod(pair, len(t.kinds))
-                offsets = pa.array(np.searchsorted(of, np.arange(size + 1)).astype(np.int32))
-                names, kinds = ["id", "held_out", "score", "n_tokens", "n_top", "top_sum", "n_bytes", "rare", "times"], pa.array([t.kinds[k] for k in kind.tolist()], pa.binary())
-                columns = [scorer.score(t), t.count, np.bincount(t.of[top], minlength=size), np.bincount(t.of[top], log[top], size), pc.binary_length(texts).to_numpy().astype(np.int64)]
-                yield pa.record_batch([b.column(0)[first : first + size], b.column(2)[first : first + size], *map(pa.array, columns), pa.ListArray.from_arrays(offsets, kinds), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))], names=names)
-
-    scored = rows.mapInArrow(each, "id long, held_out boolean, score double, n_tokens long, n_top long, top_sum double, n_bytes long, rare array<binary>, times array<long>")
+                top, (score, spelt) = ~np.isnan(log), scorer.score(t)
+                # the tokens outside the tree, with the cost of their spelling
+                other = np.flatnonzero(spelt)
+                offsets = pa.array(np.searchsorted(t.of[other], np.arange(size + 1)).astype(np.int32))
+                names, kinds = ["id", "held_out", "coded", "n_tokens", "n_top", "top_sum", "n_bytes", "rare", "spelt"], pa.array([t.kinds[k] for k in t.kind[other].tolist()], pa.binary())
+                columns = [score, t.count, np.bincount(t.of[top], minlength=size), np.bincount(t.of[top], log[top], size), pc.binary_length(texts).to_numpy().astype(np.int64)]
+                yield pa.record_batch([b.column(0)[first : first + size], b.column(2)[first : first + size], *map(pa.array, columns), pa.ListArray.from_arrays(offsets, kinds), pa.ListArray.from_arrays(offsets, pa.array(spelt[other].astype(np.float32)))], names=names)
+
+    scored = rows.mapInArrow(each, "id long, held_out boolean, coded double, n_tokens long, n_top long, top_sum double, n_bytes long, rare array<binary>, spelt array<float>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
-    # a token outside the broadcast ones is rare, so this join has no hot key
-    found = rare.join(counts, "token").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("rare_sum"))
-    joined = scored.drop("rare", "times").join(found, "row", "left").withColumns({"n_rare": F.coalesce("n_rare", F.lit(0).cast("long")), "rare_sum": F.coalesce("rare_sum", F.lit(0.0))})
+    for b in (shared, model):
+        b.unpersist()
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "spelt")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.spelt").cast("double").alias("spelt"))
+    # both sides are written, so Spark can split a token that many texts have
+    spell, share = F.col("spelt") + math.log(new), F.log(F.col("n") * ((1 - new) / max(1, rest)))
+    either = F.greatest(spell, share) + F.log1p(F.exp(-F.abs(spell - share)))
+    found = rare.join(counts, "token").groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 0.5)).alias("rare_sum"), F.sum(either - spell).alias("gain"))
+    joined = scored.withColumns({"n_other": F.size("spelt"), "all_spelt": F.aggregate("spelt", F.lit(0.0), lambda s, v: s + v.cast("double"))}).drop("rare", "spelt").join(found, "row", "left")
+    joined = joined.withColumns({"n_rare": F.coalesce("n_rare", F.lit(0).cast("long")), "rare_sum": F.coalesce("rare_sum", F.lit(0.0)), "gain": F.coalesce("gain", F.lit(0.0))})
     n_known = F.col("n_top") + F.col("n_rare")
     base = F.col("top_sum") + F.col("rare_sum") + (F.col("n_tokens") - n_known) * math.log10(0.5) - F.col("n_tokens") * norm
+    score = (F.col("coded") + F.col("all_spelt") + F.col("n_other") * math.log(new) + F.col("gain")) / math.log(10)
+    joined = joined.withColumns({"n_known": n_known, "base_score": base, "score": score})
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes"))
-    return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", n_known.alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -5,6 +5,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnemolith.llm import mixing_lm
@@ -65,9 +67,112 @@ def test_odd_rows(spark, odd, empty):
     assert mixing_lm.lm_scores(empty, slots=16).count() == 0
 
 
-def test_probabilities_sum_to_one(spark, docs):
-    """Over the branches of one coded symbol and one spelled byte the probabilities sum to 1, since each bit's do."""
-    first, number, nodes, bits, _ = mixing_lm.huffman([5, 1, 1, 3])
-    codes = ["".join(map(str, bits[f : f + n])) for f, n in zip(first, number)]
-    assert sum(2.0 ** -len(c) for c in codes) == 1
-    assert not any(a != b and b.startswith(a) for a in codes for b in codes)
+def small_model(slots=14):
+    """A coder over a few words, and tables filled from a few texts."""
+    texts = ["the cat sat on the mat with the hat", "a cat and a dog sat on a log", "le chat et le chien", "the dog and the cat the mat"] * 5 + ["one new word", "xylophone of the year"]
+    counts = Counter(w for x in texts for w in words(x))
+    symbols = [*(w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:12]), mixing_lm.ESCAPE]
+    code = mixing_lm.alphabetic(symbols, [*(counts[s] for s in symbols[:-1]), 9])
+    spelling = mixing_lm.alphabetic(list(range(256)), [1 + 5 * (97 <= b < 123) for b in range(256)])
+    coder = mixing_lm.Coder(symbols, code, spelling, slots)
+    table = np.zeros((mixing_lm.TABLES << slots, 2), np.int64)
+    t = mixing_lm.Tokens(pa.array(texts))
+    symbol, *contexts, kind = coder.look(t)
+    rare = np.flatnonzero(symbol == coder.escape)
+    for c, (_, at, slot) in ((code, coder.coded(symbol, *contexts)), (spelling, coder.spelled([t.kinds[k] for k in t.kind[rare]], kind[rare]))):
+        for s in slot:
+            np.add.at(table, (s, c[3][at]), 1)
+    return mixing_lm.Scorer(coder, (table[:, 1] << 16 | table[:, 0]).astype(np.uint32))
+
+
+def plain_score(scorer, text):
+    """One bit after the other, weights in plain lists."""
+    coder, t = scorer.coder, mixing_lm.Tokens(pa.array([text]))
+    symbol, *contexts, kind = coder.look(t)
+    w = [row.tolist() for row in mixing_lm.FIRST.astype(float)]
+    total, spelt = 0.0, []
+    for begin in range(0, len(symbol), mixing_lm.BLOCK):
+        block = range(begin, min(begin + mixing_lm.BLOCK, len(symbol)))
+        for which in (0, 1):
+            steps = []
+            for i in block:
+                if which and symbol[i] != coder.escape:
+                    continue
+                _, at, slot = coder.spelled([t.kinds[t.kind[i]]], kind[i : i + 1]) if which else coder.coded(symbol[i : i + 1], *(c[i : i + 1] for c in contexts))
+                cost = 0.0
+                for j, place in enumerate(at):
+                    odds = float((coder.code, coder.spelling)[which][4][place])
+                    p0 = odds / (1 + odds)
+                    grown, seen = [], []
+                    for k, drawn in enumerate(mixing_lm.DRAWN[which]):
+                        c = int(scorer.table[slot[k][j]])
+                        one, zero = c >> 16, c & 65535
+                        before = p0 if k == 0 or which == 0 and k == 2 else grown[-1]
+                        grown.append((one + drawn * before) / (one + zero + drawn))
+                        seen.append(sum(one + zero >= x for x in (2, 16, 256)))
+                    logit = [math.log(p / (1 - p)) for p in (p0, *grown)]
+                    if which:
+                        x, gate = [logit[1], *(b - a for a, b in zip(logit[1:], logit[2:]))], 16 + 4 * seen[1] + seen[3]
+                    else:
+                        x, gate = [logit[0], logit[1] - logit[0], logit[2] - logit[1], logit[3] - logit[0]], 4 * seen[0] + seen[1]
+                    p = 1 / (1 + math.exp(-sum(w[k][gate] * x[k] for k in range(4))))
+                    bit = int((coder.code, coder.spelling)[which][3][place])
+                    cost -= math.log(p if bit else 1 - p)
+                    steps.append((gate, [(bit - p) * v for v in x]))
+                if which:
+                    spelt.append(-cost)
+                else:
+                    total -= cost
+            moved = {}
+            for gate, g in steps:
+                moved[gate] = [a + b for a, b in zip(moved.get(gate, [0.0] * 4), g)]
+            for gate, g in moved.items():
+                for k in range(4):
+                    w[k][gate] += mixing_lm.RATE * max(-20, min(20, g[k]))
+    return total, spelt
+
+
+def test_scorer_against_plain_loops():
+    scorer = small_model()
+    texts = ["the cat sat on the log", "le chien et un oiseau", "", "word " * 200 + "the mat the hat " * 100]
+    total, spelt = scorer.score(mixing_lm.Tokens(pa.array(texts)))
+    spelt, at = spelt[spelt != 0], 0
+    for k, text in enumerate(texts):
+        one, each = plain_score(scorer, text)
+        assert total[k] == pytest.approx(one, rel=1e-4)
+        assert spelt[at : at + len(each)] == pytest.approx(each, rel=1e-4)
+        at += len(each)
+    assert at == len(spelt)
+
+
+def test_probabilities_sum_to_one():
+    """Over all symbols that can follow, and over all bytes that can follow in a word."""
+    scorer = small_model()
+    coder, n = scorer.coder, len(scorer.coder.code[1])
+
+    def bits(kind, at, slot):
+        x, gate = scorer.inputs(kind, at, slot)
+        p = 1 / (1 + np.exp(-(mixing_lm.FIRST[:, gate] * x).sum(axis=0)))
+        return np.where((coder.code, coder.spelling)[kind][3][at] == 1, p, 1 - p)
+
+    for text in ("the cat", "le chat et", "nothing known"):
+        t = mixing_lm.Tokens(pa.array([text]))
+        _, *contexts, _ = coder.look(t)
+        for i in range(len(t.kind)):
+            number, at, slot = coder.coded(np.arange(n), *(np.repeat(c[i], n) for c in contexts))
+            each = np.multiply.reduceat(bits(0, at, slot), np.cumsum(number) - number)
+            assert each.sum() == pytest.approx(1, abs=1e-4)
+    letters = [bytes([b]) for b in range(256)]
+    for start in (b"", b"th", b"xylo"):
+        number, at, slot = coder.spelled([start + b for b in letters], np.zeros(256, np.uint64))
+        p = bits(1, at, slot)
+        first, per = np.cumsum(number) - number, coder.spelling[1]
+        skip = int(sum(per[b] for b in start))
+        total = sum(float(np.prod(p[f + skip : f + skip + per[b]])) for b, f in enumerate(first))
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_beats_single_counts_held_out(spark):
+    """On a table large enough for most held-out words to be known."""
+    got = [g for g in mixing_lm.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect() if g.held_out]
+    assert sum(g.score for g in got) > sum(g.base_score for g in got)
