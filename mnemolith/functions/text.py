@@ -15,10 +15,11 @@ def question_key(s: Column) -> Column:
 
 
 def message_text(speaker: Column, role: Column, text: Column, content: Column, collapse: bool = True) -> Column:
-    """``speaker: text``; an empty string falls through to the next choice."""
+    """``speaker: text``; an empty string falls through to the next choice; white space at either end goes."""
     blank = lambda c: F.nullif(c, F.lit(""))
     body = F.coalesce(blank(text), blank(content), F.lit(""))
-    return F.concat(F.coalesce(blank(speaker), blank(role), F.lit("Turn")), F.lit(": "), one_line(body) if collapse else body)
+    said = F.concat(F.coalesce(blank(speaker), blank(role), F.lit("Turn")), F.lit(": "), one_line(body) if collapse else body)
+    return F.regexp_replace(said, r"(?U)^\s+|\s+$", "")
 
 
 def capitalised(s: Column) -> Column:
@@ -38,7 +39,9 @@ def profile_of(path: Column) -> Column:
 
 
 def specific_question(profile: Column, question: Column) -> Column:
-    return F.concat(F.lit("For "), profile, F.lit(", "), F.lower(F.substring(question, 1, 1)), question.substr(F.lit(2), F.length(question)))
+    """The question asked for a user's profile, its first letter in lower case; an empty one stays empty."""
+    q = F.regexp_replace(question, r"(?U)\s+$", "")
+    return F.when(q == "", q).otherwise(F.concat(F.lit("For the "), profile, F.lit(" user, "), F.lower(F.substring(q, 1, 1)), q.substr(F.lit(2), F.length(q))))
 
 
 def short_sha1(s: Column, n: int = 10) -> Column:

@@ -21,6 +21,14 @@ def global_offsets(docs: DataFrame, order: str, length: Column) -> DataFrame:
     return ranged.join(F.broadcast(starts), "__part").withColumn("offset", F.col("__start") + F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n", "__part", "__start")
 
 
+def window_counts(total: DataFrame, streams: int, size: int) -> DataFrame:
+    """(stream, window_index, tokens) of a corpus of so many tokens (the one value of a table), each of which has a next one in its stream; arithmetic, no token is made."""
+    length = F.floor(F.col("n") / streams) - 1
+    grid = total.toDF("n").select(length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("stream")).where("length > 0")
+    windows_ = grid.select("stream", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("w"))
+    return windows_.select("stream", F.col("w").cast("int").alias("window_index"), F.least(F.lit(size).cast("long"), F.col("length") - F.col("w") * size).alias("tokens"))
+
+
 def batchify(tokens: DataFrame, total: int, streams: int) -> DataFrame:
     """(stream, pos) for tokens at ``position`` of one corpus: equal contiguous streams, the remainder dropped."""
     length = total // streams
@@ -51,9 +59,11 @@ def first_window_guard(rows: DataFrame, tolerance: float = 1e-6, base: str = "ba
     return first.where(F.col("method") != base).join(b, "window_size").select("method", "window_size", d.alias("difference"), (d <= tolerance).alias("ok"))
 
 
-def position_offset(policy: Column, window_start: Column, size: int) -> Column:
-    """Position of a window's first token: 0 for the base method, one window for a memory, or the stream's own."""
-    return F.when(policy == "base", F.lit(0)).when(policy == "memory", F.lit(size)).otherwise(window_start)
+def position_offset(method: Column, policy: Column, window_index: Column, stream_position: Column, size: Column) -> Column:
+    """Position of a window's first token: 0 for the base method, the first window or the policy window_reset, one window for cache_relative, the stream's own for continuous."""
+    reset = (method == "base") | (policy == "window_reset") | (window_index == 0)
+    unknown = F.raise_error(F.concat(F.lit("unknown position policy "), policy)).cast("long")
+    return F.when(reset, F.lit(0)).when(policy == "cache_relative", size).when(policy == "continuous", stream_position).otherwise(unknown).cast("long")
 
 
 def prediction_metrics(logits: DataFrame) -> DataFrame:

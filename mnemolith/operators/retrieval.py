@@ -5,20 +5,14 @@ Candidates: (sample_id, cand_index, start_position, end_position, score, mass).
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions.hashing import seeded_order
 from mnemolith.functions.vector import entropy_term, normalised, softmax
 
-#: Which way each measure is better.
-DIRECTIONS = {"next_token_nll": "lower", "kl_from_full_context": "lower", "full_argmax_agreement": "higher", "teacher_forced_token_accuracy": "higher"}
-
-
 def policy_order(policy: str, seed: int = 0) -> list[Column]:
     """How a policy orders a sample's candidates."""
     return {
@@ -49,64 +43,50 @@ def decision_entropy(candidates: DataFrame) -> DataFrame:
 def sweep(candidates: DataFrame, budgets: list[int], policies: tuple[str, ...] = ("learned", "oracle", "recent", "oldest", "random"), seed: int = 0) -> DataFrame:
     """(sample_id, policy, budget, covered): the share of mass that each policy covers at each budget.
 
-    One sort for each policy gives all budgets: the running sum up to the budget's rank.
+    One shuffle by sample; every policy ranks there, and one aggregation makes all budgets of all policies.
     """
-    outs = []
-    for p in policies:
-        w = Window.partitionBy("sample_id").orderBy(*policy_order(p, seed))
-        ranked = candidates.select("sample_id", F.row_number().over(w).alias("rank"), F.sum("mass").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-        outs.append(ranked.groupBy("sample_id").agg(*[F.coalesce(F.max(F.when(F.col("rank") <= b, F.col("run"))), F.lit(0.0)).alias(str(b)) for b in budgets]).withColumn("policy", F.lit(p)))
-    every = outs[0]
-    for o in outs[1:]:
-        every = every.unionByName(o)
-    stack = f"stack({len(budgets)}, " + ", ".join(f"{b}, `{b}`" for b in budgets) + ") AS (budget, covered)"
-    return every.selectExpr("sample_id", "policy", stack)
+    ranked = candidates.withColumns({f"__{p}": F.row_number().over(Window.partitionBy("sample_id").orderBy(*policy_order(p, seed))) for p in policies})
+    cells = [(p, b) for p in policies for b in budgets]
+    wide = ranked.groupBy("sample_id").agg(*[F.coalesce(F.sum(F.when(F.col(f"__{p}") <= b, F.col("mass"))), F.lit(0.0)).alias(f"{p}_{b}") for p, b in cells])
+    stack = f"stack({len(cells)}, " + ", ".join(f"'{p}', {b}, `{p}_{b}`" for p, b in cells) + ") AS (policy, budget, covered)"
+    return wide.selectExpr("sample_id", stack)
 
 
 def mean_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
-def paired(rows: DataFrame, baseline: str = "policy", learned: str = "learned", value: str = "covered", higher: bool = True) -> DataFrame:
-    """For each budget and other policy: mean difference to the learned one over samples, win and tie rates. One pass, no self join."""
+def differences(rows: DataFrame, baseline: str = "policy", learned: str = "learned", value: str = "covered") -> DataFrame:
+    """(sample_id, budget, baseline, d): the learned policy's value less each other one's, without a self join."""
     wide = rows.groupBy("sample_id", "budget").agg(F.max(F.when(F.col(baseline) == learned, F.col(value))).alias("own"), F.collect_list(F.when(F.col(baseline) != learned, F.struct(F.col(baseline).alias("baseline"), F.col(value).alias("theirs")))).alias("rest"))
-    d = F.col("own") - F.col("r.theirs")
-    each = wide.select("budget", F.explode("rest").alias("r"), "own").select("budget", F.col("r.baseline").alias("baseline"), d.alias("d"))
+    return wide.select("sample_id", "budget", F.explode("rest").alias("r"), "own").select("sample_id", "budget", F.col("r.baseline").alias("baseline"), (F.col("own") - F.col("r.theirs")).alias("d"))
+
+
+def paired(rows: DataFrame, baseline: str = "policy", learned: str = "learned", value: str = "covered", higher: bool = True) -> DataFrame:
+    """For each budget and other policy: mean difference to the learned one over samples, win and tie rates."""
+    each = differences(rows, baseline, learned, value)
     won = F.col("d") > 0 if higher else F.col("d") < 0
     return each.groupBy("budget", "baseline").agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.avg(F.when(won, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(F.when(F.col("d") == 0, 1.0).otherwise(0.0)).alias("tie_rate"))
 
 
-def bootstrap(rows: DataFrame, by: list[str], value: str, iterations: int = 2000, seed: int = 0) -> DataFrame:
-    """95 % percentile interval of the mean, by Poisson resampling: each row counts Poisson(1) times in each resample.
+def bootstrap(rows: DataFrame, by: list[str], key: list[str], value: str, iterations: int = 2000, seed: int = 0) -> DataFrame:
+    """95 % percentile interval of each group's mean: (by..., low, high), the sorted means at int(0.025 n) and min(n - 1, int(0.975 n)).
 
-    Partial sums of all resamples are made where the rows are, so no group is gathered.
+    Poisson resampling: in each resample a row counts as often as a Poisson(1) draw says, which depends
+    on the seed, the row's ``key`` (distinct in its group) and the resample alone. Sums of all resamples
+    meet where the rows are, so no group is gathered.
     """
-    names = rows.select(*by).schema
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for b in batches:
-            for key, g in b.groupby(by, sort=False):
-                # the draw depends on the row's own hash, not on where it is
-                total, count = np.zeros(iterations), np.zeros(iterations)
-                for h, v in zip(g["__h"].to_numpy(), g[value].to_numpy(float)):
-                    n = np.random.default_rng([int(h) & 0xFFFFFFFFFFFFFFFF, seed]).poisson(1.0, iterations)
-                    total += n * v
-                    count += n
-                yield pd.DataFrame({**dict(zip(by, key)), "total": [total], "count": [count]})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", total array<double>, count array<double>"
-    parts = rows.withColumn("__h", F.xxhash64(*rows.columns)).select(*by, value, "__h").mapInPandas(partial, schema).select(*by, F.posexplode(F.arrays_zip("total", "count")).alias("i", "x"))
-    means = parts.groupBy(*by, "i").agg((F.sum("x.total") / F.nullif(F.sum("x.count"), F.lit(0.0))).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
-def exact_bootstrap(values: list[float], iterations: int = 2000, seed: int = 0) -> tuple[float, float]:
-    """The interval of one short list, resampled with Python's own generator."""
-    rng, n = random.Random(seed), len(values)
-    means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(iterations))
-    return means[int(0.025 * iterations)], means[min(iterations - 1, int(0.975 * iterations))]
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], F.col("i").cast("string"))), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    upto, p, times = 0.0, math.exp(-1), F.lit(0)
+    for n in range(1, 10):
+        upto += p
+        times = times + (draw >= upto).cast("int")
+        p /= n
+    each = rows.select(*by, *[k for k in key if k not in by], value, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i")).withColumn("times", times)
+    means = each.groupBy(*by, "i").agg((F.sum(F.col("times") * F.col(value)) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
+    ordered = F.sort_array(F.collect_list("m"))  # iterations numbers
+    at = lambda q: F.get(F.col("m"), F.least(F.size("m") - 1, F.floor(q * F.size("m")).cast("int")))
+    return means.groupBy(*by).agg(ordered.alias("m")).select(*by, at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def pareto(rows: DataFrame, key: str, higher: str, *lower: str) -> DataFrame:
@@ -119,6 +99,10 @@ def pareto(rows: DataFrame, key: str, higher: str, *lower: str) -> DataFrame:
     return a.join(b, no_worse & better, "left_anti").select("a.*")
 
 
-def best_under_budget(rows: DataFrame, limit: float, size: str, *order: Column) -> DataFrame:
-    """The first row by ``order`` among those of at most ``limit``."""
-    return rows.where(F.col(size) <= limit).orderBy(*order).limit(1)
+def best_under_budget(rows: DataFrame, limit: float | DataFrame, size: str, *order: Column) -> DataFrame:
+    """The first row by ``order`` among those of at most ``limit``: a number, or the one value of a table."""
+    if isinstance(limit, DataFrame):
+        fit = rows.crossJoin(F.broadcast(limit.toDF("__limit"))).where(F.col(size) <= F.col("__limit")).drop("__limit")
+    else:
+        fit = rows.where(F.col(size) <= limit)
+    return fit.orderBy(*order).limit(1)

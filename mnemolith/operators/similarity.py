@@ -12,14 +12,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions.vector import centred, unit
+from mnemolith.session import bounded_batches
 
-#: Queries that are a matrix in each task at once.
-BLOCK = 4096
+#: Rows of a block.
+BLOCK = 2048
 
 
 def pair_means(rows: DataFrame, by: list[str] | None = None, centre: bool = False) -> DataFrame:
@@ -41,67 +42,110 @@ def zscored(rows: DataFrame, floor: float = 1e-6) -> DataFrame:
     return rows.crossJoin(table).withColumn("vector", F.zip_with("vector", "__stats", lambda x, t: (x.cast("double") - t["m"]) / t["s"])).drop("__stats")
 
 
+def _blocks(rows: DataFrame, name: str, size: int = BLOCK) -> DataFrame:
+    """Rows (id, vector, label) in blocks: ids, labels and a matrix, each as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= size:
+                yield block(held)
+                held = []
+        if held and sum(h.num_rows for h in held):
+            yield block(held)
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        parts = [t["id"].to_numpy().astype("<i8"), t["label"].to_numpy().astype("<i8"), np.stack(t["vector"].to_numpy()).astype("<f8")]
+        return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in parts], names=[f"{name}_{c}" for c in ("ids", "labels", "matrix")])
+
+    bounded_batches(rows.sparkSession)
+    return rows.select("id", "vector", F.col("label").cast("long").alias("label")).mapInArrow(pack, ", ".join(f"{name}_{c} binary" for c in ("ids", "labels", "matrix")))
+
+
+def _distances(row: dict, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, query labels, ids, labels, scores where larger is nearer) of a pair of blocks; a query's own row is -inf."""
+    qi, ql, ri, rl = (np.frombuffer(row[c], "<i8") for c in ("q_ids", "q_labels", "r_ids", "r_labels"))
+    q, x = (np.frombuffer(row[f"{c}_matrix"], "<f8").reshape(len(n), -1) for c, n in (("q", qi), ("r", ri)))
+    if metric == "cosine":
+        q, x = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (q, x))
+        s = q @ x.T
+    else:
+        s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T))
+    s = np.round(s, 12)
+    s[qi[:, None] == ri[None]] = -np.inf
+    return qi, ql, ri, rl, s
+
+
 def neighbours(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", higher_first: bool = True) -> DataFrame:
     """(query_id, query_label, id, label, score, rank) of the ``k`` best rows for each query, without the query itself.
 
     cosine: largest first; euclid: smallest first. Ties: the larger id first, or the smaller.
+    Blocks of queries meet blocks of rows; of each pair of blocks the best ``k`` go on.
     """
-    spark, outs, pending = rows.sparkSession, [], []
     sign = 1 if higher_first else -1
-    schema = "query_id long, query_label long, id long, label long, score double"
-
-    def search(block: tuple):
-        shared = spark.sparkContext.broadcast(block)  # BLOCK vectors
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, labels, q = shared.value
-            best = None
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack(b.vector.to_numpy()).astype(np.float64)
-                if metric == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    s = q @ x.T
-                else:
-                    s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T))
-                own = b.id.to_numpy()
-                s[ids[:, None] == own[None]] = -np.inf
-                s = np.round(s, 12)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                qi, ql, ri, rl, s = _distances(row, metric)
                 n = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(-sign * own, s.shape), -s), axis=1)[:, :n]
-                got = pd.DataFrame({"query_id": np.repeat(ids, n), "query_label": np.repeat(labels, n), "id": own[order].ravel(), "label": b.label.to_numpy()[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-                best = got if best is None else pd.concat([best, got])
-                best["tie"] = -sign * best.id
-                best = best[best.score > -np.inf].sort_values(["query_id", "score", "tie"], ascending=[True, False, True]).groupby("query_id").head(k).drop(columns="tie")
-            if best is not None:
-                yield best
-
-        return rows.select("id", "vector", "label").mapInPandas(scan, schema)
-
-    def flush():
-        x = np.array([r.vector for r in pending], np.float64)
-        if metric == "cosine":
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        outs.append(search((np.array([r.id for r in pending]), np.array([r.label for r in pending]), x)))
-        pending.clear()
-
-    for r in queries.select("id", "vector", "label").toLocalIterator():  # a block at a time
-        pending.append(r)
-        if len(pending) == BLOCK:
-            flush()
-    if pending:
-        flush()
-    if not outs:
-        return spark.createDataFrame([], schema + ", rank int")
-    found = outs[0]
-    for o in outs[1:]:
-        found = found.unionByName(o)
+                order = np.lexsort((np.broadcast_to(-sign * ri, s.shape), -s), axis=1)[:, :n]
+                got = [np.repeat(qi, n), np.repeat(ql, n), ri[order].ravel(), rl[order].ravel(), np.take_along_axis(s, order, 1).ravel()]
+                some = np.isfinite(got[4])
+                yield pa.record_batch([pa.array(c[some]) for c in got], names=["query_id", "query_label", "id", "label", "score"])
+
+    pairs = _blocks(queries, "q").crossJoin(_blocks(rows, "r"))
+    found = pairs.mapInArrow(best, "query_id long, query_label long, id long, label long, score double")
     tie = F.desc("id") if higher_first else F.asc("id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie))).where(F.col("rank") <= k)
     return ranked if metric == "cosine" else ranked.withColumn("score", -F.col("score"))
 
 
+def distance_means(rows: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
+    """One row: pairs and mean score of queries with rows of the same and of other labels, a query's own row apart; sums of each pair of blocks meet in one aggregation."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                _, ql, _, rl, s = _distances(row, metric)
+                there, same = np.isfinite(s), ql[:, None] == rl[None]
+                parts = [(there & w).sum() for w in (same, ~same)] + [s[there & w].sum() for w in (same, ~same)]
+                yield pa.record_batch([pa.array([float(x)]) for x in parts], names=["ns", "no", "ss", "so"])
+
+    every = _blocks(queries, "q").crossJoin(_blocks(rows, "r")).mapInArrow(sums, "ns double, no double, ss double, so double")
+    total = every.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("ns", "no", "ss", "so")])
+    sign = 1 if metric == "cosine" else -1
+    mean = lambda s, n: F.when(F.col(n) > 0, sign * F.col(s) / F.col(n)).otherwise(F.lit(0.0))
+    return total.select(F.col("ns").cast("long").alias("same_pairs"), F.col("no").cast("long").alias("other_pairs"), mean("ss", "ns").alias("same_mean"), mean("so", "no").alias("other_mean"))
+
+
+def cross_means(queries: DataFrame, refs: DataFrame, *keys: str) -> DataFrame:
+    """For each key: (key, pairs, total) of cosines of queries with references that have the same key; no key: all pairs.
+
+    The sum over pairs of u.v is the dot product of the two sums, so no pair is made.
+    """
+    outs = []
+    for key in (None, *keys):
+        by = [key] if key else []
+        sums = [r.select(*by, F.posexplode(unit(F.col("vector"))).alias("dim", "x")).groupBy(*by, "dim").agg(F.sum("x").alias(c), F.count("*").alias(f"n{c}")) for r, c in ((queries, "a"), (refs, "b"))]
+        both = sums[0].join(sums[1], [*by, "dim"])
+        pairs = F.sum(F.when(F.col("dim") == 0, F.col("na") * F.col("nb")).otherwise(0))
+        outs.append(both.agg(F.lit(key or "all").alias("key"), F.coalesce(pairs, F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("total")))
+    every = outs[0]
+    for o in outs[1:]:
+        every = every.unionByName(o)
+    return every
+
+
+def conflict_rate(found: DataFrame) -> DataFrame:
+    """One row: of queries in conflict (query_conflict), how many have a first neighbour of their entity but of another label."""
+    first = found.where("rank = 1 AND query_conflict")
+    wrong = (F.col("entity") == F.col("query_entity")) & (F.col("label") != F.col("query_label"))
+    return first.agg(F.count("*").alias("conflict_queries"), F.coalesce(F.avg(F.when(wrong, 1.0).otherwise(0.0)), F.lit(0.0)).alias("conflict_false_positive_rate"))
+
+
 def retrieval_report(found: DataFrame, k: int) -> DataFrame:
     """One row: queries, top-1, recall at k, MRR within k."""
     hit = F.col("label") == F.col("query_label")
@@ -123,3 +167,11 @@ def best_by(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 def recommendation(top1: Column, conflict: Column) -> Column:
     """What a report's recall and conflict rate say."""
     return F.when((top1 >= 0.8) & (conflict <= 0.1), "go").when(top1 >= 0.6, "promising").when(top1 >= 0.4, "weak").otherwise("stop")
+
+
+def verdict(recall: Column, conflict: Column, canonical_margin: Column) -> Column:
+    """The advice on factual recall; its four texts and bounds are fixed values."""
+    return (
+        F.when((recall >= 0.80) & (conflict <= 0.10), "viable").when((canonical_margin > 0) & (recall >= 0.60), "viable only with canonical protocol")
+        .when(recall >= 0.40, "viable only for procedural/task memory").otherwise("not viable for factual recall")
+    )

@@ -59,6 +59,29 @@ def centroids(records: DataFrame, by: list[str], column: str = "vector", weight:
     return records.withColumn("w", w).select(*by, "w", F.posexplode(column).alias("dim", "x")).groupBy(*by, "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
 
 
+def eviction_priority(now: Column, written: Column, used: Column, times: Column, gain: Column, size: Column, idle_decay: float = 0.0) -> Column:
+    """How much a record's bytes are worth: its rate of reuse, less for idle time, times its gain, over its bytes. The least go first."""
+    idle, age = F.greatest(F.lit(0.0), now - F.coalesce(used, written)), F.greatest(F.lit(0.0), now - written)
+    return (times + 1.0) / (age + times + 1.0) * F.exp(-idle_decay * idle) * F.greatest(F.lit(0.0), gain) / F.greatest(F.lit(1), size)
+
+
+def split_distance(vector: Column, centre: Column, value: Column, its_value: Column, time: Column, its_time: Column, now: Column, value_weight: float = 0.0, time_weight: float = 0.0) -> Column:
+    """1 less the cosine to a centre, and weighted: 1 less the cosine of the values (if neither is zero), and the times' distance over the time since the earlier."""
+    from mnemolith.functions.vector import cosine, dot, norm
+
+    out = 1 - dot(vector, centre)
+    if value_weight:
+        out = out + F.when((norm(value) > 0) & (norm(its_value) > 0), value_weight * (1 - cosine(value, its_value))).otherwise(0.0)
+    if time_weight:
+        out = out + time_weight * F.abs(time - its_time) / F.greatest(F.lit(1.0), now - F.least(time, its_time))
+    return out
+
+
+def parent_bytes(parents: DataFrame) -> DataFrame:
+    """Of (dims, children): 160 for each parent, and 8 for each number and child."""
+    return parents.agg(F.coalesce(F.sum(160 + 8 * (F.col("dims") + F.col("children"))), F.lit(0)).cast("long").alias("parent_bytes"))
+
+
 def memory_bytes(records: DataFrame, slots: DataFrame) -> DataFrame:
     """Accounted bytes: 160 and 8 for each number of a record, 192 and 8 for each number and record of a slot."""
     r = records.agg(F.coalesce(F.sum(160 + 8 * (F.size("vector") + F.size("key") + F.size("value"))), F.lit(0)).cast("long").alias("record_bytes"))
@@ -66,21 +89,22 @@ def memory_bytes(records: DataFrame, slots: DataFrame) -> DataFrame:
     return r.crossJoin(s).withColumn("bytes", F.col("record_bytes") + F.col("slot_bytes"))
 
 
-def read_metrics(reads: DataFrame) -> DataFrame:
-    """One row over (expected, stale, absent, results array<source>): rates of a memory's reads.
+def read_metrics(reads: DataFrame, *by: str) -> DataFrame:
+    """Rates over reads (expected, stale, absent, results): results are the sources of each result, in order.
 
-    Top-1, recall and stale rates divide by reads that have an answer, wrong injections by all.
+    Top-1 (all sources of the first result are expected), recall and stale rates divide by reads that have
+    an answer, abstention by those that have none, wrong injections by all reads.
     """
-    first = F.array(F.try_element_at("results", F.lit(1)))
-    some = F.size("results") > 0
-    top1 = some & (F.size(F.array_intersect(first, "expected")) > 0)
-    hit = F.size(F.array_intersect("results", "expected")) > 0
-    answered = F.col("absent") == F.lit(False)
+    first, some, answered = F.get("results", F.lit(0)), F.size("results") > 0, ~F.col("absent")
+    meets = lambda a, b: F.size(F.array_intersect(a, F.col(b))) > 0
+    inside = lambda a: F.size(F.array_except(a, F.col("expected"))) == 0
+    any_of = lambda f: F.coalesce(F.exists("results", f), F.lit(False))
+    top1 = F.coalesce(some & meets(first, "expected") & inside(first), F.lit(False))
+    wrong = F.when(F.col("absent"), some).otherwise(any_of(lambda r: ~inside(r)))
     rate = lambda c, of: F.coalesce(F.sum(F.when(of & c, 1.0).otherwise(0.0)) / F.nullif(F.sum(F.when(of, 1.0).otherwise(0.0)), F.lit(0.0)), F.lit(0.0))
-    every = F.lit(True)
-    return reads.agg(
-        F.count("*").alias("reads"), rate(top1, answered).alias("top1"), rate(hit, answered).alias("recall"), rate(~some, ~answered).alias("abstention"),
-        rate(F.size(F.array_intersect("results", "stale")) > 0, answered).alias("stale"), rate(some & ~top1, every).alias("wrong"),
+    return reads.groupBy(*by).agg(
+        F.count("*").alias("queries"), rate(top1, answered).alias("top1_accuracy"), rate(any_of(lambda r: meets(r, "expected")), answered).alias("recall_at_k"), rate(~some, ~answered).alias("absent_abstention"),
+        rate(wrong, F.lit(True)).alias("wrong_injection_rate"), rate(any_of(lambda r: meets(r, "stale")), answered).alias("stale_injection_rate"),
     )
 
 

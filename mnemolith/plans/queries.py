@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -369,9 +370,28 @@ def paired_comparison(spark, sf_dir):
     return rounded(wide)
 
 
-@query()
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(n)) for n in range(1, 10)]
+
+
+def _resampled(table: str, by: str, key: str, value: str, iterations: int, seed: int) -> str:
+    """SQL of ``retrieval.bootstrap``."""
+    times = " + ".join(f"(u >= {p!r})::INT" for p in POISSON)
+    return f""", dr AS (SELECT {by}, {value} AS v, i, ('0x' || substr(md5('{seed}:' || {key} || ':' || i), 1, 12))::BIGINT / 281474976710656.0 AS u FROM {table}, range({iterations}) r(i)),
+  rs AS (SELECT {by}, i, sum(({times}) * v) / nullif(sum({times}), 0) AS m FROM dr GROUP BY ALL), ls AS (SELECT {by}, list(m ORDER BY m) FILTER (m IS NOT NULL) AS m FROM rs GROUP BY ALL)"""
+
+
+@query(SWEEP + _resampled("sw", "policy, budget", "sample_id || ':' || policy || ':' || budget", "covered", 500, 3) + " SELECT policy, budget, round(m[floor(0.025 * len(m))::INT + 1], 6) AS low, round(m[least(len(m) - 1, floor(0.975 * len(m))::INT) + 1], 6) AS high FROM ls WHERE budget < 4")
 def bootstrap_ci(spark, sf_dir):
-    return retrieval.bootstrap(retrieval.sweep(t.candidates(spark, sf_dir), [1, 2]), ["policy", "budget"], "covered", 500, 3)
+    return rounded(retrieval.bootstrap(retrieval.sweep(t.candidates(spark, sf_dir), [1, 2]), ["policy", "budget"], ["sample_id", "policy", "budget"], "covered", 500, 3))
+
+
+@query(SWEEP + """, pd AS (SELECT a.sample_id, a.budget, b.policy AS baseline, round(a.covered - b.covered, 9) AS d FROM sw a JOIN sw b ON a.sample_id = b.sample_id AND a.budget = b.budget AND a.policy = 'learned' AND b.policy <> 'learned')"""
+       + _resampled("pd", "budget, baseline", "sample_id || ':' || budget || ':' || baseline", "d", 200, 1) + " SELECT budget, baseline, round(m[floor(0.025 * len(m))::INT + 1], 6) AS low, round(m[least(len(m) - 1, floor(0.975 * len(m))::INT) + 1], 6) AS high FROM ls")
+def paired_intervals(spark, sf_dir):
+    """Of the mean differences of paired_comparison."""
+    s = retrieval.sweep(t.candidates(spark, sf_dir), [1, 2, 4]).withColumn("covered", F.round("covered", 9))
+    d = retrieval.differences(s).withColumn("d", F.round("d", 9))
+    return rounded(retrieval.bootstrap(d, ["budget", "baseline"], ["sample_id", "budget", "baseline"], "d", 200, 1))
 
 
 CONFIGS = "c AS (SELECT event_type || ':' || (user_id % 20) AS config, round(avg(value), 6) AS quality, count(*) AS bytes, round(stddev_samp(value), 6) AS latency FROM events GROUP BY ALL)"
@@ -390,8 +410,7 @@ def pareto_frontier(spark, sf_dir):
 @query(f"WITH {CONFIGS} SELECT * FROM c WHERE bytes <= (SELECT median(bytes) FROM c) ORDER BY quality DESC, bytes, latency, config LIMIT 1")
 def best_under_budget(spark, sf_dir):
     c = _configs(spark, sf_dir)
-    limit = c.agg(F.median("bytes")).first()[0]
-    return retrieval.best_under_budget(c, limit, "bytes", F.desc("quality"), F.asc("bytes"), F.asc("latency"), F.asc("config"))
+    return retrieval.best_under_budget(c, c.agg(F.median("bytes")), "bytes", F.desc("quality"), F.asc("bytes"), F.asc("latency"), F.asc("config"))
 
 
 # --- temporal memory ------------------------------------------------------------------------------------------------------------
@@ -407,8 +426,8 @@ def asof_visible_current(spark, sf_dir):
 @query(REC + ", m AS (SELECT floor(max(write_time) / 2) AS till FROM w) SELECT record_id, slot FROM w, m WHERE write_time <= till AND (superseded_by IS NULL OR superseded_by > till)")
 def asof_visible_historical(spark, sf_dir):
     r = t.records(spark, sf_dir)
-    at = r.agg(F.floor(F.max("write_time") / 2)).first()[0]
-    return temporal.visible(r, "historical", at).select("record_id", "slot")
+    r = r.crossJoin(F.broadcast(r.agg(F.floor(F.max("write_time") / 2).alias("at"))))
+    return temporal.visible(r, "historical", F.col("at")).select("record_id", "slot")
 
 
 @query(REC + """ SELECT record_id, round(exp(-0.001 * (1000 - write_time)) * power(1e-6 + 1, 0.5) * (CASE WHEN superseded_by IS NULL THEN 1 ELSE 0 END), 6) AS weight FROM w WHERE write_time <= 1000""")
@@ -529,11 +548,8 @@ def corpus_offsets(spark, sf_dir):
   SELECT stream::INT AS stream, (pos // 512)::INT AS window_index, count(*) AS tokens FROM s WHERE pos < (SELECT n // 4 - 1 FROM n) GROUP BY ALL""")
 def sequential_windows(spark, sf_dir):
     """Four contiguous streams in windows of 512 tokens, each of which has a next one."""
-    c = _corpus(spark, sf_dir)
-    total = int(c.agg(F.sum(F.size("w") + 1)).first()[0])
-    tokens = c.select(F.explode(F.sequence(F.col("offset").cast("long"), (F.col("offset") + F.size("w")).cast("long"))).alias("position"))
-    b = lm_eval.batchify(tokens, total, 4).where(F.col("pos") < total // 4 - 1)
-    return b.groupBy("stream", F.floor(F.col("pos") / 512).cast("int").alias("window_index")).agg(F.count("*").alias("tokens"))
+    words = F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    return lm_eval.window_counts(t.table(spark, sf_dir, "documents").agg(F.sum(words + 1)), 4, 512)
 
 
 STEP = "s AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS x FROM events)"

@@ -3,6 +3,7 @@
 import pytest
 from oracle import database, difference
 
+import __spark_entry__  # noqa: F401  (all modules of queries)
 from mnemolith.plans import queries
 
 SF = "/root/testdata/sf0.001"
