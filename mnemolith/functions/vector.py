@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -76,13 +79,14 @@ def normalised(entropy: Column, n: Column) -> Column:
     return F.when(n > 1, entropy / F.log(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def random_projection(a: Column, dims: int, seed: int) -> Column:
-    """Signs drawn from a hash of (row, column, seed), over the root of ``dims``."""
-    def row(j: Column) -> Column:
-        signed = F.transform(a, lambda x, i: F.when(F.pmod(F.xxhash64(i.cast("long"), j.cast("long"), F.lit(seed).cast("long")), F.lit(2)) == 0, x.cast("double")).otherwise(-x.cast("double")))
-        return F.aggregate(signed, F.lit(0.0), lambda s, v: s + v) / math.sqrt(dims)
+def projection_signs(length: int, dims: int, seed: int) -> list[list[float]]:
+    """Rows of signs drawn from a hash of (seed, row, column)."""
+    return [[1.0 if hashlib.sha256(f"{seed}:{j}:{i}".encode()).digest()[0] < 128 else -1.0 for i in range(length)] for j in range(dims)]
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), row)
+
+def random_projection(a: Column, length: int, dims: int, seed: int) -> Column:
+    """A vector of ``length`` numbers times rows of signs, over the root of ``dims``."""
+    return F.transform(F.lit(projection_signs(length, dims, seed)), lambda row: dot(a, row) / math.sqrt(dims))
 
 
 def kappa(resultant: Column, dims: int, largest: float = 100.0) -> Column:
@@ -110,6 +114,41 @@ def vmf_log_normalizer(k: Column, dims: int) -> Column:
     return F.when(k <= 1e-8, F.lit(sphere_log_density(dims))).otherwise(v * F.log(k) - dims / 2 * math.log(2 * math.pi) - log_bessel)
 
 
+def log_bessel(order: float, x: float) -> float:
+    """Log of the modified Bessel function of the first kind: Debye's expansion for large orders, an asymptotic one for large x, else the power series."""
+    if order >= 15:
+        z = x / order
+        root = math.sqrt(1 + z * z)
+        t = 1 / root
+        u1, u2 = (3 * t - 5 * t**3) / 24, (81 * t**2 - 462 * t**4 + 385 * t**6) / 1152
+        return order * (root + math.log(z / (1 + root))) - 0.5 * math.log(2 * math.pi * order * root) + math.log1p(u1 / order + u2 / order**2)
+    if x > 50 + order * order:
+        m = 4 * order * order
+        return x - 0.5 * math.log(2 * math.pi * x) + math.log1p(-(m - 1) / (8 * x) + (m - 1) * (m - 9) / (2 * (8 * x) ** 2) - (m - 1) * (m - 9) * (m - 25) / (6 * (8 * x) ** 3))
+    k = np.arange(int(x) * 2 + 60)
+    terms = (2 * k + order) * math.log(x / 2) - np.array([math.lgamma(i + 1) + math.lgamma(i + order + 1) for i in k])
+    top = terms.max()
+    return float(top + math.log(np.exp(terms - top).sum()))
+
+
+def vmf_density(cosine: float, kappa: float, dims: int) -> float:
+    """Log density at a cosine to the mean direction; for any number of dimensions."""
+    if kappa <= 1e-12:
+        return sphere_log_density(dims)
+    v = dims / 2 - 1
+    return v * math.log(kappa) - dims / 2 * math.log(2 * math.pi) - log_bessel(v, kappa) + kappa * cosine
+
+
+def vmf_log_density(cosine: Column, kappa: Column, dims: int) -> Column:
+    """The same as a column, in Arrow batches; for 32 dimensions and more ``vmf_log_normalizer`` stays in the JVM."""
+
+    @F.pandas_udf("double")
+    def density(c: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([vmf_density(x, y, dims) for x, y in zip(c, k)], dtype=float)
+
+    return density(cosine, kappa)
+
+
 def record_weight(now: Column, written: Column, used: Column, gain: Column, superseded: Column, active: Column, *, age_decay: float = 0.0, idle_decay: float = 0.0, floor: float = 1e-6, gain_power: float = 0.0) -> Column:
     """active * exp(-a * age) * exp(-b * idle) * (floor + gain) ** power * (1 - superseded)."""
     age, idle = F.greatest(now - written, F.lit(0.0)), F.greatest(now - used, F.lit(0.0))

@@ -73,3 +73,36 @@ def readout(memory: DataFrame, query: Column, dims: int) -> DataFrame:
 
     scored = memory.withColumn("a", softmax(dot(query, F.col("key")) / math.sqrt(dims) + F.log(F.col("n").cast("double")), "query_id"))
     return scored.select("query_id", "a", F.posexplode("value").alias("dim", "x")).groupBy("query_id", "dim").agg(F.sum(F.col("a") * F.col("x").cast("double")).alias("value"))
+
+
+def future_mass_by_head(attention: DataFrame, block: int) -> DataFrame:
+    """(sample_id, layer, head, future_index, block_index, mass): nothing is averaged."""
+    at = F.floor(F.col("key_position") / block).cast("int").alias("block_index")
+    return attention.groupBy("sample_id", "layer", "head", "future_index", at).agg(F.sum("p").alias("mass"))
+
+
+def region_mass(attention: DataFrame, regions: DataFrame, keys: int) -> DataFrame:
+    """(sample_id, layer, head, future_index, region, length, mass) over the ranges (sample_id, region, start_position, end_position), cut to [0, ``keys``)."""
+    cut_ = regions.withColumns({"start_position": F.greatest(F.lit(0), "start_position"), "end_position": F.least(F.lit(keys), "end_position")}).where("end_position > start_position")
+    lengths = cut_.groupBy("sample_id", "region").agg(F.sum(F.col("end_position") - F.col("start_position")).alias("length"))
+    inside = attention.join(cut_, "sample_id").where("key_position >= start_position AND key_position < end_position")
+    mass = inside.groupBy("sample_id", "layer", "head", "future_index", "region").agg(F.sum("p").alias("mass"))
+    return mass.join(lengths, ["sample_id", "region"])
+
+
+def sample_faults(samples: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """(sample_id, fault) of samples (sample_id, sequence_id, local_start, local_end, retrieval_position, first_future_position, horizon, query, ids, ends, vectors, absolute, total, conditional)."""
+    finite = lambda a: F.forall(a, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    n, sums = F.size("ids"), {c: total(F.col(c)) for c in ("absolute", "conditional")}
+    rules = {
+        "empty id": (F.col("sample_id") == "") | (F.col("sequence_id") == ""), "local range": (F.col("local_start") < 0) | (F.col("local_end") <= F.col("local_start")),
+        "position outside": (F.col("retrieval_position") < F.col("local_start")) | (F.col("retrieval_position") >= F.col("local_end")), "future not after": F.col("first_future_position") <= F.col("retrieval_position"),
+        "horizon": F.col("horizon") <= 0, "no candidates": n == 0, "ids repeat": F.size(F.array_distinct("ids")) < n, "block in window": F.exists("ends", lambda e: e > F.col("local_start")),
+        "not finite": ~(finite(F.col("query")) & finite(F.flatten("vectors")) & finite(F.col("absolute")) & finite(F.col("conditional"))),
+        "dimensions": F.exists("vectors", lambda v: F.size(v) != F.size("query")) | (F.size("vectors") != n), "mass per block": (F.size("absolute") != n) | (F.size("conditional") != n),
+        "negative mass": F.exists("absolute", lambda x: x < 0) | F.exists("conditional", lambda x: x < 0) | (F.col("total") < 0),
+        "total": F.abs(F.col("total") - sums["absolute"]) > tolerance * F.greatest(F.lit(1.0), F.col("total"), sums["absolute"]),
+        "not a distribution": (F.col("total") > tolerance) & (F.abs(sums["conditional"] - 1) > tolerance), "mass of nothing": (F.col("total") <= tolerance) & (sums["conditional"] > tolerance),
+    }
+    return samples.select("sample_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))).alias("fault"))

@@ -66,3 +66,10 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start
     """
     cells = ranges.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
     return points.withColumn("__cell", F.floor(F.col(at) / width)).join(cells, [key, "__cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__cell")
+
+
+def answer_positions(prompt: Column, full: Column) -> Column:
+    """An array of (family, position, place): the prompt's last token (place -1), and the answer's tokens."""
+    answer = F.when(full > prompt, F.transform(F.sequence(F.lit(0), full - prompt - 1), lambda i: F.struct(F.lit("answer").alias("family"), (prompt + i).alias("position"), i.alias("place"))))
+    last = F.array(F.struct(F.lit("final_prompt").alias("family"), (prompt - 1).alias("position"), F.lit(-1).alias("place")))
+    return F.concat(last, F.coalesce(answer, F.slice(last, 1, 0)))

@@ -213,9 +213,94 @@ def stratified_start(insertion: Column, target: Column, latest_end: Column, bloc
     first = F.floor((insertion + block - 1) / block) * block
     n = F.floor((latest_end - target - first) / block) + 1
     low, high = F.floor(n * bin_index / bins), F.floor(n * (bin_index + 1) / bins)
-    drawn = low + F.pmod(F.xxhash64(key, F.lit(seed)), high - low)
+    drawn = low + F.pmod(F.conv(F.substring(seeded_order(key, seed), 1, 12), 16, 10).cast("long"), high - low)
     return F.when(n >= bins, first + drawn * block).cast("long")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def key_faults(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, fault): keys that are missing and keys that weren't expected."""
+    a, b = expected.select(key).distinct(), found.select(key).distinct()
+    return union_all([a.join(b, key, "left_anti").withColumn("fault", F.lit("missing")), b.join(a, key, "left_anti").withColumn("fault", F.lit("unexpected"))])
+
+
+def with_whole_evidence(qa: DataFrame, turns: DataFrame, key: str = "index") -> DataFrame:
+    """Questions all of whose evidence turns are there; qa: (index, user_name, evidence_turn_ids), turns: (user_name, turn_id)."""
+    each = qa.select(key, "user_name", F.explode("evidence_turn_ids").alias("turn_id"))
+    lacking = each.join(turns, ["user_name", "turn_id"], "left_anti").select(key).distinct()
+    return qa.where(F.size("evidence_turn_ids") > 0).join(lacking, key, "left_anti")
+
+
+def paired_rows(rows: DataFrame, most: int) -> DataFrame:
+    """Of facts with both a fact_reference and a question_query, the first ``most`` by id: both rows, and the query's as history_answer with its history prompt. Too few is an error."""
+    both = rows.where(F.col("condition_id").isin("fact_reference", "question_query"))
+    whole = both.groupBy("target_fact_id").agg(F.count_distinct("condition_id").alias("n")).where("n = 2").orderBy("target_fact_id").limit(most).select("target_fact_id")
+    if (got := whole.count()) < most:
+        raise ValueError(f"only {got} of {most} facts have both rows")
+    kept = both.join(F.broadcast(whole), "target_fact_id", "left_semi")
+    history = kept.where("condition_id = 'question_query'").withColumns({"prompt_id": F.replace("prompt_id", F.lit("question_query"), F.lit("history_answer")), "condition_id": F.lit("history_answer"), "prompt": F.col("history_prompt")})
+    return kept.unionByName(history)
+
+
+def prompt_faults(rows: DataFrame, suite: str = "convomem_query_to_fact", needed: tuple[str, ...] = ("fact_reference", "question_query")) -> DataFrame:
+    """(prompt_id, fault) of rows that a prompt-free search can't take; a condition that no row has is a fault without a prompt."""
+    tests = {"suite": F.col("suite") != suite, "instructed": F.coalesce("knowledge_prompt", F.lit(False))}
+    bad = rows.withColumn("fault", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()])))).select("prompt_id", "fault")
+    there = rows.agg(F.collect_set(F.when(F.col("condition_id").isin(*needed), F.col("condition_id"))).alias("c"))
+    lacking = there.select(F.lit(None).cast("string").alias("prompt_id"), F.explode(F.array_except(F.lit(list(needed)), "c")).alias("fault"))
+    return bad.unionByName(lacking)
+
+
+def corpus_tokens(docs: DataFrame, most: int, bos: str = "<bos>", eos: str = "<eos>") -> DataFrame:
+    """(position, token) of texts (offset, tokens) laid end to end behind one ``bos``, an ``eos`` after each, cut at ``most`` tokens.
+
+    ``offset`` counts each text before and its end; a text beyond the cut makes no row.
+    """
+    each = docs.where(F.col("offset") + 1 < most).select("offset", F.posexplode(F.concat("tokens", F.array(F.lit(eos)))).alias("i", "token"))
+    placed = each.select((F.col("offset") + F.col("i") + 1).alias("position"), "token").where(F.col("position") < most)
+    return placed.unionByName(docs.sparkSession.createDataFrame([(0, bos)], "position long, token string"))
+
+
+def repeated_questions(records: DataFrame, most: int, seed: int = 13, each: int = 4) -> DataFrame:
+    """Records of questions that have two different answers or more: groups in seeded order, ``each`` at most of a group, ``most`` in all.
+
+    Within a group an answer's first record (by file and place) counts; adds group_rank and rank.
+    """
+    key, first = ["category", "question_key"], Window.partitionBy("category", "question_key", "answer_key").orderBy("source_file", "source_item_index")
+    one = records.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    whole = Window.partitionBy(*key)
+    one = one.withColumn("answers", F.count("*").over(whole)).where("answers >= 2")
+    one = one.withColumn("rank", F.row_number().over(whole.orderBy(seeded_order(F.col("target_fact_id"), seed), "target_fact_id"))).where(F.col("rank") <= each)
+    groups = one.groupBy(*key).agg(F.count("*").alias("n")).withColumn("o", seeded_order(F.concat_ws(":", *key), seed)).orderBy("o", *key).limit(most)  # most groups hold two records each
+    upto = Window.orderBy("o", *key)
+    ranked = groups.withColumn("group_rank", F.row_number().over(upto)).withColumn("room", most - (F.sum("n").over(upto) - F.col("n"))).where("room >= 2")
+    return one.join(F.broadcast(ranked.select(*key, "group_rank", "room")), key).where(F.col("rank") <= F.col("room")).drop("room", "answers")
+
+
+def fact_prompts(records: DataFrame, most: int, seed: int = 13) -> DataFrame:
+    """Two prompts, fact_reference and question_query, of the first ``most`` records by seeded order; the history prompt is the one with the other."""
+    from mnemolith.functions.text import specific_question
+
+    chosen = records.withColumn("o", seeded_order(F.col("target_fact_id"), seed)).orderBy("o", "target_fact_id").limit(most)
+    asked = specific_question(F.col("profile"), F.col("question"))
+    fact = F.concat(F.lit("User profile: "), "profile", F.lit("\nConversation evidence:\n"), "evidence_context")
+    query_ = F.concat(F.lit("User profile: "), "profile", F.lit("\n\nQuestion: "), asked)
+    rows = chosen.withColumns({"specific_question": asked, "fact_prompt": fact, "query_prompt": query_, "history_prompt": F.concat(fact, F.lit("\n\nQuestion: "), asked)})
+    both = rows.withColumn("c", F.explode(F.array(F.struct(F.lit("fact_reference").alias("condition_id"), F.col("fact_prompt").alias("prompt")), F.struct(F.lit("question_query").alias("condition_id"), F.col("query_prompt").alias("prompt")))))
+    return both.select(
+        F.concat_ws("_", F.lit("convomem"), "target_fact_id", "c.condition_id").alias("prompt_id"), F.lit("convomem_query_to_fact").alias("suite"), "target_fact_id", "c.condition_id", "question_key", "specific_question", "entity",
+        F.col("category").alias("attribute"), "answer", (F.col("category") == "changing_evidence").alias("conflict"), "c.prompt", "history_prompt", F.lit(False).alias("knowledge_prompt"),
+    )
+
+
+def with_metadata(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, and all others as one JSON column ``metadata``."""
+    return rows.select(*keep, F.to_json(F.struct(*[c for c in rows.columns if c not in keep]), {"ignoreNullFields": "false"}).alias("metadata"))
+
+
+def prefixed(rows: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
+    """All columns but ``keep`` get a prefix."""
+    return rows.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in rows.columns])

@@ -56,6 +56,12 @@ def mean_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
+def finite_means(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., n, mean) over finite values only."""
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return rows.where(finite).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
 def differences(rows: DataFrame, baseline: str = "policy", learned: str = "learned", value: str = "covered") -> DataFrame:
     """(sample_id, budget, baseline, d): the learned policy's value less each other one's, without a self join."""
     wide = rows.groupBy("sample_id", "budget").agg(F.max(F.when(F.col(baseline) == learned, F.col(value))).alias("own"), F.collect_list(F.when(F.col(baseline) != learned, F.struct(F.col(baseline).alias("baseline"), F.col(value).alias("theirs")))).alias("rest"))

@@ -111,3 +111,46 @@ def read_metrics(reads: DataFrame, *by: str) -> DataFrame:
 def ema_fold(values: Column, rate: float, start: float = 0.0) -> Column:
     """Exponential moving average after an ordered array of values."""
     return F.aggregate(values, F.lit(float(start)), lambda s, v: s * (1 - rate) + v.cast("double") * rate)
+
+
+def cross_supersession(records: DataFrame) -> DataFrame:
+    """(slot, other): slots one of whose records is superseded by one of the other's; such a pair mustn't merge."""
+    later = records.select("stream", F.col("record_id").alias("superseded_by"), F.col("slot").alias("other"))
+    return records.select("stream", "slot", "superseded_by").join(later, ["stream", "superseded_by"]).where("slot <> other").select("slot", "other").distinct()
+
+
+def centroid_payload(records: DataFrame) -> DataFrame:
+    """(slot, n, one_text, sources): how many records a slot has, whether all have the same key and value, and their sources."""
+    same = F.count_distinct(F.struct("key", "value")) == 1
+    return records.groupBy("slot").agg(F.count("*").alias("n"), same.alias("one_text"), F.sort_array(F.collect_set("source")).alias("sources"))
+
+
+def regret(records: DataFrame, centres: DataFrame) -> DataFrame:
+    """(slot, regret): the mean over a slot's records of 1 less the largest cosine to its centres (slot, centre)."""
+    from mnemolith.functions.vector import dot
+
+    near = records.join(centres, "slot").groupBy("slot", "record_id").agg(F.max(dot(F.col("vector"), F.col("centre"))).alias("c"))
+    return near.groupBy("slot").agg(F.avg(1 - F.col("c")).alias("regret"))
+
+
+def evicted(records: DataFrame, budget: int) -> DataFrame:
+    """Records (stream, record_id, priority, size) that go, least priority first, until what stays of a stream fits ``budget`` bytes."""
+    w = Window.partitionBy("stream")
+    before = F.coalesce(F.sum("size").over(w.orderBy("priority", "record_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return records.withColumn("left", F.sum("size").over(w) - before).where(F.col("left") > budget).drop("left")
+
+
+def allocation_order(slots: DataFrame) -> DataFrame:
+    """Slots (stream, slot, used, touched_now, age) with the rank in which writes take them: free ones, then untouched ones from the oldest, then touched ones."""
+    kind = F.when(~F.col("used"), 0).when(~F.col("touched_now"), 1).otherwise(2)
+    return slots.withColumn("rank", F.row_number().over(Window.partitionBy("stream").orderBy(kind, F.when(F.col("used"), -F.col("age")).otherwise(F.lit(0)), "slot")))
+
+
+def assignment_posterior(vectors: DataFrame, slots: DataFrame, dims: int, alpha: float = 0.1, exponent: float = 0.5) -> DataFrame:
+    """(id, slot, p): of unit vectors (id, grp, vector), how likely each is of a slot (grp, slot, records, concentration, mean) of its group, or of a new one (slot -1)."""
+    from mnemolith.functions.vector import cosine, softmax, sphere_log_density, vmf_log_normalizer
+
+    near = exponent * F.log(F.col("records").cast("double")) + vmf_log_normalizer(F.col("concentration"), dims) + F.col("concentration") * cosine(F.col("vector"), F.col("mean"))
+    held = vectors.join(slots, "grp").select("id", "slot", near.alias("score"))
+    new = vectors.select("id", F.lit(-1).cast("long").alias("slot"), (F.log(F.lit(alpha)) + sphere_log_density(dims)).alias("score"))
+    return held.unionByName(new).withColumn("p", softmax(F.col("score"), "id")).drop("score")

@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from mnemolith.functions.vector import vmf_density
+
 OUT = "stream string, layer int, grp string, seq long, op string, slot long, created boolean, score double, p_new double, results array<string>"
 
 
@@ -60,31 +62,6 @@ class State:
     clock: float = -math.inf
 
 
-def log_bessel(order: float, x: float) -> float:
-    """Log of the modified Bessel function of the first kind: Debye's expansion for large orders, else its power series."""
-    if order >= 15:
-        z = x / order
-        root = math.sqrt(1 + z * z)
-        t = 1 / root
-        u1, u2 = (3 * t - 5 * t**3) / 24, (81 * t**2 - 462 * t**4 + 385 * t**6) / 1152
-        return order * (root + math.log(z / (1 + root))) - 0.5 * math.log(2 * math.pi * order * root) + math.log1p(u1 / order + u2 / order**2)
-    if x > 50 + order * order:
-        m = 4 * order * order
-        return x - 0.5 * math.log(2 * math.pi * x) + math.log1p(-(m - 1) / (8 * x) + (m - 1) * (m - 9) / (2 * (8 * x) ** 2) - (m - 1) * (m - 9) * (m - 25) / (6 * (8 * x) ** 3))
-    k = np.arange(int(x) * 2 + 60)
-    lg = np.array([math.lgamma(i + 1) + math.lgamma(i + order + 1) for i in k])
-    terms = (2 * k + order) * math.log(x / 2) - lg
-    top = terms.max()
-    return float(top + math.log(np.exp(terms - top).sum()))
-
-
-def vmf_log_density(cosine: float, kappa: float, dims: int) -> float:
-    if kappa <= 1e-12:
-        return math.lgamma(dims / 2) - math.log(2) - dims / 2 * math.log(math.pi)
-    v = dims / 2 - 1
-    return v * math.log(kappa) - dims / 2 * math.log(2 * math.pi) - log_bessel(v, kappa) + kappa * cosine
-
-
 def _unit(v) -> np.ndarray:
     v = np.asarray(v, float)
     n = np.linalg.norm(v)
@@ -106,7 +83,7 @@ def write(s: State, p: Policy, e) -> tuple[int, bool, float, float]:
             counts, d = np.array(s.counts, float), len(v)
             r = np.minimum(1, lengths / (counts + p.prior_mass))
             kappa = np.clip(r * (d - r * r) / np.maximum(1 - r * r, 1e-12), 0, p.largest_kappa)
-            log = np.array([math.log(p.alpha) + vmf_log_density(0, 0, d), *(p.count_exponent * math.log(n) + vmf_log_density(c, k, d) for n, c, k in zip(counts, cos, kappa))])
+            log = np.array([math.log(p.alpha) + vmf_density(0, 0, d), *(p.count_exponent * math.log(n) + vmf_density(c, k, d) for n, c, k in zip(counts, cos, kappa))])
             post = np.exp(log - log.max())
             post /= post.sum()
             p_new, slot = float(post[0]), int(post[1:].argmax())
