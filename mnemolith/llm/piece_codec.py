@@ -2,6 +2,12 @@
 
 The best segmentation of a text into the model's pieces (highest sum of piece
 scores; a character without a piece falls back to its bytes at a penalty).
+That is what a unigram model means by encoding. A BPE model's scores are the
+ranks of its merges, and its own encoding applies those one by one: for such a
+model the result is another valid segmentation that decodes to the same text,
+but not the library's ids. The columns are therefore named ``best_``; counts
+and ids as a BPE model gives them are those of the token-count operator.
+
 The search keeps a window of best scores and back pointers no longer than the
 longest piece. Whenever all surviving back pointer paths meet in one boundary,
 what lies before it is final: its ids are committed and forgotten. So memory
@@ -9,7 +15,7 @@ doesn't grow with a text.
 
 A run of spaces and what follows it is such a unit if no piece of the model
 has a space after another character; units are committed one by one, and
-those met before are remembered (a bounded number).
+those met before are remembered (in bounded memory).
 
 Decoding turns ids into their pieces (bytes for byte pieces) and marks into
 spaces, and drops the one space that encoding puts in front.
@@ -32,14 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import text_or_empty
+from mnemolith.llm.common import Memo, quoted, text_or_empty
+from mnemolith.session import bounded_batches
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Below the least piece score: what a character without a piece costs.
 PENALTY = 10.0
-#: Units remembered in a worker at most.
-KNOWN = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -63,7 +68,7 @@ class PieceCodec:
         self.longest = max(map(len, self.score))
         self.floor = min(s for s, _ in self.score.values()) - PENALTY
         self.by_unit = not any(MARK in p.lstrip(MARK) for p in self.score)
-        self.known: dict[str, list[int]] = {}
+        self.known = Memo()
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of a marked text, in runs as they are committed."""
@@ -80,7 +85,7 @@ class PieceCodec:
                         best[end], back[end] = value, (at, found[1])
             if text[at] not in score and (at + 1 not in best or here + self.floor > best[at + 1]):
                 best[at + 1], back[at + 1] = here + self.floor, (at, self.unknown)
-            if (at + 1) % longest == 0 and at + 1 < n:
+            if at + 1 < n and (len(best) == 1 or (at + 1) % longest == 0):
                 # follow the survivors back until they are one
                 alive = set(best)
                 while len(alive) > 1:
@@ -112,16 +117,15 @@ class PieceCodec:
         marked = MARK + text.replace(" ", MARK)
         if not self.by_unit:
             return [i for run in self.stream(marked) for i in run]
-        units = UNIT.findall(marked)
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        self.known.room()
         out: list[int] = []
-        for u in units:
+        for unit in UNIT.finditer(marked):
+            u = unit[0]
             ids = self.known.get(u)
             if ids is None:
                 ids = [i for run in self.stream(u) for i in run]
                 if len(u) <= 64:
-                    self.known[u] = ids
+                    self.known.learn([(u, ids)])
             out += ids
         return out
 
@@ -133,7 +137,8 @@ class PieceCodec:
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """id, n_chars, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), round_trip (decoding gives the text back); with ``keep_ids`` the ids too."""
+    """id, n_chars, best_pieces (their number), best_ids_crc32 (little-endian unsigned 32-bit ids), round_trip (decoding gives the text back); with ``keep_ids`` the ids too."""
+    bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model_path)
@@ -145,18 +150,19 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 rows.append((len(t), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), codec.decode(ids) == t.replace(MARK, " "), *([ids] if keep_ids else [])))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
-                yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["id", "n_chars", "n_tokens", "ids_crc32", "round_trip", "ids"][: 6 if keep_ids else 5])
+                yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["id", "n_chars", "best_pieces", "best_ids_crc32", "round_trip", "ids"][: 6 if keep_ids else 5])
 
-    schema = "id long, n_chars long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(each, schema).withColumnRenamed("id", id_col)
+    schema = "id long, n_chars long, best_pieces long, best_ids_crc32 long, round_trip boolean" + ", ids array<int>" * keep_ids
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(each, schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, text) from a table with a column ids; null ids give the empty text."""
+    bounded_batches(encoded.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model_path)
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([codec.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), "ids").mapInArrow(each, "id long, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(quoted(id_col)).cast("long").alias("id"), "ids").mapInArrow(each, "id long, text string").withColumnRenamed("id", id_col)

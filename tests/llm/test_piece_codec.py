@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from mnemolith.llm.piece_codec import PieceCodec, decode_documents, encode_documents
+from mnemolith.llm.piece_codec import UNIT, PieceCodec, decode_documents, encode_documents
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -66,14 +66,36 @@ def test_best_path_and_commits():
     assert len(long) > 1000 and sum(map(len, long)) >= 5000  # committed as it goes
 
 
-def test_agrees_with_the_library(tmp_path, docs):
+def test_agrees_with_the_library(tmp_path):
+    """Where no character falls back to bytes, whose penalty swamps the library's 32-bit sums."""
     library, codec = unigram_library(tmp_path), PieceCodec(PATH)
-    if library is None:
-        return
+    assert library is not None
     for t in ("a few plain words", "  spaces   inside ", "naïve façade", "unbelievable", "x\ny"):
         assert codec.encode(t) == library.encode(t)
 
 
+def test_whole_table_has_the_best_score(docs):
+    """Every whole text's ids are worth as much as a full table in 64 bits says is possible, whatever was remembered."""
+    codec = PieceCodec(PATH)
+    for r in docs.select("text").collect():
+        text = r.text or ""
+        if text:
+            ids = codec.encode(text)
+            # units are independent, so the full table is kept for each
+            marked = "▁" + text.replace(" ", "▁")
+            wanted = sum(best_score(codec, u) for u in UNIT.findall(marked))
+            assert score_of(codec, ids) == wanted
+            assert codec.decode(ids) == text.replace("▁", " ")
+
+
+def test_long_units_pass_the_window():
+    codec, rng = PieceCodec(PATH), random.Random(4)
+    for n in (17, 100, 1000):
+        word = "".join(rng.choice("abcdeéß🙂") for _ in range(n))
+        ids = codec.encode(word)
+        assert score_of(codec, ids) == best_score(codec, "▁" + word)
+
+
 def test_documents(docs, odd, empty):
     codec = PieceCodec(PATH)
     for df in (docs.limit(60), odd):
