@@ -139,6 +139,19 @@ def vmf_density(cosine: float, kappa: float, dims: int) -> float:
     return v * math.log(kappa) - dims / 2 * math.log(2 * math.pi) - log_bessel(v, kappa) + kappa * cosine
 
 
+def vmf_densities(cosine: np.ndarray, kappa: np.ndarray, dims: int) -> np.ndarray:
+    """Log densities of many; at once where Debye's expansion holds."""
+    v = dims / 2 - 1
+    if v < 15:
+        return np.array([vmf_density(c, k, dims) for c, k in zip(cosine, kappa)])
+    k = np.maximum(kappa, 1e-12)
+    z = k / v
+    root = np.sqrt(1 + z * z)
+    t = 1 / root
+    bessel = v * (root + np.log(z / (1 + root))) - 0.5 * np.log(2 * math.pi * v * root) + np.log1p((3 * t - 5 * t**3) / 24 / v + (81 * t**2 - 462 * t**4 + 385 * t**6) / 1152 / v**2)
+    return np.where(kappa <= 1e-12, sphere_log_density(dims), v * np.log(k) - dims / 2 * math.log(2 * math.pi) - bessel + k * cosine)
+
+
 def vmf_log_density(cosine: Column, kappa: Column, dims: int) -> Column:
     """The same as a column, in Arrow batches; for 32 dimensions and more ``vmf_log_normalizer`` stays in the JVM."""
 

@@ -221,7 +221,24 @@ def exact_sequences(spark, sf_dir):
     return got.select("doc_id", F.array_join("token_ids", " ").alias("tokens"))
 
 
-@query()
+def _text(x) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows)
+
+
+PROMPT_FACTS = [(i, e, c, prepare.COLORS[(i + 3) % len(prepare.COLORS)]) for i, (e, c) in enumerate(zip(prepare.ENTITIES, prepare.COLORS))]
+PROMPT_ROWS = [(f"noise_{k}", "recall_color", f"noise_@_{k}", "v", "{v}", f"{note}\nFact: {{e}}'s color is {{v}}.\n{{q}}".strip(), True, False) for k, note in enumerate(prepare.NOTES)]
+PROMPT_ROWS += [("absent", "absent_color", "absent_@", "v", "unknown", "{absent}", False, False), *((c, task, f"{p}_@", w, a, x, True, c == "conflict_latest") for c, task, p, w, a, x in prepare.TEMPLATES)]
+
+
+@query(f"""WITH f AS (SELECT * FROM (VALUES {_values(PROMPT_FACTS)}) t(i, e, v, o)), m AS (SELECT * FROM (VALUES ('natural'), ('canonical')) t(mode)),
+  r AS (SELECT * FROM (VALUES {_values(PROMPT_ROWS)}) t(condition_id, task_id, name, which, answer, template, has_fact, conflict)),
+  q AS (SELECT *, CASE mode WHEN 'canonical' THEN replace({_text(prepare.CANONICAL)}, '{{e}}', e) ELSE 'What is ' || e || {_text("'s color? Return only the color.")} END AS question FROM f, m, r)
+  SELECT mode || '_' || replace(name, '@', i::VARCHAR) AS prompt_id, task_id, lower(e) || '_color_' || CASE which WHEN 'o' THEN o ELSE v END AS target_fact_id, condition_id, mode, e AS entity, 'color' AS attribute, CASE which WHEN 'o' THEN o ELSE v END AS value,
+  replace(replace(replace(answer, '{{e}}', e), '{{v}}', v), '{{o}}', o) AS answer, has_fact, conflict, CASE WHEN template = '{{absent}}' THEN CASE mode WHEN 'canonical' THEN question ELSE 'No color is given for ' || e || '. ' || question END ELSE replace(replace(replace(replace(template, '{{q}}', question), '{{e}}', e), '{{v}}', v), '{{o}}', o) END AS prompt FROM q""")
 def synthetic_prompts(spark, sf_dir):
     return prepare.synthetic_prompts(spark)
 

@@ -4,8 +4,8 @@ An event is a write or a read (op, seq, vector, value, source, conflict_group,
 time, top_k). A key (stream, layer, group) has one memory; its events are
 applied in the order of (time, seq), reads after the writes before them. The
 batch runner deals keys over tasks; the streaming runner keeps the same state
-between micro-batches. Memories are bounded: ``slots`` at most, the one that
-was idle longest is replaced.
+between micro-batches. Memories are bounded: ``slots`` at most, of which the one
+that was idle longest is replaced, and the last ``records`` of each slot.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from mnemolith.functions.vector import vmf_density
+from mnemolith.functions.vector import vmf_densities, vmf_density
 
 OUT = "stream string, layer int, grp string, seq long, op string, slot long, created boolean, score double, p_new double, results array<string>"
 
@@ -47,20 +48,38 @@ class Policy:
     largest_kappa: float = 1000.0
     temporal: bool = False
     slots: int = 10_000
+    records: int = 1024
     route_k: int = 4
 
 
 @dataclass
 class State:
-    sums: list = field(default_factory=list)  # of a slot's unit vectors
-    counts: list = field(default_factory=list)
-    touched: list = field(default_factory=list)
-    members: list = field(default_factory=list)  # sources of a slot
+    """Arrays have room for more slots than the ``n`` there are."""
+
+    n: int = 0
+    sums: np.ndarray | None = None  # of a slot's unit vectors
+    lengths: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the sums
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    touched: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    members: list = field(default_factory=list)  # of each slot, (source, unit vector)
     current: dict = field(default_factory=dict)  # conflict group -> last source
     stale: set = field(default_factory=set)
-    seen: list = field(default_factory=list)  # nearest similarities
+    seen: deque = field(default_factory=deque)  # nearest similarities
     clock: float = -math.inf
 
+    def place(self, dims: int) -> int:
+        """Room for one more slot."""
+        if self.sums is None or self.n == len(self.sums):
+            room = max(16, 2 * self.n)
+            grown = np.zeros((room, dims))
+            if self.n:
+                grown[: self.n] = self.sums
+            self.sums = grown
+            self.lengths, self.counts, self.touched = (np.concatenate([x, np.zeros(room - len(x), x.dtype)]) for x in (self.lengths, self.counts, self.touched))
+        self.members.append(deque())
+        self.n += 1
+        return self.n - 1
+
 
 def _unit(v) -> np.ndarray:
     v = np.asarray(v, float)
@@ -74,16 +93,15 @@ def write(s: State, p: Policy, e) -> tuple[int, bool, float, float]:
     """Applies a write: (slot, created, similarity to the nearest, probability of a new slot)."""
     v = _unit(e.vector)
     slot, created, near, p_new = -1, True, 0.0, 1.0
-    if s.sums:
-        sums = np.array(s.sums)
-        lengths = np.linalg.norm(sums, axis=1)
-        cos = sums @ v / np.maximum(lengths, 1e-12)
+    if s.n:
+        lengths = s.lengths[: s.n]
+        cos = s.sums[: s.n] @ v / np.maximum(lengths, 1e-12)
         slot, near = int(cos.argmax()), float(cos.max())
         if p.kind == "vmf":
-            counts, d = np.array(s.counts, float), len(v)
+            counts, d = s.counts[: s.n].astype(float), len(v)
             r = np.minimum(1, lengths / (counts + p.prior_mass))
             kappa = np.clip(r * (d - r * r) / np.maximum(1 - r * r, 1e-12), 0, p.largest_kappa)
-            log = np.array([math.log(p.alpha) + vmf_density(0, 0, d), *(p.count_exponent * math.log(n) + vmf_density(c, k, d) for n, c, k in zip(counts, cos, kappa))])
+            log = np.concatenate([[math.log(p.alpha) + vmf_density(0, 0, d)], p.count_exponent * np.log(counts) + vmf_densities(cos, kappa, d)])
             post = np.exp(log - log.max())
             post /= post.sum()
             p_new, slot = float(post[0]), int(post[1:].argmax())
@@ -91,24 +109,27 @@ def write(s: State, p: Policy, e) -> tuple[int, bool, float, float]:
         else:
             least = p.threshold
             if p.kind == "quantile" and len(s.seen) >= p.warm_up:
-                least = float(np.quantile(s.seen, p.quantile))
+                least = float(np.quantile(list(s.seen), p.quantile))
             created = near <= least if p.strict else near < least
-            s.seen = [*s.seen, near][-p.history :]
+            s.seen.append(near)
+            if len(s.seen) > p.history:
+                s.seen.popleft()
     if created:
-        if len(s.sums) >= p.slots:
-            slot = int(np.argmin(s.touched))
-            s.sums[slot], s.counts[slot], s.members[slot] = v, 1, []
+        if s.n >= p.slots:
+            slot = int(np.argmin(s.touched[: s.n]))
+            s.members[slot].clear()
         else:
-            slot = len(s.sums)
-            s.sums.append(v)
-            s.counts.append(1)
-            s.touched.append(0.0)
-            s.members.append([])
+            slot = s.place(len(v))
+        s.sums[slot], s.counts[slot] = v, 1
     else:
-        s.sums[slot] = s.sums[slot] + v
+        s.sums[slot] += v
         s.counts[slot] += 1
+    s.lengths[slot] = np.linalg.norm(s.sums[slot])
     s.touched[slot] = e.time
     s.members[slot].append((e.source, v))
+    if len(s.members[slot]) > p.records:
+        gone, _ = s.members[slot].popleft()
+        s.stale.discard(gone)
     if p.temporal and e.conflict_group is not None:
         if (old := s.current.get(e.conflict_group)) is not None:
             s.stale.add(old)
@@ -118,12 +139,13 @@ def write(s: State, p: Policy, e) -> tuple[int, bool, float, float]:
 
 def read(s: State, p: Policy, e) -> tuple[int, float, list[str]]:
     """(best slot, its similarity, sources of the ``top_k`` nearest records of the ``route_k`` nearest slots)."""
-    if not s.sums:
+    if not s.n:
         return -1, 0.0, []
-    v, sums = _unit(e.vector), np.array(s.sums)
-    cos = sums @ v / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
+    v = _unit(e.vector)
+    cos = s.sums[: s.n] @ v / np.maximum(s.lengths[: s.n], 1e-12)
     route = np.argsort(-cos, kind="stable")[: p.route_k]
-    found = [(float(x @ v), -k, src) for k, (src, x) in enumerate(m for slot in route for m in s.members[slot]) if src not in s.stale]
+    held = [m for slot in route for m in s.members[slot]]
+    found = [(float(x @ v), -k, src) for k, (src, x) in enumerate(held) if src not in s.stale]
     return int(route[0]), float(cos[route[0]]), [src for _, _, src in sorted(found, reverse=True)[: int(e.top_k)]]
 
 
