@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemolith.functions import text, vector
 from mnemolith.operators import attention as att
-from mnemolith.operators import lm_eval, planning, prepare, retrieval, similarity, temporal, trajectory
+from mnemolith.operators import hierarchy, lm_eval, planning, prepare, retrieval, similarity, temporal, trajectory
 from mnemolith.plans import tables as t
 from mnemolith.plans.io_queries import ITEMS, _tree
 from mnemolith.plans.queries import ATT, REC, S, STEP, U, V, WORDS, _corpus, query, rounded
@@ -519,3 +519,47 @@ def metadata_columns(spark, sf_dir):
 @query("SELECT doc_id, lang AS run_lang, n_chars AS run_n_chars FROM documents")
 def prefixed_columns(spark, sf_dir):
     return prepare.prefixed(t.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "run_", ["doc_id"])
+
+
+# --- a tree of slots ------------------------------------------------------------------------------------------------------------
+
+SUMS = "SELECT {by}, list(a ORDER BY dim) AS s FROM (SELECT {by}, dim, sum(a) AS a FROM d GROUP BY ALL) GROUP BY {by}"
+TREE = f"""{REC}, d AS (SELECT slot, slot % 4 AS parent, unnest(vector) AS a, generate_subscripts(vector, 1) AS dim FROM w), ls AS ({SUMS.format(by="parent, slot")}), ps AS ({SUMS.format(by="parent")}),
+  l AS (SELECT parent, slot, list_transform(s, lambda a: a / sqrt(list_dot_product(s, s))) AS c FROM ls), p AS (SELECT parent, list_transform(s, lambda a: a / sqrt(list_dot_product(s, s))) AS c FROM ps)"""
+
+
+def _tree_of_slots(spark, sf_dir):
+    r = t.records(spark, sf_dir).withColumn("parent", F.col("slot") % 4)
+    return r, hierarchy.centres(r, "stream", "parent"), hierarchy.centres(r, "stream", "parent", "slot")
+
+
+@query(TREE + """, q AS (SELECT record_id AS query_id, vector AS q FROM w WHERE record_id % 100 = 0), n AS (SELECT query_id, q, parent FROM q, p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, c), 12) DESC, parent) <= 2),
+  m AS (SELECT query_id, q, slot FROM n JOIN l USING (parent) QUALIFY row_number() OVER (PARTITION BY query_id, parent ORDER BY round(list_dot_product(q, c), 12) DESC, slot) <= 3),
+  f AS (SELECT query_id, record_id, round(list_dot_product(q, vector) / 8 + 0.5 / (1 + abs(query_id - write_time)), 12) AS score FROM m JOIN w USING (slot) WHERE exp(-0.0001 * abs(query_id - write_time)) >= 0.9)
+  SELECT query_id, record_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id DESC) AS rank FROM f WHERE score >= 0.01 QUALIFY rank <= 4""")
+def routed_reads(spark, sf_dir):
+    """Every hundredth record asks: two parents, three leaves of each, four records of enough weight and score."""
+    r, parents, leaves = _tree_of_slots(spark, sf_dir)
+    q = r.where("record_id % 100 = 0").select("stream", F.col("record_id").alias("query_id"), F.col("vector").alias("q"), F.col("write_time").alias("now"))
+    score = vector.native_score(F.col("q"), F.col("vector"), F.col("now"), F.col("write_time"), F.lit(0.0), F.lit(1), dims=64, time_bias=0.5)
+    # a record's weight falls with its distance in time, so it is known once the query is
+    seen = F.when(F.exp(-0.0001 * F.abs(F.col("now") - F.col("write_time"))) >= 0.9, score)
+    return rounded(hierarchy.routed_reads(q, parents, leaves, r.select("stream", "slot", "record_id", "vector", "write_time"), seen, 2, 3, 4, 0.01))
+
+
+@query(TREE + """, pr AS (SELECT a.slot AS a, b.slot AS b, round(list_dot_product(a.c, b.c), 12) AS score FROM l a JOIN l b ON a.parent = b.parent AND a.slot < b.slot)
+  SELECT a, b, round(score, 6) AS score FROM pr p WHERE (a + b) % 5 <> 0 AND score >= 0 AND NOT EXISTS (SELECT 1 FROM pr x WHERE (x.a + x.b) % 5 <> 0 AND (x.a, x.b) <> (p.a, p.b) AND (x.a IN (p.a, p.b) OR x.b IN (p.a, p.b)) AND (x.score, -x.a, -x.b) > (p.score, -p.a, -p.b))""")
+def best_merges(spark, sf_dir):
+    """Pairs of slots of one parent that are each other's best; slots whose labels add up to a multiple of 5 mustn't meet."""
+    _, _, leaves = _tree_of_slots(spark, sf_dir)
+    leaves = cut(leaves)
+    ids = leaves.select("parent", "slot")
+    barred = ids.join(ids.withColumnRenamed("slot", "other"), "parent").where("slot < other AND (slot + other) % 5 = 0").select("slot", "other")
+    return rounded(hierarchy.merge_pairs(leaves, barred, 0.0, rounds=1).select("a", "b", "score"))
+
+
+@query()
+def slot_splits(spark, sf_dir):
+    """Which slots two means part well."""
+    r = t.records(spark, sf_dir)
+    return rounded(hierarchy.split_gains(r, hierarchy.two_means(r, 10)).drop("stream"))
