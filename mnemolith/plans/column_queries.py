@@ -562,4 +562,4 @@ def best_merges(spark, sf_dir):
 def slot_splits(spark, sf_dir):
     """Which slots two means part well."""
     r = t.records(spark, sf_dir)
-    return rounded(hierarchy.split_gains(r, hierarchy.two_means(r, 10)).drop("stream"))
+    return rounded(hierarchy.split_gains(r, hierarchy.two_means(r, 4)).drop("stream"))
