@@ -2,7 +2,8 @@
 
 Each round is two aggregations and two joins over the edges, written to the
 checkpoint folder; edges never reach the driver. It ends when a round changes
-nothing, after O(log^2 n) rounds.
+nothing, after O(log^2 n) rounds. Joins are merge joins: a round's small tables
+would otherwise each be held by the driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from mnemolith.session import cut
 
+#: Tasks that a node's rows are dealt to at most.
+SALTS = 16
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge between different nodes that isn't its own root; root is the smallest node reachable."""
@@ -19,10 +23,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        # a hub's rows are dealt to several tasks
+        salted = both.where("v > u").withColumn("s", F.pmod(F.hash("v"), F.lit(SALTS)))
+        large = salted.join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         before, mark = mark, _mark(now)
         if before == mark:

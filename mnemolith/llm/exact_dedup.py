@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import BLANK, text_or_empty
-from mnemolith.session import cut
+from mnemolith.llm.common import BLANK, packed, quoted, text_or_empty, unpacked
+from mnemolith.session import bounded_batches, cut
 
 #: The filter is merged in so many pieces.
 PIECES = 512
@@ -62,20 +62,28 @@ def bloom_filter(hashes: DataFrame, rows: int, least: int, bits_per_row: int = 1
             piece = (once // np.uint64(width)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(piece)) + 1
             at = (once % np.uint64(width)).astype(np.int32)
-            rows_ = [(int(p[0]), a, m) for p, a, m in zip(np.split(piece, cuts), np.split(at, cuts), np.split(many, cuts))]
-            yield pa.record_batch([pa.array([r[0] for r in rows_], pa.int32()), pa.array([r[1].tobytes() for r in rows_], pa.binary()), pa.array([r[2].tobytes() for r in rows_], pa.binary())], names=["piece", "slots", "again"])
+            for p, a, m in zip(np.split(piece, cuts), np.split(at, cuts), np.split(many, cuts)):
+                if dense := 5 * len(a) > width // 4:  # as bits, which bounds what a task sends
+                    one, two = np.zeros(width, np.bool_), np.zeros(width, np.bool_)
+                    one[a], two[a[m]] = True, True
+                    a, m = np.packbits(one, bitorder="little"), np.packbits(two, bitorder="little")
+                yield pa.record_batch([pa.array([int(p[0])], pa.int32()), pa.array([dense]), pa.array([a.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["piece", "dense", "slots", "again"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         for b in batches:
-            for p, s, m in zip(*(c.to_pylist() for c in b.columns)):
+            for p, dense, s, m in zip(*(c.to_pylist() for c in b.columns)):
                 x = seen.setdefault(p, np.zeros(width, np.uint8))
+                if dense:
+                    one, two = (np.unpackbits(np.frombuffer(z, np.uint8), bitorder="little") for z in (s, m))
+                    np.minimum(x + one + two, 2, out=x)
+                    continue
                 slots = np.frombuffer(s, np.int32)
                 x[slots] = np.minimum(x[slots] + 1 + np.frombuffer(m, np.bool_), 2)
         if seen:
             yield pa.record_batch([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x >= least, bitorder="little").tobytes() for x in seen.values()], pa.binary())], names=["piece", "bits"])
 
-    pieces = hashes.mapInArrow(hits, "piece int, slots binary, again binary").repartition("piece").mapInArrow(merged, "piece int, bits binary")
+    pieces = hashes.mapInArrow(hits, "piece int, dense boolean, slots binary, again binary").repartition("piece").mapInArrow(merged, "piece int, bits binary")
     packed = bytearray(bits // 8)
     for r in pieces.collect():  # PIECES rows of at most max_bits / 8 / PIECES bytes
         packed[r.piece * width // 8 : (r.piece + 1) * width // 8] = r.bits
@@ -92,40 +100,41 @@ def in_filter(packed: bytes, bits: int, k: int, h: np.ndarray) -> np.ndarray:
 
 
 def filter_test(spark, packed: bytes, bits: int, k: int):
-    """A column function: whether a hash is in the filter, which is broadcast."""
+    """A column function: whether a hash is in the filter, which is broadcast (``test.shared``)."""
     shared = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
         return pd.Series(in_filter(shared.value, bits, k, h.to_numpy()))
 
+    test.shared = shared
     return test
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bloom) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
-    keyed = cut(docs.select(F.col(id_col).alias("id"), F.unhex(text_digest(text_col)).alias("sha")).withColumns({"h": F.xxhash64("sha"), "row": F.monotonically_increasing_id()}))
+    bounded_batches(docs.sparkSession)
+    keyed = cut(docs.select(F.col(quoted(id_col)).alias("id"), F.unhex(text_digest(text_col)).alias("sha")).withColumns({"h": F.xxhash64("sha"), "row": F.monotonically_increasing_id()}))
     test = filter_test(docs.sparkSession, *bloom_filter(keyed.select("h"), max(1, keyed.count()), 2, **bloom))
     tested = keyed.withColumn("maybe", test("h"))
     alone = tested.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     maybe = tested.where("maybe").select("id", "sha", "row")
-    # sums meet in the map tasks, so a hot text sends one row from each; the
-    # join back is an ordinary one, whose large partitions Spark splits
-    groups = maybe.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first"), F.count("*").alias("group_size"))
+    # sums meet in the map tasks, so a hot text sends one row from each; the groups
+    # are written, so that the join back shuffles both its sides and Spark can split a hot text's rows
+    groups = cut(maybe.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first"), F.count("*").alias("group_size")))
     found = maybe.join(groups, "sha").select("id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "sha")
     return alone.unionByName(found).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bloom) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; rows that are surely single don't shuffle."""
-    columns = docs.columns
-    hashed = docs.withColumn("__sha", F.unhex(text_digest(text_col))).withColumn("__h", F.xxhash64("__sha"))
-    keys = cut(hashed.select(F.col(id_col).alias("__id"), "__sha", "__h"))
-    test = filter_test(docs.sparkSession, *bloom_filter(keys.select("__h"), max(1, keys.count()), 2, **bloom))
-    groups = keys.where(test("__h")).groupBy("__sha").agg(F.min("__id").alias("__keep"))
-    tested = hashed.withColumn("__maybe", test("__h"))
-    alone = tested.where(~F.col("__maybe")).select(columns)
+    bounded_batches(docs.sparkSession)
+    rows = packed(docs, id=F.col(quoted(id_col)), sha=F.unhex(text_digest(text_col))).withColumn("h", F.xxhash64("sha"))
+    keys = cut(rows.select("id", "sha", "h"))
+    test = filter_test(docs.sparkSession, *bloom_filter(keys.select("h"), max(1, keys.count()), 2, **bloom))
+    groups = keys.where(test("h")).groupBy("sha").agg(F.min("id").alias("keep"))
+    tested = rows.withColumn("maybe", test("h"))
     # by text and id: the rows of a hot text go to many tasks, and one of them matches
-    ours = tested.where("__maybe")
-    found = ours.join(groups, (ours["__sha"] == groups["__sha"]) & ours[id_col].eqNullSafe(groups["__keep"])).drop(groups["__sha"])
-    return alone.unionByName(found.dropDuplicates(["__sha"]).select(columns))
+    ours = tested.where("maybe").select("row", "id", F.col("sha").alias("own"))
+    found = ours.join(groups, (F.col("own") == F.col("sha")) & F.col("id").eqNullSafe(F.col("keep"))).select("row", "sha").dropDuplicates(["sha"])
+    return unpacked(tested.where(~F.col("maybe")).select("row").unionByName(found.select("row")), docs.columns)

@@ -37,12 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import text_or_empty
+from mnemolith.llm.common import packed, quoted, text_or_empty, unpacked
 from mnemolith.llm.components import connected_components
-from mnemolith.llm.exact_dedup import bloom_filter, filter_test
-from mnemolith.session import cut
+from mnemolith.llm.exact_dedup import bloom_filter, filter_test, in_filter
+from mnemolith.session import bounded_batches, cut
 
 BITS = 64
+#: Bytes of a row's sketch, and the estimate below which a pair isn't compared in full: 0.3 under
+#: 0.8, six standard deviations of an estimate from so many bytes.
+SKETCH, SURE = 64, 0.5
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -82,6 +85,18 @@ def sample_prints(h: np.ndarray, samples: int, size: int) -> np.ndarray:
     return out
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """One byte (1 to 255) of the least hash in each of ``SKETCH`` ranges of the mixed distinct hashes; 0 for an empty range."""
+    x = np.sort(h * np.uint64(0x9E3779B97F4A7C15))
+    at = np.searchsorted(x, np.arange(SKETCH, dtype=np.uint64) << np.uint64(58))
+    out = np.zeros(SKETCH, np.uint8)
+    some = at < len(x)
+    least = x[at[some]]
+    own = (least >> np.uint64(58)) == np.arange(SKETCH, dtype=np.uint64)[some]
+    out[np.flatnonzero(some)[own]] = ((least[own] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) with the fingerprint as a signed long."""
 
@@ -90,7 +105,8 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(each, "id long, fp long")
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(each, "id long, fp long")
 
 
 def _turned(fp: Column, bits: int) -> Column:
@@ -110,8 +126,8 @@ def links(classes: DataFrame, max_distance: int = 2, segments: int = 8, crowd: i
     chains = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("start"), _turned(F.col("fp"), i * width).alias("ring")) for i in range(segments)])).alias("c")).select("fp", "c.start", "c.ring")
     chains = cut(chains.withColumn("key", F.col("ring").bitwiseAND(F.lit(_low(exact * width)))))
     crowded = chains.groupBy("start", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("start", "key")
-    few = chains.join(crowded, ["start", "key"], "left_anti")
-    many = chains.join(crowded, ["start", "key"], "left_semi")
+    few = chains.join(crowded.hint("merge"), ["start", "key"], "left_anti")
+    many = chains.join(crowded.hint("merge"), ["start", "key"], "left_semi")
 
     def within(x: Column) -> Column:
         ok = F.bit_count(x) <= max_distance
@@ -145,94 +161,110 @@ def near_components(docs: DataFrame, words: int = 3, max_distance: int = 2, segm
     return prints.join(ids, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with __row: the id if ids are there and distinct, else a hash of id and text (rows equal in both are one)."""
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(key, row, id, text), and whether keys are distinct: the key is the id if ids are there and distinct, else a hash of id and text (rows equal in both are one)."""
+    id_, text = F.col(quoted(id_col)), text_or_empty(text_col)
+    ids = docs.select(id_.cast("long").alias("id"))
     plain = ids.groupBy("id").count().where("id IS NULL OR count > 1").limit(1).count() == 0
-    return docs.withColumn("__row", F.col(id_col).cast("long") if plain else F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_or_empty(text_col)))
+    return packed(docs, key=id_.cast("long") if plain else F.xxhash64(F.coalesce(id_.cast("string"), F.lit("-")), text), id=id_, text=text), plain
 
 
-def near_links(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 2, segments: int = 8, crowd: int = 64, samples: int = 16, sample_size: int = 4) -> DataFrame:
-    """Links (u, v), u > v, between rows (row, text) whose sets of shingles are ``similarity`` or more alike.
+def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 2, segments: int = 8, crowd: int = 64, samples: int = 16, sample_size: int = 4, distinct: bool = False) -> DataFrame:
+    """(node, root) of rows (row, text) that links of ``similarity`` or more between sets of shingles lead to a smaller row.
 
-    They may leave out links inside a component, never one between two.
+    Links inside a component may go uncompared, never one between two.
     Candidates meet by their class (equal fingerprints of the whole text or of
     the same sample). Rounds compare leaders of each class with all its other
     members; two members are left uncompared only once both are of one
     component. The leaders are the member with the most links so far (the
-    middle of a group links it at once) and a hash-chosen share, four times as
-    many each round, of those outside that member's component.
+    middle of a group links it at once) and about ``crowd`` hash-chosen ones, eight
+    times as many each round, of those outside that member's component.
+
+    With ``distinct`` no two rows share a key. A pair's short sketches meet first.
+    Sets of shingles are made and moved only for pairs that the sketches leave,
+    and compared row by row in the JVM.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every, sizes = [], []
+            every, sizes, short = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
                 distinct = np.unique(h)
                 every.append(np.concatenate([np.array([majority(h)], np.uint64), sample_prints(distinct, samples, sample_size)]) if len(h) else np.zeros(2, np.uint64))
                 sizes.append(len(distinct))
+                short += [sketch(distinct), *[None] * (len(every[-1]) - 1)]
             lengths = np.fromiter(map(len, every), np.int64, len(every))
             kinds, values = (np.concatenate(x) if every else np.empty(0, k) for x, k in (([np.arange(n) for n in lengths], np.int64), (every, np.uint64)))
-            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(kinds.astype(np.int32)), pa.array(values.view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], names=["row", "kind", "fp", "size"])
+            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(kinds.astype(np.int32)), pa.array(values.view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(short, pa.binary())], names=["row", "kind", "fp", "size", "sketch"])
 
-    made = cut(rows.select("row", "text").mapInArrow(prints, "row long, kind int, fp long, size int"))
+    bounded_batches(rows.sparkSession)
+    made = cut(rows.select("row", "text").mapInArrow(prints, "row long, kind int, fp long, size int, sketch binary"))
+    sketches = made.where("kind = 0").select("row", "size", "sketch")
+    sketches = cut(sketches if distinct else sketches.dropDuplicates(["row"]))
     firsts = cut(made.where("kind = 0").groupBy("fp").agg(F.min("row").alias("row")))
     linked = links(firsts.select("fp"), max_distance, segments, crowd)
-    near = linked.join(firsts.select(F.col("fp").alias("a"), F.col("row").alias("u")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("row").alias("v")), "b").select("u", "v")
+    near = linked.join(firsts.select(F.col("fp").alias("a"), F.col("row").alias("u")).hint("merge"), "a").join(firsts.select(F.col("fp").alias("b"), F.col("row").alias("v")).hint("merge"), "b").select("u", "v")
     # classes of the same rows are one class
     mark = [F.count("*").alias("n"), F.min("row").alias("leader"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
     classes = made.groupBy("kind", "fp").agg(*mark).where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min(F.struct("kind", "fp")).alias("c")).select("c.kind", "c.fp", "leader")
     members = cut(made.join(classes, ["kind", "fp"]).select(F.xxhash64("kind", "fp").alias("class"), "row", "size", "leader").distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(h, pa.binary())], names=["row", "hashes"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                small, large = sorted((len(x), len(y)))
-                if small >= similarity * large:
-                    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if both >= similarity * (len(p) + len(q) - both):
-                        keep.append(i)
-            yield b.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+            n = np.maximum(b.column(2).to_numpy(), b.column(3).to_numpy())
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (4, 5))
+            some, same = ((x > 0) | (y > 0)).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
+            yield b.select(["u", "v"]).take(pa.array(np.flatnonzero((n < 2 * SKETCH) | (same >= SURE * some))))
 
     def confirmed(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The pairs that aren't among the ``known`` ones, and those of them that are alike."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = cut(pairs.join(known, ["u", "v"], "left_anti") if known is not None else pairs)
-        named = cut(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
-        test = filter_test(rows.sparkSession, *bloom_filter(named.select(F.xxhash64("row")), max(1, named.count()), 1))
-        hashes = cut(rows.select("row", "text").where(test(F.xxhash64("row"))).mapInArrow(sets, "row long, hashes binary").dropDuplicates(["row"]))
-        both = pairs.join(hashes.select(F.col("row").alias("v"), F.col("hashes").alias("hv")), "v").join(hashes.select(F.col("row").alias("u"), F.col("hashes").alias("hu")), "u")
-        return pairs, cut(both.select("u", "v", "hu", "hv").mapInArrow(alike, "u long, v long"))
+        pairs = cut(pairs.join(known.hint("merge"), ["u", "v"], "left_anti") if known is not None else pairs)
+        first, second = (sketches.select(F.col("row").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")).hint("merge") for k in "uv")
+        left = cut(pairs.join(first, "u").join(second, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(close, "u long, v long"))
+        wanted = cut(left.select(F.explode(F.array("u", "v")).alias("row")).distinct())
+        packed_, bits, k = bloom_filter(wanted.select(F.xxhash64("row")), max(1, wanted.count()), 1)
+        shared = rows.sparkSession.sparkContext.broadcast(packed_)
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(in_filter(shared.value, bits, k, b.column(2).to_numpy())))
+                h = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, h)]).astype(np.int32)
+                yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*h, np.empty(0, np.int64)])))], names=["row", "hashes"])
+
+        hashes = rows.select("row", "text", F.xxhash64("row").alias("h")).mapInArrow(sets, "row long, hashes array<long>")
+        hashes = cut(hashes if distinct else hashes.dropDuplicates(["row"]))
+        shared.unpersist()
+        both = left.join(hashes.select(F.col("row").alias("v"), F.col("hashes").alias("hv")), "v").join(hashes.select(F.col("row").alias("u"), F.col("hashes").alias("hu")), "u")
+        n = F.size(F.array_intersect("hu", "hv"))
+        return pairs, cut(both.where(n >= similarity * (F.size("hu") + F.size("hv") - n)).select("u", "v"))
 
     def sized(pairs: DataFrame) -> DataFrame:
         return pairs.where((F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size")) & (F.col("row") != F.col("lead"))).select(F.col("row").alias("u"), F.col("lead").alias("v"))
 
     ends = members.where("row = leader").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"))
-    compared, found = confirmed(sized(members.join(ends, "class")).unionByName(near))
-    left, share = cut(members.where("row <> leader").drop("leader")), 4
+    compared, found = confirmed(sized(members.join(ends.hint("merge"), "class")).unionByName(near))
+    roots = connected_components(found, "u", "v")
+    left, share = cut(members.where("row <> leader").drop("leader")), crowd
     while True:
-        roots = connected_components(found, "u", "v").select(F.col("node").alias("row"), "root")
+        own = roots.withColumnRenamed("node", "row").hint("merge")
         degrees = found.select(F.explode(F.array("u", "v")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
-        state = left.join(roots, "row", "left").join(degrees, "row", "left").select("class", "row", "size", F.coalesce("root", "row").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        state = left.join(own, "row", "left").join(degrees.hint("merge"), "row", "left").select("class", "row", "size", F.coalesce("root", "row").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         state = cut(state)
         hub = F.max(F.struct("degree", F.xxhash64("row").alias("h"), "row", "root")).alias("hub")
-        opened = state.groupBy("class").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low <> high").select("class", "n", F.col("hub.row").alias("hub"), F.col("hub.root").alias("hub_root"))
+        opened = cut(state.groupBy("class").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low <> high").select("class", "n", F.col("hub.row").alias("hub"), F.col("hub.root").alias("hub_root")))
         chosen = (F.col("row") == F.col("hub")) | ((F.col("root") != F.col("hub_root")) & (F.pmod(F.xxhash64("row"), F.col("n")) < share))
-        state = cut(state.join(opened, "class").select("class", "row", "size", "root", chosen.alias("chosen")))
+        state = cut(state.join(opened.hint("merge"), "class").select("class", "row", "size", "root", chosen.alias("chosen")))
         if not state.limit(1).count():
-            return found
+            return roots
         leaders = state.where("chosen").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"), F.col("root").alias("lead_root"))
-        seen, more = confirmed(sized(state.join(leaders, "class").where("root <> lead_root")), compared)
+        seen, more = confirmed(sized(state.join(leaders.hint("merge"), "class").where("root <> lead_root")), compared)
         compared, found = compared.unionByName(seen), found.unionByName(more)
-        left, share = state.where("not chosen").select("class", "row", "size"), share * 4
+        # the components so far and the new links
+        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "u", "v")
+        left, share = state.where("not chosen").select("class", "row", "size"), share * 8
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -240,20 +272,20 @@ def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
 
     Rows without words are one group (their sets are equal); rows equal in id and text are copies.
     """
-    columns, spark = docs.columns, docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
-    roots = cut(connected_components(near_links(rows.select(F.col("__row").alias("row"), text_or_empty(text_col).alias("text")), words, similarity, **how), "u", "v"))
+    spark = docs.sparkSession
+    rows, plain = keyed(docs, id_col, text_col)
+    roots = near_roots(rows.select(F.col("key").alias("row"), "text"), words, similarity, distinct=plain, **how)
     members = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
     test = filter_test(spark, *bloom_filter(members.select(F.xxhash64("node")), max(1, members.count()), 1))
-    tested = rows.withColumn("__maybe", test(F.xxhash64("__row")))
-    alone, maybe = tested.where("not __maybe"), tested.where("__maybe")
+    tested = rows.withColumn("maybe", test(F.xxhash64("key")))
+    maybe = tested.where("maybe").select("row", "id", "key")
     # by id: a component's row with the smallest id stays (a null id last)
-    ids = maybe.select("__row", F.col(id_col).alias("__id")).join(members, F.col("__row") == F.col("node"))
-    kept = ids.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), "__id", "__row")).alias("m")).select(F.col("m.__row").alias("node"))
+    ids = maybe.select("key", "id").join(members, F.col("key") == F.col("node"))
+    kept = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("m")).select(F.col("m.key").alias("node"))
     gone = cut(members.select("node").join(kept, "node", "left_anti"))
-    stay = maybe.join(gone, maybe["__row"] == gone["node"], "left_anti")
-    out = alone.unionByName(stay)
-    twice = rows.groupBy("__row").count().where("count > 1").select("__row")
-    if twice.limit(1).count():
-        out = out.join(twice, "__row", "left_anti").unionByName(out.join(twice, "__row", "left_semi").dropDuplicates(["__row"]).select("__row", *[c for c in out.columns if c != "__row"]))
-    return out.select([F.col(f"`{c}`") for c in columns])
+    stay = maybe.join(gone, F.col("key") == F.col("node"), "left_anti")
+    out = tested.where("not maybe").select("row", "key").unionByName(stay.select("row", "key"))
+    if not plain:
+        twice = cut(rows.groupBy("key").count().where("count > 1").select("key"))
+        out = out.join(twice, "key", "left_anti").select("row", "key").unionByName(out.join(twice, "key", "left_semi").dropDuplicates(["key"]).select("row", "key"))
+    return unpacked(out, docs.columns)

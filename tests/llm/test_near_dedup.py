@@ -92,3 +92,31 @@ def test_odd_rows(spark, odd, empty):
     assert [r.doc_id for r in rows if not (r.text or "").encode().split()] == [2]
     # ids 0, 1 and a null id hold the same words
     assert [r.doc_id for r in rows if shingles(r.text) == shingles("The same words here for all of them to see")] == [0]
+
+
+def test_recall_on_a_table(spark):
+    """All pairs of sf0.01 by exact similarity: the groups' members that the stage leaves out, and those it should have."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    by_size = sorted(sets, key=lambda i: len(sets[i]))
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, i in enumerate(by_size):
+        a = sets[i]
+        for j in by_size[k + 1 :]:
+            b = sets[j]
+            if len(a) < 0.8 * len(b):
+                break
+            both = len(a & b)
+            if both >= 0.8 * (len(a) + len(b) - both):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    wanted = {i for i in sets if root(i) != i}
+    gone = set(sets) - {r.doc_id for r in simhash.drop_near(docs).collect()}
+    assert wanted and gone <= wanted
+    assert len(gone) >= 0.99 * len(wanted)
