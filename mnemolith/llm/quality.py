@@ -32,8 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import crc_mod, text_or_empty
-from mnemolith.session import cut
+from mnemolith.llm.common import crc_mod, quoted, text_or_empty
+from mnemolith.session import bounded_batches, cut
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 65536
 
@@ -67,14 +67,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, blocks: int = 8192, parts: int = 4, held: int = 2) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, blocks: int = 8192, parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The model: dictionaries, weights, and the share of good rows. Rows whose crc32(id) modulo ``parts`` is ``held`` aren't read."""
     spark = docs.sparkSession
+    bounded_batches(spark)
+    docs = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(text_col).alias("text"))
     known = labels.where("quality in (0, 1)").where(crc_mod("doc_id", parts) != held).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64("doc_id")
     sample = known.where("quality = 0").orderBy(order, "doc_id").limit(rows).unionByName(known.where("quality = 1").orderBy(order, "doc_id").limit(rows))
     share = known.agg(F.avg("quality")).first()[0]
-    texts = cut(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(text_or_empty()).alias("text")))
+    texts = cut(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text")))
     model = {"share": 0.5 if share is None else float(share), "dictionaries": None, "weights": None}
     seen = [0, 0]
     role: list[tuple[int, bool]] = []
@@ -91,15 +93,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, blocks: int = 8192
                 yield pa.record_batch([pa.array([x] * len(got), k) for x, k in ((i, pa.int64()), (q, pa.int32()))] + [pa.array(range(len(got)), pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "quality", "place", "block"])
 
     cutup = cut(dealt.where("builds").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(pieces, "doc_id long, quality int, place long, block binary"))
-    built: list[list[bytes]] = []
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one task for each label: blocks * BLOCK bytes at most
+        chosen = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        got = [x[2] for x in chosen if x[2]]
+        if sum(map(len, got)) >= 8192:
+            yield pa.record_batch([pa.array([zstandard.train_dictionary(DICTIONARY, got).as_bytes()], pa.binary())], names=["dictionary"])
+
+    built: list[bytes] = []
     for quality in (0, 1):
-        its = cutup.where(F.col("quality") == quality)
-        chosen = its.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(blocks).collect()  # blocks * BLOCK bytes
-        built.append([bytes(r.block) for r in sorted(chosen, key=lambda r: (r.doc_id, r.place)) if r.block])
+        chosen = cutup.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(blocks)
+        built += [bytes(r.dictionary) for r in chosen.select("doc_id", "place", "block").coalesce(1).mapInArrow(train, "dictionary binary").collect()]
     rest = dealt.where("not builds AND text <> ''")
-    enough = all(sum(map(len, b)) >= 8192 for b in built) and all(n - n // 3 >= 10 for n in seen)
+    enough = len(built) == 2 and all(n - n // 3 >= 10 for n in seen)
     if enough and {r[0] for r in rest.select("quality").distinct().collect()} == {0, 1}:
-        model["dictionaries"] = [zstandard.train_dictionary(DICTIONARY, b).as_bytes() for b in built]
+        model["dictionaries"] = built
         shared = spark.sparkContext.broadcast(model["dictionaries"])
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +145,13 @@ def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 s = np.where(x[:, 2] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), s)
             yield pa.record_batch([b.column(0), pa.array(s, pa.float64())], names=["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(each, "id long, score double").withColumnRenamed("id", id_col)
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(each, "id long, score double").withColumnRenamed("id", id_col)
 
 
 def drop_bad(docs: DataFrame, model: dict, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with their own columns."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made: list = []
 
