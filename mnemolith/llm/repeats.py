@@ -38,22 +38,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import text_or_empty
+from mnemolith.llm.common import packed, quoted, text_or_empty
 from mnemolith.llm.exact_dedup import bloom_filter, filter_test, in_filter
-from mnemolith.session import cut
+from mnemolith.session import bounded_batches, cut
 
 ANCHOR = 6
-#: Words remembered in a task at most.
-KNOWN = 1_000_000
+#: Words remembered in a task at most, and the bytes of one that is remembered.
+KNOWN, SHORT = 300_000, 64
 LAST_ID = (1 << 63) - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        h = xxhash.xxh64_intdigest(word, 7)
+        if len(word) <= SHORT:
+            if len(self) > KNOWN:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -90,8 +92,13 @@ def _lists(name: str, keys: list[tuple[int, int]], values: list[tuple[np.ndarray
 
 def covering_starts(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tag, starts): first words of the windows that start in an earlier document too; only rows that have some."""
+    return _covering_starts(docs, _shared_ids(docs, id_col), window, anchor, id_col, text_col)
+
+
+def _covering_starts(docs: DataFrame, shared_ids: bool, window: int, anchor: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col).select("doc", "tag", "text")
+    bounded_batches(spark)
+    rows = keyed(docs, shared_ids, id_col, text_col).select("doc", "tag", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -127,22 +134,23 @@ def covering_starts(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, id_
 
     found = rows.mapInArrow(windows, "doc long, tag long, hashes array<long>, starts array<int>")
     # the tag moves only where ids are shared
-    key = ["doc", "tag"] if _shared_ids(docs, id_col) else ["doc"]
+    key = ["doc", "tag"] if shared_ids else ["doc"]
     each = found.select(*key, F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(*key, F.col("w.hashes").alias("h"), F.col("w.starts").alias("start"))
-    firsts = found.select("doc", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
+    # written, so that the join shuffles both its sides and Spark can split a hot window's rows
+    firsts = cut(found.select("doc", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"))
     starts = each.join(firsts, "h").where("doc > first").groupBy(*key).agg(F.collect_list("start").alias("starts"))
     return starts.select("doc", F.col("tag") if "tag" in key else F.lit(0).cast("long").alias("tag"), "starts")
 
 
 def _shared_ids(docs: DataFrame, id_col: str) -> bool:
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"))
+    ids = docs.select(F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(LAST_ID)).alias("doc"))
     return ids.groupBy("doc").count().where("count > 1").limit(1).count() > 0
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with doc (the id), tag (tells rows apart that share an id) and text without nulls."""
-    shared_ids, text = _shared_ids(docs, id_col), text_or_empty(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), (F.xxhash64(text) if shared_ids else F.lit(0).cast("long")).alias("tag"), text.alias("text"), F.struct(*docs.columns).alias("row"))
+def keyed(docs: DataFrame, shared_ids: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` (as ``row``) with doc (the id), tag (tells rows apart that share an id) and text without nulls."""
+    text = text_or_empty(text_col)
+    return packed(docs, doc=F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(LAST_ID)), tag=F.xxhash64(text) if shared_ids else F.lit(0).cast("long"), text=text)
 
 
 def covered(n: int, starts: list[int] | None, window: int) -> np.ndarray:
@@ -157,9 +165,10 @@ def covered(n: int, starts: list[int] | None, window: int) -> np.ndarray:
 
 def _with_starts(docs: DataFrame, window: int, anchor: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their starts, and the rows that have none."""
-    starts = cut(covering_starts(docs, window, anchor, id_col, text_col))
+    shared_ids = _shared_ids(docs, id_col)
+    starts = cut(_covering_starts(docs, shared_ids, window, anchor, id_col, text_col))
     test = filter_test(docs.sparkSession, *bloom_filter(starts.select(F.xxhash64("doc")), max(1, starts.count()), 1))
-    rows = keyed(docs, id_col, text_col).withColumn("maybe", test(F.xxhash64("doc")))
+    rows = keyed(docs, shared_ids, id_col, text_col).withColumn("maybe", test(F.xxhash64("doc")))
     return rows.where("maybe").drop("maybe").join(starts, ["doc", "tag"], "left"), rows.where("not maybe").drop("maybe").withColumn("starts", F.lit(None).cast("array<int>"))
 
 
@@ -179,7 +188,7 @@ def repeat_report(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, id_co
                 yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s)], names=["id", "n_words", "n_removed", "kept_sha256"])
 
     touched, rest = _with_starts(docs, window, anchor, id_col, text_col)
-    columns = [F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col("text"), F.col("starts")]
+    columns = [F.col(f"row.{quoted(id_col)}").cast("long").alias("id"), F.col("text"), F.col("starts")]
     return touched.select(columns).unionByName(rest.select(columns)).mapInArrow(digest, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
@@ -201,13 +210,13 @@ def without_repeats(docs: DataFrame, window: int, anchor: int = ANCHOR, id_col:
         return pd.Series(out)
 
     touched, rest = _with_starts(docs, window, anchor, id_col, text_col)
-    cleaned = touched.withColumn("new", F.when(F.col("starts").isNull(), F.col(f"row.`{text_col}`")).otherwise(cut_out("text", "starts")))
+    cleaned = touched.withColumn("new", F.when(F.col("starts").isNull(), F.col(f"row.{quoted(text_col)}")).otherwise(cut_out("text", "starts")))
 
     def value(c: str):
         if c == text_col:
             return F.col("new").alias(c)
         if c == length_col:
-            return F.when(F.col("starts").isNull(), F.col(f"row.`{c}`")).otherwise(F.length("new")).cast(docs.schema[c].dataType).alias(c)
-        return F.col(f"row.`{c}`").alias(c)
+            return F.when(F.col("starts").isNull(), F.col(f"row.{quoted(c)}")).otherwise(F.length("new")).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"row.{quoted(c)}").alias(c)
 
-    return cleaned.select([value(c) for c in docs.columns]).unionByName(rest.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+    return cleaned.select([value(c) for c in docs.columns]).unionByName(rest.select([F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns]))
