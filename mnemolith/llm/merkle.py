@@ -11,8 +11,8 @@ Likeness is Dice's coefficient over the leaves, repeats included: twice the
 shared leaves over all leaves (1 for equal fingerprints).
 
 ``with_edits`` pairs each document with the next one by descending id. Ids
-alone are sorted (by range, over all tasks); texts move once by id, and of the
-next document only the part that the edit needs.
+alone are sorted (by range, over all tasks); texts move once by id, compressed,
+and of the next document only the part that the edit needs.
 
 Defined results: a null text counts as empty; an empty text's fingerprint has
 no leaves and is alike (1) only to another of them; a null id comes after all
@@ -33,8 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import text_or_empty
-from mnemolith.session import cut
+from mnemolith.llm.common import quoted, text_or_empty
+from mnemolith.session import bounded_batches, cut
 
 LEAF, SHOWN = 256, 6
 #: Stands for a null id within the joins.
@@ -86,6 +86,7 @@ def pack(text: str) -> bytes:
 
 
 def unpack(raw: bytes) -> str:
+    """A text of any length is held whole by its own task only."""
     return zstandard.decompress(raw).decode("utf-8", "surrogatepass")
 
 
@@ -99,12 +100,13 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of every row."""
+    bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.string())], names=["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(each, "id long, fingerprint string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(each, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -118,8 +120,15 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
-    ids = cut(rows.groupBy("id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")))
+    bounded_batches(docs.sparkSession)
+    def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            yield pa.record_batch([b.column(0), pa.array([pack(t) for t in texts], pa.binary())], names=["id", "text"])
+
+    plain = docs.select(F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = plain.mapInArrow(packed_texts, "id long, text binary")
+    ids = cut(plain.groupBy("id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")))
     many = ids.where("rows > 1").limit(1).count() > 0
     # who each document is next to, and how much of it that edit needs
     wanted = next_ids(ids).join(ids, "id").select(F.col("next").alias("id"), F.col("id").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("need"))
@@ -127,8 +136,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            yield pa.record_batch([b.column(0), pa.array([pack(t[:n]) for t, n in zip(texts, b.column(1).to_pylist())], pa.binary()), pa.array([pack(fingerprint(t)) for t in texts], pa.binary()), *([b.column(2)] if many else [])], names=["to", "head", "print", *(["whole"] if many else [])])
+            texts = [unpack(t) for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([pack(t[:n]) for t, n in zip(texts, b.column(1).to_pylist())], pa.binary()), pa.array([pack(fingerprint(t)) for t in texts], pa.binary()), *([pa.array(texts, pa.string())] if many else [])], names=["to", "head", "print", *(["whole"] if many else [])])
 
     sent = rows.join(wanted, "id").select("to", "need", "text").mapInArrow(heads, "to long, head binary, print binary" + ", whole string" * many)
     if many:
@@ -137,7 +146,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, t, head, other in zip(*(c.to_pylist() for c in b.columns)):
+            for i, raw, head, other in zip(*(c.to_pylist() for c in b.columns)):
+                t = unpack(raw)
                 half = len(t) // 2
                 edited, other = t[: len(t) - half] + unpack(head)[:half], unpack(other)
                 own, new = fingerprint(t), fingerprint(edited)
