@@ -13,7 +13,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 
 #: Bytes that a worker remembers of what it has worked out, at most.
-REMEMBERED = 96 << 20
+REMEMBERED = 192 << 20
 
 
 class Memo(dict):

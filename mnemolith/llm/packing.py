@@ -35,15 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import text_or_empty
-from mnemolith.session import cut
+from mnemolith.llm.common import Memo, quoted, text_or_empty
+from mnemolith.session import bounded_batches, cut
 
 #: Share of what a sequence holds above which a length is large.
 SMALL = 0.125
 #: Numbers of groups of large lengths that are tried; the plan with the fewest sequences is taken.
 GROUPS = (12, 20, 40)
-#: Parts of texts remembered in a worker at most.
-KNOWN = 1_000_000
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
@@ -204,30 +202,39 @@ def word_ids(tokenizer_path: str, end_id: int) -> Callable[[str], np.ndarray]:
 
     The tokenizer splits at white space before it merges, so a text's ids are
     those of its ASCII-blank-separated parts in turn; each part is encoded by
-    the library once and remembered (up to a bounded number of parts).
+    the library once and remembered (in bounded memory). Whether this tokenizer
+    does so is tried on samples of blanks; if not, whole texts are encoded.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    known: dict[bytes, bytes] = {}
-    end = np.array([end_id], "<u4").tobytes()
+    known, end = Memo(), np.array([end_id], "<u4").tobytes()
+
+    def encoded(x: str) -> list[int]:
+        return tokenizer.encode(x, add_special_tokens=False).ids
+
+    tried = [f"one{b}two,{b}{b}Three.{b}" for b in " \t\n\v\f\r"]
+    splits = all(encoded(x) == [i for p in x.split() for i in encoded(p)] for x in (*tried, " ".join(tried)))
+
+    def whole(text: str) -> np.ndarray:
+        return np.array([*encoded(text), end_id], "<u4")
 
     def ids(text: str) -> np.ndarray:
         parts = text.encode("utf-8", "surrogatepass").split()
-        if len(known) > KNOWN:
-            known.clear()
+        known.room()
         new = [p for p in dict.fromkeys(parts) if p not in known]
         if new:
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, tokenizer.encode_batch([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)))
+            known.learn((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, tokenizer.encode_batch([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)))
         return np.frombuffer(b"".join([*map(known.__getitem__, parts), end]), "<u4")
 
-    return ids
+    return ids if splits else whole
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (id, piece, start, length, ids_crc32) with the task and the rank in it among pieces of the same length."""
+    bounded_batches(docs.sparkSession)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -246,7 +253,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["doc", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text")).mapInArrow(cut_up, "doc long, piece int, start long, length long, ids_crc32 long, task int, rank long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), text_or_empty(text_col).alias("text")).mapInArrow(cut_up, "doc long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

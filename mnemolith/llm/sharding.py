@@ -30,7 +30,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import text_or_empty
+from mnemolith.llm.common import quoted, text_or_empty
 from mnemolith.session import cut
 
 
@@ -83,7 +83,7 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[i
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 42, cell_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, law, shard, slot (gapless from 0), grown_shard (null)."""
     text = text_or_empty(text_col)
-    rows = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
+    rows = cut(docs.select(F.col(quoted(id_col)).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
     counts = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row for each input partition
     parts, total = sorted(counts), sum(counts.values())
     matrix = communication_matrix([counts[p] for p in parts], shards, seed)

@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from mnemolith.llm.common import text_or_empty
+from mnemolith.llm.common import Memo, quoted, text_or_empty
 from mnemolith.llm.exact_dedup import bloom_filter, filter_test
-from mnemolith.session import cut
+from mnemolith.session import bounded_batches, cut
 
 SCHEMA = "text_digest binary, tokenizer_digest string, n_bytes long, n_tokens long"
 #: A run of spaces with what follows it; U+2581 is the model's own mark for a space.
 PART = re.compile("[ ▁]+[^ ▁]*")
-#: Parts remembered in a worker at most.
-KNOWN = 1_000_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -60,15 +58,14 @@ def piece_counter(path: str) -> Callable[[list[str]], list[int]]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     whole = any("▁" in p.lstrip("▁") for p in pieces) or model.normalize(" x  y ") != "▁▁x▁▁y▁"
-    known: dict[str, int] = {}
+    known = Memo()
 
     def count(texts: list[str]) -> list[int]:
         if whole:
             return [len(x) for x in model.encode(texts, num_threads=1)]
-        if len(known) > KNOWN:
-            known.clear()
         out = []
         for text in texts:
+            known.room()
             parts = PART.findall(" " + text)
             # the library puts one space before what it encodes
             if text and parts[-1] in (" ", "▁") and len(parts) > 1:
@@ -78,7 +75,7 @@ def piece_counter(path: str) -> Callable[[list[str]], list[int]]:
                 last = 0
             new = [p for p in dict.fromkeys(parts) if p not in known]
             if new:
-                known.update(zip(new, map(len, model.encode([p[1:] for p in new], num_threads=1))))
+                known.learn(zip(new, map(len, model.encode([p[1:] for p in new], num_threads=1))))
             out.append(sum(map(known.__getitem__, parts)) + last)
         return out
 
@@ -88,9 +85,10 @@ def piece_counter(path: str) -> Callable[[list[str]], list[int]]:
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit. Appends what the cache lacked."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
+    bounded_batches(spark)
     text = text_or_empty(text_col)
     texts = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("text_digest"))
-    keyed = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("text_digest")))
+    keyed = cut(docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("text_digest")))
 
     def stored() -> DataFrame:
         try:
