@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mnemolith.llm import exact_dedup, packing, quality, repeats, simhash
 from mnemolith.llm.common import documents
-from mnemolith.session import shared_dir
+from mnemolith.session import remove, shared_dir
 
 #: Words of the shortest repeated span that goes.
 WINDOW = 45
@@ -53,7 +53,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, root = documents(spark, sf_dir), f"{shared_dir(spark)}/pipeline_{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}_{name}")
-        docs = spark.read.parquet(f"{root}/{k}_{name}")
+        stage(spark, docs, sf_dir).write.parquet(path := f"{root}/{k}_{name}")
+        docs = spark.read.parquet(path)
+        if before:  # what the next stage was made of
+            remove(spark, before)
+        before = path
     return docs
