@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemolith.llm import exact_dedup, merkle, mixing_lm, packing, piece_codec, quality, repeats, sharding, simhash, token_counts
 from mnemolith.llm.common import crc_mod, documents
-from mnemolith.session import shared_dir
+from mnemolith.session import remove, shared_dir
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,10 @@ def op3_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each call, so that a result never depends on earlier ones."""
-    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), f"{shared_dir(spark)}/token_counts_{uuid.uuid4().hex}")
+    cache = f"{shared_dir(spark)}/token_counts_{uuid.uuid4().hex}"
+    counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), cache)
+    remove(spark, cache)  # its rows are in the result's checkpoint
+    return counts
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
