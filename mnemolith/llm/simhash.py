@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolith.llm.common import packed, quoted, text_or_empty, unpacked
@@ -177,8 +177,11 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
     the same sample). Rounds compare leaders of each class with all its other
     members; two members are left uncompared only once both are of one
     component. The leaders are the member with the most links so far (the
-    middle of a group links it at once) and about ``crowd`` hash-chosen ones, eight
-    times as many each round, of those outside that member's component.
+    middle of a group links it at once) and about four hash-chosen ones, eight times
+    as many each round, of those outside that member's component. What is left
+    after the first such round is put into new classes by rare shingles (the
+    prefix filter, which loses no pair), so that texts that share a passage only
+    are compared no more.
 
     With ``distinct`` no two rows share a key. A pair's short sketches meet first.
     Sets of shingles are made and moved only for pairs that the sketches leave,
@@ -205,11 +208,6 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
     firsts = cut(made.where("kind = 0").groupBy("fp").agg(F.min("row").alias("row")))
     linked = links(firsts.select("fp"), max_distance, segments, crowd)
     near = linked.join(firsts.select(F.col("fp").alias("a"), F.col("row").alias("u")).hint("merge"), "a").join(firsts.select(F.col("fp").alias("b"), F.col("row").alias("v")).hint("merge"), "b").select("u", "v")
-    # classes of the same rows are one class
-    mark = [F.count("*").alias("n"), F.min("row").alias("leader"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
-    classes = made.groupBy("kind", "fp").agg(*mark).where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min(F.struct("kind", "fp")).alias("c")).select("c.kind", "c.fp", "leader")
-    members = cut(made.join(classes, ["kind", "fp"]).select(F.xxhash64("kind", "fp").alias("class"), "row", "size", "leader").distinct())
-
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = np.maximum(b.column(2).to_numpy(), b.column(3).to_numpy())
@@ -217,13 +215,8 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
             some, same = ((x > 0) | (y > 0)).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
             yield b.select(["u", "v"]).take(pa.array(np.flatnonzero((n < 2 * SKETCH) | (same >= SURE * some))))
 
-    def confirmed(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The pairs that aren't among the ``known`` ones, and those of them that are alike."""
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = cut(pairs.join(known.hint("merge"), ["u", "v"], "left_anti") if known is not None else pairs)
-        first, second = (sketches.select(F.col("row").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")).hint("merge") for k in "uv")
-        left = cut(pairs.join(first, "u").join(second, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(close, "u long, v long"))
-        wanted = cut(left.select(F.explode(F.array("u", "v")).alias("row")).distinct())
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(row, hashes) of the rows named; a Bloom filter of them is broadcast, so others may come too."""
         packed_, bits, k = bloom_filter(wanted.select(F.xxhash64("row")), max(1, wanted.count()), 1)
         shared = rows.sparkSession.sparkContext.broadcast(packed_)
 
@@ -237,17 +230,53 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
         hashes = rows.select("row", "text", F.xxhash64("row").alias("h")).mapInArrow(sets, "row long, hashes array<long>")
         hashes = cut(hashes if distinct else hashes.dropDuplicates(["row"]))
         shared.unpersist()
+        return hashes
+
+    def confirmed(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that aren't among the ``known`` ones, and those of them that are alike."""
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        pairs = cut(pairs.join(known.hint("merge"), ["u", "v"], "left_anti") if known is not None else pairs)
+        first, second = (sketches.select(F.col("row").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")).hint("merge") for k in "uv")
+        left = cut(pairs.join(first, "u").join(second, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(close, "u long, v long"))
+        hashes = sets_of(cut(left.select(F.explode(F.array("u", "v")).alias("row")).distinct()))
         both = left.join(hashes.select(F.col("row").alias("v"), F.col("hashes").alias("hv")), "v").join(hashes.select(F.col("row").alias("u"), F.col("hashes").alias("hu")), "u")
         n = F.size(F.array_intersect("hu", "hv"))
         return pairs, cut(both.where(n >= similarity * (F.size("hu") + F.size("hv") - n)).select("u", "v"))
 
+    def named(places: DataFrame, *key: str) -> DataFrame:
+        """(class, row, size, leader) of the rows that share a key; classes of the same rows are one."""
+        mark = [F.count("*").alias("n"), F.min("row").alias("leader"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
+        classes = places.groupBy(*key).agg(*mark).where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min(F.struct(*key)).alias("c")).select("c.*", "leader")
+        return cut(places.join(classes.hint("merge"), list(key)).select(F.xxhash64(*key).alias("class"), "row", "size", "leader").distinct())
+
+    def by_rare_shingles(wanted: DataFrame) -> DataFrame:
+        """The places (h, row, size) of rows that are left: their rarest shingles among them, so many that rows alike share one (the prefix filter)."""
+        sets = sets_of(wanted).join(wanted.hint("merge"), "row", "left_semi")
+        each = cut(sets.select("row", F.size("hashes").alias("size"), F.explode("hashes").alias("h")))
+        often = cut(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+        shared = each.join(often.hint("merge"), "h")
+        whole = Window.partitionBy("row")
+        ranked = shared.withColumns({"rank": F.row_number().over(whole.orderBy("n", "h")), "shared": F.count("*").over(whole)})
+        prefix = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+        # shingles that no other row has come first
+        return ranked.where(F.col("rank") <= prefix - (F.col("size") - F.col("shared"))).select("h", "row", "size")
+
     def sized(pairs: DataFrame) -> DataFrame:
         return pairs.where((F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size")) & (F.col("row") != F.col("lead"))).select(F.col("row").alias("u"), F.col("lead").alias("v"))
 
-    ends = members.where("row = leader").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"))
-    compared, found = confirmed(sized(members.join(ends.hint("merge"), "class")).unionByName(near))
+    def starred(members: DataFrame, more: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        ends = members.where("row = leader").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"))
+        pairs = sized(members.join(ends.hint("merge"), "class"))
+        return confirmed(pairs if more is None else pairs.unionByName(more), known)
+
+    def grown(roots: DataFrame, links_: DataFrame) -> DataFrame:
+        """The components so far and the new links."""
+        return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links_), "u", "v")
+
+    members = named(made.select("kind", "fp", "row", "size"), "kind", "fp")
+    compared, found = starred(members, near, None)
     roots = connected_components(found, "u", "v")
-    left, share = cut(members.where("row <> leader").drop("leader")), crowd
+    left, share, refined = members.where("row <> leader").drop("leader"), 4, False
     while True:
         own = roots.withColumnRenamed("node", "row").hint("merge")
         degrees = found.select(F.explode(F.array("u", "v")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
@@ -259,12 +288,16 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
         state = cut(state.join(opened.hint("merge"), "class").select("class", "row", "size", "root", chosen.alias("chosen")))
         if not state.limit(1).count():
             return roots
-        leaders = state.where("chosen").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"), F.col("root").alias("lead_root"))
-        seen, more = confirmed(sized(state.join(leaders.hint("merge"), "class").where("root <> lead_root")), compared)
-        compared, found = compared.unionByName(seen), found.unionByName(more)
-        # the components so far and the new links
-        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "u", "v")
-        left, share = state.where("not chosen").select("class", "row", "size"), share * 8
+        if share > 4 and not refined:
+            # what share a sample and is still apart mostly shares a passage: classes of rare shingles take the place of those
+            members = named(by_rare_shingles(cut(state.select("row").distinct())), "h")
+            seen, more = starred(members, None, compared)
+            left, share, refined = members.where("row <> leader").drop("leader"), 4, True
+        else:
+            leaders = state.where("chosen").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"), F.col("root").alias("lead_root"))
+            seen, more = confirmed(sized(state.join(leaders.hint("merge"), "class").where("root <> lead_root")), compared)
+            left, share = state.where("not chosen").select("class", "row", "size"), share * 8
+        compared, found, roots = compared.unionByName(seen), found.unionByName(more), grown(roots, more)
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
