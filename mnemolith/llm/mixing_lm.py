@@ -59,7 +59,7 @@ from mnemolith.session import bounded_batches, cut
 #: The end token and the escape as table keys; words are never empty and hold no blank.
 END, ESCAPE = b"", b" "
 #: Words between refinements of the weights, words and bytes that are worked on at once.
-BLOCK, AT_ONCE, BYTES = 64, 60_000, 8_000_000
+BLOCK, AT_ONCE, BYTES = 64, 20_480, 8_000_000
 #: Predictors of a bit, gates of coded and of spelled bits, tables of slots (three of coded bits, one of spelled).
 INPUTS, GATES, TABLES = 4, 32, 6
 #: The tables of coded and of spelled bits' contexts.
@@ -268,8 +268,11 @@ class Scorer:
         ends, w, begin = np.cumsum(t.count), None, 0
         while begin < len(symbol):
             # whole texts, or a part of one
-            stop = int(np.searchsorted(ends, begin + AT_ONCE, side="right"))
-            stop = int(ends[stop - 1]) if stop and ends[stop - 1] > begin else min(begin + AT_ONCE, len(symbol))
+            whole = int(np.searchsorted(ends, begin + AT_ONCE, side="right"))
+            if t.place[begin] == 0 and whole and ends[whole - 1] > begin:
+                stop = int(ends[whole - 1])
+            else:
+                stop = min(begin + AT_ONCE, int(ends[t.of[begin]]))
             of, place = t.of[begin:stop], t.place[begin:stop]
             docs = np.unique(of)
             whose, block = (of - docs[0]).astype(np.int32), (place - place[0] if len(docs) == 1 else place) // BLOCK

@@ -145,6 +145,16 @@ def test_scorer_against_plain_loops():
     assert at == len(spelt)
 
 
+def test_long_texts_in_parts(monkeypatch):
+    """A text that is worked on in parts, between others, scores as it does in one."""
+    scorer = small_model()
+    texts = ["the cat sat", "the mat and the log " * 300 + "odd", "a dog sat on the hat", "le chien " * 200]
+    whole = scorer.score(mixing_lm.Tokens(pa.array(texts)))
+    monkeypatch.setattr(mixing_lm, "AT_ONCE", 4 * mixing_lm.BLOCK)
+    parts = scorer.score(mixing_lm.Tokens(pa.array(texts)))
+    assert parts[0] == pytest.approx(whole[0], rel=1e-4) and parts[1] == pytest.approx(whole[1], rel=1e-3)
+
+
 def test_probabilities_sum_to_one():
     """Over all symbols that can follow, and over all bytes that can follow in a word."""
     scorer = small_model()
