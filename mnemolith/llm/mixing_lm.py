@@ -66,6 +66,8 @@ INPUTS, GATES, TABLES = 4, 32, 6
 OF_CODED, OF_SPELLED = (0, 1, 2), (3, 3, 4, 5)
 #: Tokens whose last two before a token tell what kind of text it is in.
 FREQUENT = 64
+#: Bounds of how often a context was seen, for the gates.
+SEEN = (2, 16, 256)
 #: Pieces that the tables of counts are merged in.
 PIECES = 512
 #: How much a predictor is drawn to what the shorter context says, in observations.
@@ -223,21 +225,10 @@ class Scorer:
     def __init__(self, coder: Coder, table: np.ndarray):
         self.coder, self.table = coder, table
 
-    def _drawn(self, one: np.ndarray, zero: np.ndarray, slot: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of a 1 and a 0 by the slot's counts and ``k`` observations of those given, log odds, and how often it was seen (0 to 3)."""
+    def _counts(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often a 1 and a 0 followed."""
         c = self.table[slot]
-        a, b = (c >> np.uint32(16)).astype(np.float32), (c & np.uint32(0xFFFF)).astype(np.float32)
-        n = a + b
-        seen = (n >= 2).astype(np.int32)
-        seen += n >= 16
-        seen += n >= 256
-        n += k
-        a += k * one
-        b += k * zero
-        odds = np.log(a / b)
-        a /= n
-        b /= n
-        return a, b, odds, seen
+        return (c >> np.uint32(16)).astype(np.float32), (c & np.uint32(0xFFFF)).astype(np.float32)
 
     def inputs(self, kind: int, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what each predictor adds in log odds, gate) of coded (0) or spelled (1) bits."""
@@ -245,20 +236,38 @@ class Scorer:
         zero = 1 / (1 + base)
         one = base * zero
         x = np.empty((INPUTS, len(at)), np.float32)
+        gate = np.zeros(len(at), np.int64)
+        before = np.log(base) if kind == 0 else np.float32(0)
         if kind == 0:
-            x[0] = np.log(base)
-            a, b, first, ends = self._drawn(one, zero, slot[0], DRAWN[0][0])
-            _, _, second, whole = self._drawn(a, b, slot[1], DRAWN[0][1])
-            x[1], x[2] = first - x[0], second - first
-            x[3] = self._drawn(one, zero, slot[2], DRAWN[0][2])[2] - x[0]
-            return x, ends * 4 + whole
-        before, seen = np.float32(0), []
-        for k in range(INPUTS):
-            one, zero, odds, n = self._drawn(one, zero, slot[k], DRAWN[1][k])
-            x[k] = odds - before
+            x[0] = before
+            k = DRAWN[0][2]
+            a, b = self._counts(slot[2])
+            a += k * one
+            b += k * zero
+            a /= b
+            np.log(a, out=x[3])
+            x[3] -= before
+        # each predictor is drawn to the one before
+        steps, gates = (((1, 0), (2, 1)), (0, 1)) if kind == 0 else (tuple((i, i) for i in range(INPUTS)), (1, 3))
+        for i, c in steps:
+            k = DRAWN[kind][c]
+            a, b = self._counts(slot[c])
+            if c in gates:
+                n = a + b
+                gate *= 4
+                for least in SEEN:
+                    gate += n >= least
+            a += k * one
+            b += k * zero
+            odds = a / b
+            if (i, c) != steps[-1]:  # probabilities for the next one
+                zero = 1 / (1 + odds)
+                one = odds * zero
+            np.log(odds, out=odds)
+            np.subtract(odds, before, out=x[i])
             before = odds
-            seen.append(n)
-        return x, GATES // 2 + seen[1] * 4 + seen[3]
+        gate += GATES // 2 * kind
+        return x, gate
 
     def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text's coded bits, and of each token's spelling (0 for those in the tree)."""
@@ -275,7 +284,7 @@ class Scorer:
                 stop = min(begin + AT_ONCE, int(ends[t.of[begin]]))
             of, place = t.of[begin:stop], t.place[begin:stop]
             docs = np.unique(of)
-            whose, block = (of - docs[0]).astype(np.int32), (place - place[0] if len(docs) == 1 else place) // BLOCK
+            whose, block = of - docs[0], (place - place[0] if len(docs) == 1 else place) // BLOCK
             if w is None or place[0] == 0:
                 w = np.tile(FIRST, len(docs))
             # blocks of all texts come side by side, so that each step works on many
@@ -316,12 +325,17 @@ class Scorer:
         s *= x[0]
         for i in range(1, len(x)):
             s += w[i][cell] * x[i]
-        np.clip(s, -16, 16, out=s)
-        p = 1 / (1 + np.exp(-s))
-        error = y - p
+        np.minimum(s, 16, out=s)
+        np.maximum(s, -16, out=s)
+        e = np.exp(-s)
+        e += 1
+        error = y - 1 / e
+        s *= 1 - y
+        np.log(e, out=e)
+        s += e
         for i in range(len(x)):
             w[i] += RATE * np.clip(np.bincount(cell, error * x[i], w.shape[1]), -20, 20)
-        return -np.log1p(-np.abs(error))
+        return s
 
 
 def token_counts(training: DataFrame) -> DataFrame:
@@ -406,6 +420,19 @@ def context_counts(training: DataFrame, shared, slots: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def frequent_tokens(counts: DataFrame, words: int) -> dict[bytes, int]:
+    """The most frequent tokens, ``words`` at most, most frequent first: those whose count is above a bound that a histogram of counts gives."""
+    bucket = F.floor(F.log2("n") * 256).cast("int")
+    sizes = sorted(((r.b, r.k) for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("k")).collect()), reverse=True)  # 64 * 256 rows at most
+    least, n = None, 0
+    for b, k in sizes:
+        if n + k > words:
+            break
+        least, n = b, n + k
+    chosen = counts.where(bucket >= least).collect() if least is not None else []  # ``words`` rows at most
+    return dict(sorted(((bytes(r.token), r.n) for r in chosen), key=lambda x: (-x[1], x[0])))
+
+
 def few(df: DataFrame) -> DataFrame:
     """A quarter of the tasks, or one for each core: each of them sends a table."""
     n = df.rdd.getNumPartitions()
@@ -420,7 +447,7 @@ def lm_scores(docs: DataFrame, parts: int = 5, held: int = 1, words: int = 1 <<
     training = rows.where("not held_out")
     counts = cut(token_counts(training))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
-    known = {bytes(r.token): r.n for r in counts.orderBy(F.desc("n"), "token").limit(words).collect()}
+    known = frequent_tokens(counts, words)
     rest = total.n - sum(known.values())
     # of what is escaped, the share that is new
     escaped = rest + total.once + 1
