@@ -304,3 +304,17 @@ def with_metadata(rows: DataFrame, keep: list[str]) -> DataFrame:
 def prefixed(rows: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     """All columns but ``keep`` get a prefix."""
     return rows.select(*[F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in rows.columns])
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on the parts alone."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 12), 16, 10).cast("long") / float(1 << 48)
+
+
+def synthetic_samples(spark: SparkSession, samples: int, dims: int, least: int, most: int, seed: int = 0) -> DataFrame:
+    """(sample_id, cand_index, vector, mass): samples of ``least`` to ``most`` blocks each; vectors and the blocks' shares of mass are drawn by hash."""
+    each = spark.range(samples).select(F.col("id").alias("sample_id"), (least + F.floor(uniform(F.lit(seed), F.col("id"), F.lit("n")) * (most - least + 1))).cast("int").alias("n"))
+    blocks = each.select("sample_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("cand_index"))
+    vector = F.array(*[uniform(F.lit(seed), F.col("sample_id"), F.col("cand_index"), F.lit(d)) * 2 - 1 for d in range(dims)])
+    drawn = blocks.select("sample_id", "cand_index", vector.alias("vector"), (uniform(F.lit(seed), F.col("sample_id"), F.col("cand_index"), F.lit("m")) + 0.01).alias("m"))
+    return drawn.withColumn("mass", F.col("m") / F.sum("m").over(Window.partitionBy("sample_id"))).drop("m")

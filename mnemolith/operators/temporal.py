@@ -154,3 +154,10 @@ def assignment_posterior(vectors: DataFrame, slots: DataFrame, dims: int, alpha:
     held = vectors.join(slots, "grp").select("id", "slot", near.alias("score"))
     new = vectors.select("id", F.lit(-1).cast("long").alias("slot"), (F.log(F.lit(alpha)) + sphere_log_density(dims)).alias("score"))
     return held.unionByName(new).withColumn("p", softmax(F.col("score"), "id")).drop("score")
+
+
+def effective_baseline(metrics: DataFrame, least_recall: float, least_top1: float) -> DataFrame:
+    """The best row (by recall_at_k, then top1_accuracy) of (method, recall_at_k, top1_accuracy); an error if even that is too weak to compare with."""
+    best = metrics.agg(F.max_by(F.struct("method", "recall_at_k", "top1_accuracy"), F.struct("recall_at_k", "top1_accuracy", "method")).alias("b")).select("b.*")
+    weak = (F.col("recall_at_k") < least_recall) | (F.col("top1_accuracy") < least_top1)
+    return best.withColumn("method", F.when(weak, F.raise_error(F.concat(F.lit("too weak a baseline: "), "method"))).otherwise(F.col("method")))

@@ -11,7 +11,8 @@ from mnemolith.functions import text, vector
 from mnemolith.operators import attention as att
 from mnemolith.operators import hierarchy, lm_eval, planning, prepare, retrieval, similarity, temporal, trajectory
 from mnemolith.plans import tables as t
-from mnemolith.plans.io_queries import ITEMS, _tree
+from mnemolith.plans import runner
+from mnemolith.plans.io_queries import ITEMS, _folder, _tree
 from mnemolith.plans.queries import ATT, REC, S, STEP, U, V, WORDS, _corpus, query, rounded
 from mnemolith.session import cut
 from mnemolith.sources import files
@@ -563,3 +564,34 @@ def slot_splits(spark, sf_dir):
     """Which slots two means part well."""
     r = t.records(spark, sf_dir)
     return rounded(hierarchy.split_gains(r, hierarchy.two_means(r, 4)).drop("stream"))
+
+
+# --- stages, made-up samples ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT lang, count(*) AS documents, 'words: ran, langs: ran; words: kept, langs: kept; words: ran, langs: ran' AS runs FROM documents WHERE n_chars > 0 GROUP BY lang")
+def resumed_stages(spark, sf_dir):
+    """Two stages, run, run again, and run with another configuration."""
+    stages = [("words", lambda s, _: t.table(s, sf_dir, "documents").where("n_chars > 0").select("lang", "n_chars")), ("langs", lambda s, d: d.groupBy("lang").agg(F.count("*").alias("documents")))]
+    root, runs = _folder(spark, "stages"), []
+    for seed in (1, 1, 2):
+        out, done = runner.run_stages(spark, root, stages, {"seed": seed, "_config_path": f"{seed}.json"})
+        runs.append(", ".join(f"{name}: {how}" for name, how in done))
+    return out.withColumn("runs", F.lit("; ".join(runs)))
+
+
+DRAW = "('0x' || substr(sha256({}), 1, 12))::BIGINT / 281474976710656.0"
+
+
+@query(f"""WITH n AS (SELECT i AS sample_id, 2 + floor({DRAW.format("'5:' || i || ':n'")} * 4)::INT AS n FROM range(200) r(i)), b AS (SELECT sample_id, unnest(range(n)) AS cand_index FROM n),
+  m AS (SELECT *, {DRAW.format("'5:' || sample_id || ':' || cand_index || ':m'")} + 0.01 AS m, {DRAW.format("'5:' || sample_id || ':' || cand_index || ':1'")} * 2 - 1 AS x FROM b)
+  SELECT sample_id, cand_index::INT AS cand_index, round(x, 6) AS second, round(m / sum(m) OVER (PARTITION BY sample_id), 6) AS mass FROM m""")
+def synthetic_samples(spark, sf_dir):
+    s = prepare.synthetic_samples(spark, 200, 3, 2, 5, seed=5)
+    return rounded(s.select("sample_id", "cand_index", F.col("vector")[1].alias("second"), "mass"))
+
+
+@query(READS + """, m AS (SELECT scenario, round(coalesce(avg(top1::INT) FILTER (NOT absent), 0), 6) AS t, round(coalesce(avg(hit::INT) FILTER (NOT absent), 0), 6) AS h FROM f GROUP BY scenario) SELECT scenario::VARCHAR AS method, h AS recall_at_k, t AS top1_accuracy FROM m ORDER BY h DESC, t DESC, method DESC LIMIT 1""")
+def strongest_baseline(spark, sf_dir):
+    m = read_metrics(spark, sf_dir).select(F.col("scenario").cast("string").alias("method"), "recall_at_k", "top1_accuracy")
+    return temporal.effective_baseline(m, 0.01, 0.01)
