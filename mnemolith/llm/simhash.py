@@ -176,12 +176,12 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
     Candidates meet by their class (equal fingerprints of the whole text or of
     the same sample). Rounds compare leaders of each class with all its other
     members; two members are left uncompared only once both are of one
-    component. The leaders are the member with the most links so far (the
-    middle of a group links it at once) and about four hash-chosen ones, eight times
-    as many each round, of those outside that member's component. What is left
-    after the first such round is put into new classes by rare shingles (the
-    prefix filter, which loses no pair), so that texts that share a passage only
-    are compared no more.
+    component. The first leader of a class is its smallest row. What is left apart
+    then is put into new classes by rare shingles (the prefix filter, which loses
+    no pair), so that texts that share a passage only are compared no more. The
+    next leaders are the member with the most links so far (the middle of a group
+    links it at once) and about ``crowd`` hash-chosen ones, eight times as many
+    each round, of those outside that member's component.
 
     With ``distinct`` no two rows share a key. A pair's short sketches meet first.
     Sets of shingles are made and moved only for pairs that the sketches leave,
@@ -276,7 +276,7 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
     members = named(made.select("kind", "fp", "row", "size"), "kind", "fp")
     compared, found = starred(members, near, None)
     roots = connected_components(found, "u", "v")
-    left, share, refined = members.where("row <> leader").drop("leader"), 4, False
+    left, share, refined = members.where("row <> leader").drop("leader"), crowd, False
     while True:
         own = roots.withColumnRenamed("node", "row").hint("merge")
         degrees = found.select(F.explode(F.array("u", "v")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
@@ -288,11 +288,11 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
         state = cut(state.join(opened.hint("merge"), "class").select("class", "row", "size", "root", chosen.alias("chosen")))
         if not state.limit(1).count():
             return roots
-        if share > 4 and not refined:
+        if not refined:
             # what share a sample and is still apart mostly shares a passage: classes of rare shingles take the place of those
             members = named(by_rare_shingles(cut(state.select("row").distinct())), "h")
             seen, more = starred(members, None, compared)
-            left, share, refined = members.where("row <> leader").drop("leader"), 4, True
+            left, refined = members.where("row <> leader").drop("leader"), True
         else:
             leaders = state.where("chosen").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"), F.col("root").alias("lead_root"))
             seen, more = confirmed(sized(state.join(leaders.hint("merge"), "class").where("root <> lead_root")), compared)
