@@ -39,6 +39,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever dots or quotes it holds."""
     return "`" + name.replace("`", "``") + "`"
