@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 def _lengths(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The rows of a batch by the length of their vectors."""
-    n = np.asarray(pa.compute.list_value_length(batch.column(at)))
+    n = np.asarray(pc.list_value_length(batch.column(at)))
     for dims in np.unique(n):
         yield int(dims), batch if (n == dims).all() else batch.filter(pa.array(n == dims))
 
