@@ -5,14 +5,22 @@ Candidates: (sample_id, cand_index, start_position, end_position, score, mass).
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions.hashing import seeded_order
 from mnemolith.functions.vector import entropy_term, normalised, softmax
 
+#: Groups that a task adds up before it sends them, and resamples of a row that it sends.
+HELD, PIECE = 1024, 250
+
+
 def policy_order(policy: str, seed: int = 0) -> list[Column]:
     """How a policy orders a sample's candidates."""
     return {
@@ -82,14 +90,37 @@ def bootstrap(rows: DataFrame, by: list[str], key: list[str], value: str, iterat
     on the seed, the row's ``key`` (distinct in its group) and the resample alone. Sums of all resamples
     meet where the rows are, so no group is gathered.
     """
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], F.col("i").cast("string"))), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    upto, p, times = 0.0, math.exp(-1), F.lit(0)
-    for n in range(1, 10):
-        upto += p
-        times = times + (draw >= upto).cast("int")
-        p /= n
-    each = rows.select(*by, *[k for k in key if k not in by], value, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i")).withColumn("times", times)
-    means = each.groupBy(*by, "i").agg((F.sum(F.col("times") * F.col(value)) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
+    bounds = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(9)])
+    kinds = dict(rows.dtypes)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the task's sums of each group; a row's draws are worked out and added up at once
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+        for b in batches:
+            types = [f.type for f in b.schema][: len(by)]
+            for *group, name, x in zip(*(c.to_pylist() for c in b.columns)):
+                drawn = np.array([int(hashlib.md5(f"{seed}:{name}:{i}".encode()).hexdigest()[:12], 16) for i in range(iterations)]) / float(1 << 48)
+                times = np.searchsorted(bounds, drawn, side="right").astype(float)
+                at = held.setdefault(tuple(group), np.zeros((2, iterations)))
+                at[0] += times
+                at[1] += times * (0.0 if x is None else x)
+            if len(held) > HELD:
+                yield blocks(held, types)
+                held = {}
+        if held:
+            yield blocks(held, types)
+
+    def blocks(held: dict[tuple, np.ndarray], types: list[pa.DataType]) -> pa.RecordBatch:
+        cuts = range(0, iterations, PIECE)
+        columns = [pa.array([g[k] for g in held for _ in cuts], types[k]) for k in range(len(by))]
+        columns += [pa.array([c // PIECE for _ in held for c in cuts], pa.int32()), *(pa.array([a[k, c : c + PIECE] for a in held.values() for c in cuts], pa.list_(pa.float64())) for k in (0, 1))]
+        return pa.record_batch(columns, names=[*by, "piece", "times", "total"])
+
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in key])
+    each = rows.select(*by, name.alias("__name"), F.col(value).cast("double").alias("__x")).mapInArrow(sums, ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "piece int, times array<double>, total array<double>"]))
+    both = each.select(*by, "piece", F.posexplode(F.arrays_zip("times", "total")).alias("i", "z")).groupBy(*by, "piece", "i").agg(F.sum("z.times").alias("times"), F.sum("z.total").alias("total"))
+    means = both.select(*by, (F.col("total") / F.nullif(F.col("times"), F.lit(0.0))).alias("m"))
     ordered = F.sort_array(F.collect_list("m"))  # iterations numbers
     at = lambda q: F.get(F.col("m"), F.least(F.size("m") - 1, F.floor(q * F.size("m")).cast("int")))
     return means.groupBy(*by).agg(ordered.alias("m")).select(*by, at(0.025).alias("low"), at(0.975).alias("high"))

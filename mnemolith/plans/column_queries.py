@@ -457,15 +457,15 @@ def paired_prompts(spark, sf_dir):
 
 # --- reports --------------------------------------------------------------------------------------------------------------------
 
-FACTS = f"""WITH {U}, p AS (SELECT q.id, q.label = r.label AS same, q.label % 4 = r.label % 4 AS alike, list_dot_product(q.x, r.x) AS c FROM u q JOIN u r ON q.id % 100 = 0 AND r.id % 2 = 1)"""
+FACTS = f"""WITH {U}, p AS (SELECT q.id, q.label = r.label AS same, q.label % 4 = r.label % 4 AS alike, list_dot_product(q.x, r.x) AS c FROM u q JOIN u r ON q.id % 2 = 0 AND r.id % 2 = 1)"""
 
 
 @query(FACTS + """ SELECT round(coalesce(avg(c) FILTER (same), 0), 6) AS same_fact, round(coalesce(avg(c) FILTER (alike AND NOT same), 0), 6) AS same_question, round(coalesce(avg(c) FILTER (NOT alike), 0), 6) AS other_fact,
   round(coalesce(avg(c) FILTER (same), 0) - coalesce(avg(c) FILTER (NOT alike), 0), 6) AS fact_margin, round(coalesce(avg(c) FILTER (same), 0) - coalesce(avg(c) FILTER (alike AND NOT same), 0), 6) AS question_margin FROM p""")
 def query_to_fact_means(spark, sf_dir):
-    """Mean cosines of queries with their own fact, with others of the same question (labels equal modulo 4), and with the rest."""
+    """Mean cosines of all queries (even ids) with all facts (odd ids): with their own fact, with others of the same question (labels equal modulo 4), and with the rest."""
     v = t.vectors(spark, sf_dir).withColumn("question", F.col("label") % 4)
-    m = similarity.cross_means(v.where("id % 100 = 0"), v.where("id % 2 = 1"), "label", "question")
+    m = similarity.cross_means(v.where("id % 2 = 0"), v.where("id % 2 = 1"), "label", "question")
     at = lambda k, c: F.max(F.when(F.col("key") == k, F.col(c)))
     mean = lambda s, n: F.when(n > 0, s / n).otherwise(F.lit(0.0))
     one = m.agg(*[at(k, c).alias(f"{k}_{c}") for k in ("all", "label", "question") for c in ("pairs", "total")])
@@ -500,12 +500,12 @@ def viability(spark, sf_dir):
     return r.select("method", similarity.verdict(F.col("same_mean"), F.col("different_mean"), F.col("margin")).alias("advice"))
 
 
-@query("SELECT count(*) AS sequences, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, round(avg(n_chars), 6) AS mean_chars, sha256(string_agg(doc_id || ':' || n_chars, ',' ORDER BY doc_id)) AS digest FROM documents WHERE doc_id < 5000")
+@query("""SELECT count(*) AS sequences, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, round(avg(n_chars), 6) AS mean_chars, sum(('0x' || substr(sha256(doc_id || ':' || n_chars), 1, 12))::BIGINT)::DECIMAL(38, 0)::VARCHAR AS digest FROM documents""")
 def manifest_counts(spark, sf_dir):
-    """Exact distinct counts, a mean, and a digest of the first 5,000 ids and lengths, as a manifest holds them."""
-    d = t.table(spark, sf_dir, "documents").where("doc_id < 5000")
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["n_chars"].cast("string"))), ",")
-    return rounded(d.agg(F.count("*").alias("sequences"), F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources"), F.avg("n_chars").alias("mean_chars"), F.sha2(lines, 256).alias("digest")))
+    """Exact distinct counts, a mean, and a digest of all ids and lengths, as a manifest holds them: a sum of row hashes, so no order and no one row is needed."""
+    d = t.table(spark, sf_dir, "documents")
+    each = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string")), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return rounded(d.agg(F.count("*").alias("sequences"), F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources"), F.avg("n_chars").alias("mean_chars"), F.sum(each).cast("string").alias("digest")))
 
 
 @query("""SELECT doc_id, '{"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}' AS metadata FROM documents""")
@@ -548,22 +548,23 @@ def routed_reads(spark, sf_dir):
     return rounded(hierarchy.routed_reads(q, parents, leaves, r.select("stream", "slot", "record_id", "vector", "write_time"), seen, 2, 3, 4, 0.01))
 
 
-@query(TREE + """, pr AS (SELECT a.slot AS a, b.slot AS b, round(list_dot_product(a.c, b.c), 12) AS score FROM l a JOIN l b ON a.parent = b.parent AND a.slot < b.slot)
-  SELECT a, b, round(score, 6) AS score FROM pr p WHERE (a + b) % 5 <> 0 AND score >= 0 AND NOT EXISTS (SELECT 1 FROM pr x WHERE (x.a + x.b) % 5 <> 0 AND (x.a, x.b) <> (p.a, p.b) AND (x.a IN (p.a, p.b) OR x.b IN (p.a, p.b)) AND (x.score, -x.a, -x.b) > (p.score, -p.a, -p.b))""")
+@query(TREE.replace("WITH ", "WITH RECURSIVE ", 1) + """, pr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY round(list_dot_product(a.c, b.c), 12) DESC, a.slot, b.slot) AS n, a.slot AS a, b.slot AS b, round(list_dot_product(a.c, b.c), 12) AS score FROM l a JOIN l b ON a.parent = b.parent AND a.slot < b.slot WHERE (a.slot + b.slot) % 5 <> 0 AND round(list_dot_product(a.c, b.c), 12) >= 0),
+  g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS used, []::BIGINT[] AS taken UNION ALL SELECT pr.n, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE used || [a, b] END, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN taken ELSE taken || [pr.n] END FROM g JOIN pr ON pr.n = g.n + 1)
+  SELECT a, b, round(score, 6) AS score FROM pr WHERE list_contains((SELECT taken FROM g ORDER BY n DESC LIMIT 1), n)""")
 def best_merges(spark, sf_dir):
-    """Pairs of slots of one parent that are each other's best; slots whose labels add up to a multiple of 5 mustn't meet."""
+    """Pairs of slots of one parent, the most alike first, each slot in one pair at most; slots whose labels add up to a multiple of 5 mustn't meet."""
     _, _, leaves = _tree_of_slots(spark, sf_dir)
     leaves = cut(leaves)
     ids = leaves.select("parent", "slot")
     barred = ids.join(ids.withColumnRenamed("slot", "other"), "parent").where("slot < other AND (slot + other) % 5 = 0").select("slot", "other")
-    return rounded(hierarchy.merge_pairs(leaves, barred, 0.0, rounds=1).select("a", "b", "score"))
+    return rounded(hierarchy.merge_pairs(leaves, barred, 0.0).select("a", "b", "score"))
 
 
 @query()
 def slot_splits(spark, sf_dir):
     """Which slots two means part well."""
     r = t.records(spark, sf_dir)
-    return rounded(hierarchy.split_gains(r, hierarchy.two_means(r, 4)).drop("stream"))
+    return rounded(hierarchy.split_gains(r, hierarchy.two_means(r)).drop("stream"))
 
 
 # --- stages, made-up samples ----------------------------------------------------------------------------------------------------

@@ -105,7 +105,7 @@ def centered_cosine_buckets(spark, sf_dir):
 @query(f"""WITH {U}, s AS (SELECT q.id AS query_id, q.label AS query_label, r.id, r.label, round(list_dot_product(q.x, r.x), 12) AS score FROM u q JOIN u r ON q.id % 100 = 0 AND r.id % 2 = 1),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM s QUALIFY rank <= 5)""" + KNN_REPORT)
 def query_to_fact_report(spark, sf_dir):
-    """Even ids ask, odd ids are the facts."""
+    """Odd ids are the facts; of the even ones, which ask, the hundredths are the query set."""
     v = t.vectors(spark, sf_dir)
     return rounded(similarity.retrieval_report(similarity.neighbours(v.where("id % 2 = 1"), v.where("id % 100 = 0"), 5), 5))
 
@@ -184,15 +184,6 @@ def _prompts(spark, sf_dir):
     return prepare.evidence_prompts(qa, turns, 3, 2).select("entity", "condition_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, text, role, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations), q AS (SELECT conv_id, text AS question FROM t WHERE turn = last),
-  c AS (SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY turn) FILTER (turn = last - 1) AS evidence_only,
-    string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY turn) FILTER (turn < last AND turn >= last - 3) AS recent_context FROM t WHERE last > 0 GROUP BY conv_id),
-  u AS (SELECT conv_id, 'evidence_only' AS condition_id, evidence_only AS context FROM c UNION ALL SELECT conv_id, 'recent_context', recent_context FROM c)
-  SELECT conv_id::VARCHAR AS entity, condition_id, md5('Conversation evidence:' || chr(10) || context || chr(10) || chr(10) || 'Memory request: ' || trim(question, ' ') || chr(10) || 'Question: ' || trim(question, ' ')) AS prompt_md5 FROM u JOIN q USING (conv_id)""")
-def evidence_prompts(spark, sf_dir):
-    return _prompts(spark, sf_dir).where("condition_id <> 'noisy_context'")
-
-
 @query("""WITH t AS (SELECT conv_id, turn, text, role, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations), q AS (SELECT conv_id, text AS question FROM t WHERE turn = last AND last > 0),
   l AS (SELECT conv_id, turn, turn = last - 1 AS own, upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text AS line FROM t WHERE turn < last),
   r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS late, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn DESC) AS other FROM l),
@@ -200,8 +191,8 @@ def evidence_prompts(spark, sf_dir):
     UNION ALL SELECT conv_id, 'recent_context', string_agg(line, chr(10) ORDER BY turn) FROM r WHERE late <= 3 GROUP BY conv_id
     UNION ALL SELECT conv_id, 'noisy_context', string_agg(line, chr(10) ORDER BY own, turn) FROM r WHERE own OR other <= 2 GROUP BY conv_id)
   SELECT conv_id::VARCHAR AS entity, condition_id, md5('Conversation evidence:' || chr(10) || context || chr(10) || chr(10) || 'Memory request: ' || trim(question, ' ') || chr(10) || 'Question: ' || trim(question, ' ')) AS prompt_md5 FROM u JOIN q USING (conv_id)""")
-def evidence_prompts_all(spark, sf_dir):
-    """All three prompts of each question; ``evidence_prompts`` has no noisy one."""
+def evidence_prompts(spark, sf_dir):
+    """All three prompts of each question."""
     return _prompts(spark, sf_dir)
 
 
@@ -331,20 +322,11 @@ def retrieval_entropy(spark, sf_dir):
     return rounded(retrieval.decision_entropy(t.candidates(spark, sf_dir)))
 
 
-@query(ATT + """, r AS (SELECT sample_id, head, future_index AS event, sum(p) AS mass, 8 AS length, 40 AS key_len FROM a WHERE key_position < 8 AND layer = 0 GROUP BY ALL),
-  h AS (SELECT sample_id, head, avg(mass) AS mass, avg(length) AS length, avg(length / key_len) AS uniform FROM r GROUP BY ALL)
-  SELECT sample_id, round(avg(length), 6) AS mean_tokens, round(avg(mass), 6) AS mean_mass, round(max(mass), 6) AS max_head_mass, round(avg(mass) / avg(uniform), 6) AS enrichment, sum(CASE WHEN mass / uniform >= 2 THEN 1 ELSE 0 END)::BIGINT AS heads_twice FROM h GROUP BY sample_id""")
-def attention_event_summary(spark, sf_dir):
-    a = t.attention(spark, sf_dir).where("layer = 0 AND key_position < 8")
-    events = a.groupBy("sample_id", "head", F.col("future_index").alias("event")).agg(F.sum("p").alias("mass")).withColumns({"length": F.lit(8), "key_len": F.lit(t.KEYS)})
-    return rounded(att.event_summary(events, ["sample_id"]))
-
-
 @query(ATT + """, r AS (SELECT sample_id, layer, key_position // 8 AS block_index, head, future_index AS event, sum(p) AS mass, 8 AS length, 40 AS key_len FROM a GROUP BY ALL),
   h AS (SELECT sample_id, layer, block_index, head, avg(mass) AS mass, avg(length) AS length, avg(length / key_len) AS uniform FROM r GROUP BY ALL)
   SELECT sample_id, layer::INT AS layer, block_index::INT AS block_index, round(avg(length), 6) AS mean_tokens, round(avg(mass), 6) AS mean_mass, round(max(mass), 6) AS max_head_mass, round(avg(mass) / avg(uniform), 6) AS enrichment, sum(CASE WHEN mass / uniform >= 2 THEN 1 ELSE 0 END)::BIGINT AS heads_twice FROM h GROUP BY sample_id, layer, block_index""")
-def attention_event_summary_all(spark, sf_dir):
-    """Every layer and block; ``attention_event_summary`` is of the first of each."""
+def attention_event_summary(spark, sf_dir):
+    """Of every layer and block."""
     a = t.attention(spark, sf_dir).withColumns({"layer": F.col("layer").cast("int"), "block_index": F.floor(F.col("key_position") / t.BLOCK).cast("int")})
     events = a.groupBy("sample_id", "layer", "block_index", "head", F.col("future_index").alias("event")).agg(F.sum("p").alias("mass")).withColumns({"length": F.lit(t.BLOCK), "key_len": F.lit(t.KEYS)})
     return rounded(att.event_summary(events, ["sample_id", "layer", "block_index"]))
@@ -397,18 +379,18 @@ def _resampled(table: str, by: str, key: str, value: str, iterations: int, seed:
   rs AS (SELECT {by}, i, sum(({times}) * v) / nullif(sum({times}), 0) AS m FROM dr GROUP BY ALL), ls AS (SELECT {by}, list(m ORDER BY m) FILTER (m IS NOT NULL) AS m FROM rs GROUP BY ALL)"""
 
 
-@query(SWEEP + _resampled("sw", "policy, budget", "sample_id || ':' || policy || ':' || budget", "covered", 500, 3) + " SELECT policy, budget, round(m[floor(0.025 * len(m))::INT + 1], 6) AS low, round(m[least(len(m) - 1, floor(0.975 * len(m))::INT) + 1], 6) AS high FROM ls WHERE budget < 4")
+@query(SWEEP + _resampled("sw", "policy, budget", "sample_id || ':' || policy || ':' || budget", "covered", 2000, 3) + " SELECT policy, budget, round(m[floor(0.025 * len(m))::INT + 1], 6) AS low, round(m[least(len(m) - 1, floor(0.975 * len(m))::INT) + 1], 6) AS high FROM ls")
 def bootstrap_ci(spark, sf_dir):
-    return rounded(retrieval.bootstrap(retrieval.sweep(t.candidates(spark, sf_dir), [1, 2]), ["policy", "budget"], ["sample_id", "policy", "budget"], "covered", 500, 3))
+    return rounded(retrieval.bootstrap(retrieval.sweep(t.candidates(spark, sf_dir), [1, 2, 4]), ["policy", "budget"], ["sample_id", "policy", "budget"], "covered", 2000, 3))
 
 
 @query(SWEEP + """, pd AS (SELECT a.sample_id, a.budget, b.policy AS baseline, round(a.covered - b.covered, 9) AS d FROM sw a JOIN sw b ON a.sample_id = b.sample_id AND a.budget = b.budget AND a.policy = 'learned' AND b.policy <> 'learned')"""
-       + _resampled("pd", "budget, baseline", "sample_id || ':' || budget || ':' || baseline", "d", 200, 1) + " SELECT budget, baseline, round(m[floor(0.025 * len(m))::INT + 1], 6) AS low, round(m[least(len(m) - 1, floor(0.975 * len(m))::INT) + 1], 6) AS high FROM ls")
+       + _resampled("pd", "budget, baseline", "sample_id || ':' || budget || ':' || baseline", "d", 2000, 1) + " SELECT budget, baseline, round(m[floor(0.025 * len(m))::INT + 1], 6) AS low, round(m[least(len(m) - 1, floor(0.975 * len(m))::INT) + 1], 6) AS high FROM ls")
 def paired_intervals(spark, sf_dir):
     """Of the mean differences of paired_comparison."""
     s = retrieval.sweep(t.candidates(spark, sf_dir), [1, 2, 4]).withColumn("covered", F.round("covered", 9))
     d = retrieval.differences(s).withColumn("d", F.round("d", 9))
-    return rounded(retrieval.bootstrap(d, ["budget", "baseline"], ["sample_id", "budget", "baseline"], "d", 200, 1))
+    return rounded(retrieval.bootstrap(d, ["budget", "baseline"], ["sample_id", "budget", "baseline"], "d", 2000, 1))
 
 
 CONFIGS = "c AS (SELECT event_type || ':' || (user_id % 20) AS config, round(avg(value), 6) AS quality, count(*) AS bytes, round(stddev_samp(value), 6) AS latency FROM events GROUP BY ALL)"
@@ -447,16 +429,9 @@ def asof_visible_historical(spark, sf_dir):
     return temporal.visible(r, "historical", F.col("at")).select("record_id", "slot")
 
 
-@query(REC + """ SELECT record_id, round(exp(-0.001 * (1000 - write_time)) * power(1e-6 + 1, 0.5) * (CASE WHEN superseded_by IS NULL THEN 1 ELSE 0 END), 6) AS weight FROM w WHERE write_time <= 1000""")
-def record_weights(spark, sf_dir):
-    r = t.records(spark, sf_dir).where("write_time <= 1000")
-    w = vector.record_weight(F.lit(1000.0), F.col("write_time"), F.col("write_time"), F.lit(1.0), F.when(F.col("superseded_by").isNull(), 0.0).otherwise(1.0), F.lit(True), age_decay=0.001, gain_power=0.5)
-    return rounded(r.select("record_id", w.alias("weight")))
-
-
 @query(REC + """, n AS (SELECT max(write_time) AS now FROM w) SELECT record_id, round(exp(-0.001 * (now - write_time)) * power(1e-6 + 1, 0.5) * (CASE WHEN superseded_by IS NULL THEN 1 ELSE 0 END), 6) AS weight FROM w, n""")
-def record_weights_all(spark, sf_dir):
-    """Every record at the last write's time; ``record_weights`` is at time 1000."""
+def record_weights(spark, sf_dir):
+    """Every record at the last write's time."""
     r = t.records(spark, sf_dir)
     r = r.crossJoin(F.broadcast(r.agg(F.max("write_time").alias("now"))))
     w = vector.record_weight(F.col("now"), F.col("write_time"), F.col("write_time"), F.lit(1.0), F.when(F.col("superseded_by").isNull(), 0.0).otherwise(1.0), F.lit(True), age_decay=0.001, gain_power=0.5)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from mnemolith.functions.vector import dot, softmax
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_order(key: Column, *order: str) -> WindowSpec:
+    return Window.partitionBy(key).orderBy(*order)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("label"))
 
@@ -65,10 +69,8 @@ def memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in order: (key, pos, x)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.row_number().over(w) - 1).alias("pos"), F.col("value").alias("x"))
 
 
-__all__ = ["attention", "candidates", "memory_events", "records", "sequences", "steps", "table", "vectors"]
+__all__ = ["attention", "by_order", "candidates", "memory_events", "records", "sequences", "steps", "table", "vectors"]
