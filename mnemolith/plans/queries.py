@@ -638,13 +638,5 @@ def common_prefix(spark, sf_dir):
     return c.select("conv_id", "turn", text.common_prefix(F.col("a"), F.col("b")).alias("prefix"))
 
 
-@query()
-def distractor_candidates(spark, sf_dir):
-    """Five messages for each benchmark item that don't hold its first word."""
-    items = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target_id"), F.lower(F.split("text", " ")[0]).alias("answer"))
-    texts = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return prepare.distractors(items, texts, 5)
-
-
 def entry(spark: SparkSession) -> DataFrame:
     return knn_query_report(spark, "/root/testdata/sf0.001")
