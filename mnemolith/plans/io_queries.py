@@ -14,7 +14,7 @@ from mnemolith.operators import planning
 from mnemolith.plans import tables as t
 from mnemolith.plans.queries import query, rounded
 from mnemolith.session import cut, shared_dir
-from mnemolith.sources import arrow, files
+from mnemolith.sources import arrow, blocks, files
 from mnemolith.sources import tables as store
 
 
@@ -163,21 +163,36 @@ BLOCKS = "WITH s AS (SELECT doc_id, doc_id::VARCHAR AS sequence_id, len(regexp_e
 def block_upsert(spark, sf_dir):
     """Every block is written, then those of every third sequence again; the last one counts."""
     b, path = _blocks(spark, sf_dir), _folder(spark, "blocks")
-    store.upsert(b.withColumn("payload", F.lit("first")), path)
-    store.upsert(b.where("sequence_id % 3 = 0").withColumn("payload", F.lit("second")), path)
-    return store.latest(spark, path, "block_id").select("block_id", store.file_id(F.col("block_id")).alias("file_id"), "end_position", "payload")
-
-
-@query(BLOCKS + """, f AS (SELECT block_id, i * 256 - CASE WHEN i % 3 = 2 THEN 1 ELSE 0 END AS s, i * 256 + 256 AS e, CASE WHEN i = 1 THEN 'b' ELSE 'a' END AS p FROM k WHERE doc_id = (SELECT min(doc_id) FROM k)),
-  o AS (SELECT *, lag(e) OVER (ORDER BY s, e) AS before, min(p) OVER () <> max(p) OVER () AS mixed FROM f)
-  SELECT block_id, 'overlap' AS fault FROM o WHERE before > s UNION ALL SELECT block_id, 'fingerprint' FROM o WHERE mixed""")
+    s = blocks.BlockStore(spark, path, "block_id")
+    s.upsert(b.withColumn("payload", F.lit("first")))
+    s.upsert(b.where("sequence_id % 3 = 0").withColumn("payload", F.lit("second")))
+    return s.latest().select("block_id", store.file_id(F.col("block_id")).alias("file_id"), "end_position", "payload")
+
+
+@query(BLOCKS + " SELECT block_id, i * 256 + 256 AS end_position, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS payload, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS versions FROM k WHERE i = 0")
+def block_lookup(spark, sf_dir):
+    """The first block of every sequence, before and after the store is compacted: both must agree."""
+    b, path = cut(_blocks(spark, sf_dir)), _folder(spark, "lookup")
+    s = blocks.BlockStore(spark, path, "block_id")
+    s.upsert(b.withColumn("payload", F.lit("first")))
+    s.upsert(b.where("sequence_id % 3 = 0").withColumn("payload", F.lit("second")))
+    keys = b.where("start_position = 0").select("block_id")
+    before = cut(s.lookup(keys).select("block_id", "sequence_id", "end_position", "payload"))
+    s.compact()
+    s.vacuum()
+    after = s.lookup(keys).select("block_id", "end_position", "payload")
+    return before.join(after, ["block_id", "end_position", "payload"]).select("block_id", "end_position", "payload", F.when(F.col("sequence_id").cast("long") % 3 == 0, 2).otherwise(1).alias("versions"))
+
+
+@query(BLOCKS + """, f AS (SELECT sequence_id, block_id, i * 256 - CASE WHEN i % 3 = 2 THEN 1 ELSE 0 END AS s, i * 256 + 256 AS e, CASE WHEN i = 1 AND doc_id % 2 = 0 THEN 'b' ELSE 'a' END AS p, CASE WHEN i = 2 AND doc_id % 5 = 0 THEN 3 ELSE 4 END AS layers FROM k),
+  o AS (SELECT *, lag(e) OVER (PARTITION BY sequence_id ORDER BY s, e) AS before, min(p) OVER w <> max(p) OVER w AS mixed, min(layers) OVER w <> max(layers) OVER w AS uneven FROM f WINDOW w AS (PARTITION BY sequence_id))
+  SELECT sequence_id AS read_id, block_id, 'overlap' AS fault FROM o WHERE before > s UNION ALL SELECT sequence_id, block_id, 'fingerprint' FROM o WHERE mixed UNION ALL SELECT sequence_id, block_id, 'layers' FROM o WHERE uneven""")
 def block_faults(spark, sf_dir):
-    """Blocks of one sequence, some of which begin too early and one of another fingerprint."""
-    b = cut(_blocks(spark, sf_dir))
-    first = b.agg(F.min(F.col("sequence_id").cast("long")).cast("string").alias("sequence_id"))
+    """A read of every sequence's blocks, some of which begin too early, are of another fingerprint, or have other layers."""
     i = F.floor(F.col("start_position") / 256)
-    one = b.join(F.broadcast(first), "sequence_id", "left_semi").select("block_id", "sequence_id", (F.col("start_position") - F.when(i % 3 == 2, 1).otherwise(0)).alias("start_position"), "end_position", F.when(i == 1, "b").otherwise("a").alias("fingerprint"), F.lit(4).alias("layers"))
-    return store.block_faults(one)
+    doc = F.col("sequence_id").cast("long")
+    b = _blocks(spark, sf_dir).select(F.col("sequence_id").alias("read_id"), "block_id", "sequence_id", (F.col("start_position") - F.when(i % 3 == 2, 1).otherwise(0)).alias("start_position"), "end_position", F.when((i == 1) & (doc % 2 == 0), "b").otherwise("a").alias("fingerprint"), F.when((i == 2) & (doc % 5 == 0), 3).otherwise(4).alias("layers"))
+    return store.block_faults(b)
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'first run' ELSE 'second run' END AS run FROM conversations")

@@ -60,32 +60,15 @@ def load(spark: SparkSession, path: str, dims: dict[str, int] | None = None) ->
     return df
 
 
-def upsert(df: DataFrame, path: str) -> int:
-    """Appends rows as the next version of the table; readers see the last version of each key. Returns the version."""
-    spark = df.sparkSession
-    last = spark.read.parquet(path).agg(F.max("__version")).first()[0] if exists(spark, path) else None
-    version = 0 if last is None else last + 1
-    df.withColumn("__version", F.lit(version)).write.mode("append").parquet(path)
-    return version
-
-
-def latest(spark: SparkSession, path: str, key: str, keys: list | None = None) -> DataFrame:
-    """The last version of each row; those of ``keys`` only, which reaches the scan."""
-    rows = spark.read.parquet(path)
-    rows = rows.where(F.col(key).isin(keys)) if keys is not None else rows
-    w = Window.partitionBy(key).orderBy(F.desc("__version"))
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__version")
-
-
 def file_id(key: Column) -> Column:
     """A name safe for files: the first 20 hex digits of the key's SHA-256."""
     return F.substring(F.sha2(key, 256), 1, 20)
 
 
 def block_faults(blocks: DataFrame) -> DataFrame:
-    """(block_id, fault) of blocks to be used together (sequence_id, start_position, end_position, fingerprint, layers): one sequence, one fingerprint, one number of layers, no overlap."""
-    order = Window.partitionBy("sequence_id").orderBy("start_position", "end_position")
-    every = Window.partitionBy(F.lit(0))  # those of one read, a bounded few
+    """(read_id, block_id, fault) of blocks that a read uses together (read_id, sequence_id, start_position, end_position, fingerprint, layers): one sequence, one fingerprint, one number of layers, no overlap."""
+    order = Window.partitionBy("read_id", "sequence_id").orderBy("start_position", "end_position")
+    every = Window.partitionBy("read_id")
     rules = {
         "sequences": F.min("sequence_id").over(every) != F.max("sequence_id").over(every),
         "fingerprint": F.min("fingerprint").over(every) != F.max("fingerprint").over(every),
@@ -94,7 +77,7 @@ def block_faults(blocks: DataFrame) -> DataFrame:
     }
     tested = blocks.withColumns(rules)
     faults = F.array(*[F.when(F.col(n), F.lit(n)) for n in rules])
-    return tested.select("block_id", F.explode(F.array_compact(faults)).alias("fault"))
+    return tested.select("read_id", "block_id", F.explode(F.array_compact(faults)).alias("fault"))
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
