@@ -34,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,20 +42,80 @@ from mnemolith.llm.exact_dedup import bloom_filter, filter_test, in_filter
 from mnemolith.session import bounded_batches, cut
 
 ANCHOR = 6
-#: Words remembered in a task at most, and the bytes of one that is remembered.
-KNOWN, SHORT = 300_000, 64
+#: Bytes whose words are hashed at once.
+CHUNK = 1 << 20
 LAST_ID = (1 << 63) - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= SHORT:
-            if len(self) > KNOWN:
-                self.clear()
-            self[word] = h
-        return h
+def _factors(n: int) -> np.ndarray:
+    """Odd numbers that look random, one for each place in a word."""
+    x = (np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+#: Beyond so many bytes a word's factors repeat, times the next odd number.
+PLACES = 1 << 12
+FACTORS = _factors(PLACES)
+BLANKS = np.zeros(256, np.bool_)
+BLANKS[[0x20, *range(9, 14)]] = True
+BLANK_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts without nulls, end to end, and where each begins (and the last ends)."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    _, places, data = texts.buffers()
+    ends = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8))[ends[0] : ends[-1]], ends - ends[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of all texts, how many each text has).
+
+    A word's hash is the mixed sum of its bytes times the factors of their places. Bytes are worked on ``CHUNK`` at a time,
+    so that a long text takes little beside its hashes.
+    """
+    raw, ends = _text_bytes(texts)
+    out, counts, a = [], np.zeros(len(texts), np.int64), 0
+    view = memoryview(raw)
+    while a < len(raw):
+        b = min(a + CHUNK, len(raw))
+        if b < len(raw):  # to where no word goes on
+            blank = BLANK_BYTE.search(view, b)
+            b = min(blank.start() if blank else len(raw), int(ends[np.searchsorted(ends, b)]))
+        part = raw[a:b]
+        within = ~BLANKS[part]
+        begins = within.copy()
+        begins[1:] &= ~within[:-1]
+        cuts = ends[np.searchsorted(ends, a) : np.searchsorted(ends, b)] - a
+        begins[cuts] = within[cuts]
+        at, starts = np.flatnonzero(within), np.flatnonzero(begins)
+        if len(starts):
+            place = at - np.repeat(starts, np.diff(np.append(np.searchsorted(at, starts), len(at))))
+            factor = FACTORS[place & (PLACES - 1)]
+            if place.max() >= PLACES:
+                factor = factor * ((place // PLACES).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            out.append(_mixed(np.add.reduceat((part[at].astype(np.uint64) + np.uint64(1)) * factor, np.searchsorted(at, starts))))
+            counts += np.diff(np.searchsorted(starts + a, ends))
+        a = b
+    return np.concatenate(out) if out else np.empty(0, np.uint64), counts
+
+
+def _sums(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += w[at + j]
+    return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 def _grams(w: np.ndarray, n: int) -> np.ndarray:
@@ -65,9 +124,7 @@ def _grams(w: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += w[j : len(w) - n + 1 + j]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    return _mixed(h)
 
 
 def _anchors(w: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -79,15 +136,37 @@ def _anchors(w: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return least
 
 
-def _hashed(known: _WordHashes, text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def _lists(name: str, keys: list[tuple[int, int]], values: list[tuple[np.ndarray, ...]], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(v[0]) for v in values])]).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([v[i] for v in values]), k)) for i, k in enumerate(kinds)]
-    return pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *lists], names=["doc", "tag", *names])
+class _Windows:
+    """The windows of a batch of texts, worked out for all of them at once; one that would lie across two texts isn't one."""
+
+    def __init__(self, texts: pa.Array, window: int, anchor: int):
+        self.texts, self.window = len(texts), window
+        self.hashes, lengths = word_hashes(texts)
+        starts = len(self.hashes) - window + 1
+        if starts < 1:
+            self.at = self.text = self.run = np.empty(0, np.int64)
+            self.anchors = np.empty(0, np.uint64)
+            return
+        self.first = np.concatenate([[0], np.cumsum(lengths)])
+        text = np.repeat(np.arange(len(texts)), lengths)[:starts]
+        self.at = np.flatnonzero(np.arange(starts) + window <= self.first[text + 1])  # starts of windows
+        self.text = text[self.at]
+        least = _anchors(self.hashes, window, anchor)[self.at]
+        # neighbouring windows mostly share their anchor
+        new = np.ones(len(least), np.bool_)
+        new[1:] = (least[1:] != least[:-1]) | (self.text[1:] != self.text[:-1])
+        self.run = np.cumsum(new) - 1
+        self.anchors, self.owner = least[new], self.text[new]
+
+    def offsets(self, text: np.ndarray) -> pa.Array:
+        """Where each text's values begin, of values whose text is given in order."""
+        return pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.texts))]).astype(np.int32))
+
+    def grams(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start at so many places."""
+        if 3 * len(at) > len(self.hashes):
+            return _grams(self.hashes, self.window)[at]
+        return _mixed(_sums(self.hashes, at, self.window))
 
 
 def covering_starts(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,16 +180,10 @@ def _covering_starts(docs: DataFrame, shared_ids: bool, window: int, anchor: int
     rows = keyed(docs, shared_ids, id_col, text_col).select("doc", "tag", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for b in batches:
-            keys, values = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                w = _hashed(known, t)
-                if len(w) >= window:
-                    keys.append((d, 0))
-                    values.append((np.unique(_anchors(w, window, anchor)).view(np.int64),))
-            if keys:
-                yield _lists("anchors", keys, values, ["anchors"], [pa.int64()])
+            x = _Windows(b.column(2), window, anchor)
+            if len(x.at):
+                yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(x.offsets(x.owner), pa.array(x.anchors.view(np.int64)))], names=["doc", "tag", "anchors"])
 
     met = rows.mapInArrow(anchors, "doc long, tag long, anchors array<long>").select("doc", F.explode("anchors").alias("anchor"))
     repeated = cut(met.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("anchor"))
@@ -118,19 +191,14 @@ def _covering_starts(docs: DataFrame, shared_ids: bool, window: int, anchor: int
     shared = spark.sparkContext.broadcast(packed)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for b in batches:
-            keys, values = [], []
-            for d, g, t in zip(*(c.to_pylist() for c in b.columns)):
-                w = _hashed(known, t)
-                if len(w) < window:
-                    continue
-                at = np.flatnonzero(in_filter(shared.value, bits, k, _anchors(w, window, anchor)))
-                if len(at):
-                    keys.append((d, g))
-                    values.append((_grams(w, window)[at].view(np.int64), at.astype(np.int32)))
-            if keys:
-                yield _lists("windows", keys, values, ["hashes", "starts"], [pa.int64(), pa.int32()])
+            x = _Windows(b.column(2), window, anchor)
+            some = np.flatnonzero(in_filter(shared.value, bits, k, x.anchors)[x.run]) if len(x.at) else x.at
+            if len(some):
+                at, text = x.at[some], x.text[some]
+                offsets = x.offsets(text)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (x.grams(at).view(np.int64), (at - x.first[text]).astype(np.int32))]
+                yield pa.record_batch([b.column(0), b.column(1), *lists], names=["doc", "tag", "hashes", "starts"])
 
     found = rows.mapInArrow(windows, "doc long, tag long, hashes array<long>, starts array<int>")
     # the tag moves only where ids are shared

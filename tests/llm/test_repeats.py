@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
+from mnemolith.llm import repeats
 from mnemolith.llm.repeats import repeat_report, without_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,3 +61,23 @@ def test_texts(spark, odd):
         assert clean.columns == df.columns and clean.count() == df.count()
         got = sorted(((r.doc_id, hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest()) for r in clean.collect()), key=str)
         assert got == sorted(((i, s) for i, _, _, s in brute([(r.doc_id, r.text) for r in df.collect()], 13)), key=str)
+
+
+def test_word_hashes_tell_words_apart_wherever_they_stand(monkeypatch):
+    """Small chunks, slices of an array, texts without blanks between them, giant words: a word has one hash, and no two share one."""
+    rng = random.Random(3)
+    words = ["a", "b", "ab", "ba", "aa", "é", "\x1c", "\x00", "\x00\x00", "x" * 5000, "x" * 4999 + "y", "y" + "x" * 4999, "ﬁ🙂", *(f"w{k}" for k in range(200))]
+    texts = ["", " ", "a", "ab", "\t\n", *(rng.choice(["", " "]) + "".join(w + rng.choice([" ", "\n", "  ", "\x0b"]) for w in rng.choices(words, k=rng.randrange(30))).rstrip(" ") for _ in range(200)), " "]
+    plain = [WORD.findall(t) for t in texts]
+    for chunk in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        for kind in (pa.string(), pa.large_string()):
+            a = pa.array(["skipped text", *texts], kind)[1:]
+            hashes, counts = repeats.word_hashes(a)
+            assert counts.tolist() == [len(p) for p in plain]
+            seen = {}
+            for w, h in zip((w for p in plain for w in p), hashes.tolist(), strict=True):
+                assert seen.setdefault(w, h) == h
+            assert len(set(seen.values())) == len(seen)
+    none, counts = repeats.word_hashes(pa.array([], pa.string()))
+    assert len(none) == len(counts) == 0
