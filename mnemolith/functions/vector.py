@@ -28,13 +28,6 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
-def strict_unit(a: Column) -> Column:
-    """The vector over its norm; a zero, empty or non-finite vector is an error."""
-    n = norm(a)
-    good = (F.size(a) > 0) & (n > 0) & (n < float("inf"))
-    return F.when(good, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.raise_error(F.lit("vector must be finite and non-zero")).cast("array<double>"))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Clamped to [-1, 1]; 0 if either vector is zero."""
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (F.greatest(norm(a), F.lit(TINY)) * F.greatest(norm(b), F.lit(TINY)))))

@@ -29,12 +29,6 @@ def window_counts(total: DataFrame, streams: int, size: int) -> DataFrame:
     return windows_.select("stream", F.col("w").cast("int").alias("window_index"), F.least(F.lit(size).cast("long"), F.col("length") - F.col("w") * size).alias("tokens"))
 
 
-def batchify(tokens: DataFrame, total: int, streams: int) -> DataFrame:
-    """(stream, pos) for tokens at ``position`` of one corpus: equal contiguous streams, the remainder dropped."""
-    length = total // streams
-    return tokens.where(F.col("position") < length * streams).withColumns({"stream": F.floor(F.col("position") / length).cast("int"), "pos": (F.col("position") % length).cast("long")})
-
-
 def windows(tokens: DataFrame, size: int) -> DataFrame:
     """Each token with its target (the next of its stream), window and place in it; the last window may be shorter."""
     w = Window.partitionBy("stream").orderBy("pos")

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from functools import reduce
-from hashlib import sha256
-from itertools import batched
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemolith.functions.hashing import row_split, seeded_order
 from mnemolith.functions.text import capitalised, heading, short_sha1, turn_order
-from mnemolith.session import cut
 
 # The synthetic facts' entities and colours, and the notes put before them.
 ENTITIES = ("Alice", "Ben", "Carla", "Dev", "Eve", "Finn", "Gina", "Hana", "Ivan", "Jules", "Kira", "Liam")
@@ -26,6 +19,7 @@ NOTES = (
     "Archive: Nina's color is blue. Omar's color is green. Ignore archive entries unless named.",
 )
 
+# The canonical question, and the templates of prompts.
 CANONICAL = "Task: recall_fact\nEntity: {e}\nAttribute: color\nPolicy: current\nQuestion: Return the value only."
 
 #: condition, task, prompt id, fact's value, answer, prompt without and with its canonical form; {e} entity, {v} value, {o} another value, {q} the question.
@@ -154,51 +148,6 @@ def keep_first(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def distractors(targets: DataFrame, texts: DataFrame, per_target: int, seed: int = 0, at_once: int = 1024) -> DataFrame:
-    """(target_id, text_id, rank): texts that don't hold a target's answer, the first ``per_target`` in seeded order.
-
-    Every text is a candidate of every target. Targets are broadcast in blocks of
-    ``at_once``; each task keeps its first eligible texts of each target, and one
-    aggregation merges them. Texts are searched in seeded order only until enough
-    are found.
-    """
-    spark = targets.sparkSession
-    id_type, text_type = targets.schema["target_id"].dataType.simpleString(), texts.schema["text_id"].dataType.simpleString()
-    asked = targets.select("target_id", F.col("target_id").cast("string").alias("name"), F.lower("answer").alias("answer")).where("target_id IS NOT NULL AND answer IS NOT NULL")
-    given = texts.select("text_id", F.col("text_id").cast("string").alias("name"), F.lower("text").alias("text")).where("text_id IS NOT NULL AND text IS NOT NULL")
-    schema = f"target_id {id_type}, text_id {text_type}, o binary"
-
-    def firsts(block):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[list[tuple[bytes, object]]] = [[] for _ in block.value]
-            ids, kind = None, None
-            for b in batches:
-                ids, names, held, kind = b.column(0).to_pylist(), [x.encode() for x in b.column(1).to_pylist()], b.column(2).to_pylist(), b.column(0).type
-                for own, (target, name, answer) in zip(best, block.value):
-                    start, last = f"{seed}:{name}:".encode(), own[-1][0] if len(own) == per_target else None
-                    order = ((sha256(start + n).digest(), i) for i, n in enumerate(names))
-                    near = [x for x in order if last is None or x[0] < last]
-                    heapq.heapify(near)
-                    found = []
-                    while near and len(found) < per_target:
-                        o, i = heapq.heappop(near)
-                        if ids[i] != target and answer not in held[i]:
-                            found.append((o, ids[i]))
-                    own[:] = sorted(own + found)[:per_target]
-            if ids is not None:
-                rows = [(t[0], i, o) for own, t in zip(best, block.value) for o, i in own]
-                yield pa.record_batch([pa.array([r[0] for r in rows], types[id_type]), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.binary())], names=["target_id", "text_id", "o"])
-
-        return given.mapInArrow(each, schema)
-
-    types = {id_type: to_arrow_type(targets.schema["target_id"].dataType)}
-    found = spark.createDataFrame([], schema)
-    for some in batched(asked.toLocalIterator(), at_once):
-        found = found.unionByName(cut(firsts(spark.sparkContext.broadcast([(r.target_id, r.name, r.answer) for r in some]))))
-    ranked = found.select("target_id", "text_id", F.row_number().over(Window.partitionBy("target_id").orderBy("o", "text_id")).alias("rank"))
-    return ranked.where(F.col("rank") <= per_target)
-
-
 def fill_exactly(pieces: DataFrame, budget: Column) -> DataFrame:
     """Of ordered pieces (key, rank, token_ids), repeated in turn as often as needed, exactly ``budget`` tokens: (key, round, rank, take)."""
     by = Window.partitionBy("key")

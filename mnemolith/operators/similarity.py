@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions.vector import centred, unit
-from mnemolith.session import bounded_batches
+from mnemolith.session import bounded_batches, cut
 
 #: Rows of a block.
 BLOCK = 2048
@@ -61,7 +61,18 @@ def _blocks(rows: DataFrame, name: str, size: int = BLOCK) -> DataFrame:
         return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in parts], names=[f"{name}_{c}" for c in ("ids", "labels", "matrix")])
 
     bounded_batches(rows.sparkSession)
-    return rows.select("id", "vector", F.col("label").cast("long").alias("label")).mapInArrow(pack, ", ".join(f"{name}_{c} binary" for c in ("ids", "labels", "matrix")))
+    # a row without an id, a label or a vector takes no part
+    sound = rows.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label")).where("id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
+    return sound.mapInArrow(pack, ", ".join(f"{name}_{c} binary" for c in ("ids", "labels", "matrix")))
+
+
+def _met(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each block of queries beside each block of rows. Blocks are packed and written once; rows' blocks go to the queries' by their numbers."""
+    q = cut(_blocks(queries, "q").withColumn("block", F.monotonically_increasing_id()))
+    numbers = q.agg(F.sort_array(F.collect_list("block")).alias("to"))  # one number for each BLOCK queries
+    to = numbers.first().to
+    r = cut(_blocks(rows, "r"))
+    return r.withColumn("block", F.explode(F.array(*[F.lit(n).cast("long") for n in to]) if to else F.array().cast("array<bigint>"))).join(q, "block").drop("block")
 
 
 def _distances(row: dict, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +107,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
                 some = np.isfinite(got[4])
                 yield pa.record_batch([pa.array(c[some]) for c in got], names=["query_id", "query_label", "id", "label", "score"])
 
-    pairs = _blocks(queries, "q").crossJoin(_blocks(rows, "r"))
+    pairs = _met(queries, rows)
     found = pairs.mapInArrow(best, "query_id long, query_label long, id long, label long, score double")
     tie = F.desc("id") if higher_first else F.asc("id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie))).where(F.col("rank") <= k)
@@ -114,7 +125,7 @@ def distance_means(rows: DataFrame, queries: DataFrame, metric: str = "cosine")
                 parts = [(there & w).sum() for w in (same, ~same)] + [s[there & w].sum() for w in (same, ~same)]
                 yield pa.record_batch([pa.array([float(x)]) for x in parts], names=["ns", "no", "ss", "so"])
 
-    every = _blocks(queries, "q").crossJoin(_blocks(rows, "r")).mapInArrow(sums, "ns double, no double, ss double, so double")
+    every = _met(queries, rows).mapInArrow(sums, "ns double, no double, ss double, so double")
     total = every.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("ns", "no", "ss", "so")])
     sign = 1 if metric == "cosine" else -1
     mean = lambda s, n: F.when(F.col(n) > 0, sign * F.col(s) / F.col(n)).otherwise(F.lit(0.0))

@@ -31,12 +31,6 @@ def visible(records: DataFrame, policy: str, as_of: Column | float | None = None
     return records.where((F.col("write_time") <= at) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > at)))
 
 
-def with_superseders(records: DataFrame) -> DataFrame:
-    """superseded_at from the superseding record's own write time; an unknown superseder hides nothing before it is known."""
-    later = records.select("stream", F.col("record_id").alias("superseded_by"), F.col("write_time").alias("superseded_at"))
-    return records.drop("superseded_at").join(later, ["stream", "superseded_by"], "left")
-
-
 def slot_statistics(records: DataFrame, dims: int, weight: Column | None = None, prior: float = 1.0, largest: float = 100.0) -> DataFrame:
     """(stream, slot): mass, resultant length, concentration, scatter, time range.
 

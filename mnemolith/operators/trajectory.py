@@ -20,14 +20,14 @@ def momentum(steps: DataFrame, key: str = "key") -> DataFrame:
 
 def resample(steps: DataFrame, points: int, key: str = "key") -> DataFrame:
     """Linear interpolation at ``points`` places, the ends half a step inside."""
-    runs = steps.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("xs"))
-    t = F.size("xs")
-    at = runs.select(key, "xs", t.alias("t"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    places = steps.groupBy(key).agg(F.count("*").alias("t")).select(key, "t", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     src = F.least(F.greatest((F.col("i") + 0.5) * F.col("t") / points - 0.5, F.lit(0.0)), (F.col("t") - 1).cast("double"))
-    low = F.floor(src).cast("int")
-    high = F.least(low + 1, F.col("t") - 1)
+    low = F.floor(src)
     share = src - low
-    return at.select(key, F.col("i").alias("pos"), (F.get("xs", low) * (1 - share) + F.get("xs", high) * share).alias("x"))
+    # the two steps that a place lies between, each with its share; a trajectory is never gathered
+    wanted = places.select(key, "i", F.explode(F.array(F.struct(low.alias("pos"), (1 - share).alias("part")), F.struct(F.least(low + 1, F.col("t") - 1).alias("pos"), share.alias("part")))).alias("w")).select(key, "i", "w.pos", "w.part")
+    numbered = steps.select(key, "x", (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).cast("long").alias("pos"))
+    return wanted.join(numbered, [key, "pos"]).groupBy(key, F.col("i").alias("pos")).agg(F.sum(F.col("part") * F.col("x")).alias("x")).select(key, "pos", "x")
 
 
 def dtw(pairs: DataFrame, band: int) -> DataFrame:

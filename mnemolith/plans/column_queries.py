@@ -92,7 +92,7 @@ def prompt_instructions(spark, sf_dir):
 
 @query()
 def sequence_ratios(spark, sf_dir):
-    """Of each message's first 200 characters and the next message's: the length is a parameter of the measure."""
+    """Of each message and the next one of its conversation, whole."""
     c = t.table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("next IS NOT NULL")
     return c.select("conv_id", "turn", text.sequence_ratio(F.col("text"), F.col("next")).alias("ratio"))
 

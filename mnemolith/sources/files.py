@@ -12,10 +12,10 @@ from mnemolith.session import cut
 
 # The corpora known by name, with their split, text column, subset and window sizes.
 PRESETS = {
-    "wikitext103": {"name": "Salesforce/wikitext", "config": "wikitext-103-v1", "split": "test", "text_field": "text", "subset": None, "window_sizes": (256, 512, 1024)},
-    "wikitext103_raw": {"name": "Salesforce/wikitext", "config": "wikitext-103-raw-v1", "split": "test", "text_field": "text", "subset": None, "window_sizes": (256, 512, 1024)},
-    "pg19": {"name": "deepmind/pg19", "config": None, "split": "test", "text_field": "text", "subset": None, "window_sizes": (512, 1024, 2048)},
-    "pile_arxiv": {"name": "monology/pile-uncopyrighted", "config": None, "split": "test", "text_field": "text", "subset": "ArXiv", "window_sizes": (512, 1024, 2048)},
+    "wikitext103": {"text_field": "text", "subset": None},
+    "wikitext103_raw": {"text_field": "text", "subset": None},
+    "pg19": {"text_field": "text", "subset": None},
+    "pile_arxiv": {"text_field": "text", "subset": "ArXiv"},
 }
 
 #: An evidence file's items, as far as they are used.
@@ -92,13 +92,6 @@ def corpus_texts(rows: DataFrame, preset: str, text_field: str | None = None, me
     return (some.orderBy(order).limit(max_documents) if max_documents is not None else some).select(*[c for c in (order,) if c], "text")
 
 
-def evidence_root(root: str | None, default: str, variable: str = "CONVOMEM_ROOT", has_folder=os.path.isdir) -> str:
-    """The folder given, else that of the environment, else the default; the folder evidence_questions in it, if there is one."""
-    base = root or os.environ.get(variable) or default
-    inner = f"{base}/evidence_questions"
-    return inner if has_folder(inner) else base
-
-
 def _joined(messages: Column, collapse: bool) -> Column:
     return F.array_join(F.transform(messages, lambda m: message_text(m["speaker"], m["role"], m["text"], m["content"], collapse)), "\n")
 

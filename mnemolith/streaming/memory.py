@@ -5,14 +5,15 @@ time, top_k). A key (stream, layer, group) has one memory; its events are
 applied in the order of (time, seq), reads after the writes before them. The
 batch runner deals keys over tasks; the streaming runner keeps the same state
 between micro-batches. Memories are bounded: ``slots`` at most, of which the one
-that was idle longest is replaced, and the last ``records`` of each slot.
+that was idle longest is replaced, and the last ``records`` of each slot; what a
+record superseded, and whose conflict group's last it was, is forgotten with it.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -61,7 +62,7 @@ class State:
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the sums
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     touched: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    members: list = field(default_factory=list)  # of each slot, (source, unit vector)
+    members: list = field(default_factory=list)  # of each slot, (source, unit vector, conflict group)
     current: dict = field(default_factory=dict)  # conflict group -> last source
     stale: set = field(default_factory=set)
     seen: deque = field(default_factory=deque)  # nearest similarities
@@ -89,6 +90,14 @@ def _unit(v) -> np.ndarray:
     return v / n
 
 
+def forget(s: State, slot: int) -> None:
+    """A slot's oldest record goes, with what is known of it."""
+    source, _, group = s.members[slot].popleft()
+    s.stale.discard(source)
+    if group is not None and s.current.get(group) == source:
+        del s.current[group]
+
+
 def write(s: State, p: Policy, e) -> tuple[int, bool, float, float]:
     """Applies a write: (slot, created, similarity to the nearest, probability of a new slot)."""
     v = _unit(e.vector)
@@ -117,7 +126,8 @@ def write(s: State, p: Policy, e) -> tuple[int, bool, float, float]:
     if created:
         if s.n >= p.slots:
             slot = int(np.argmin(s.touched[: s.n]))
-            s.members[slot].clear()
+            while s.members[slot]:
+                forget(s, slot)
         else:
             slot = s.place(len(v))
         s.sums[slot], s.counts[slot] = v, 1
@@ -126,10 +136,9 @@ def write(s: State, p: Policy, e) -> tuple[int, bool, float, float]:
         s.counts[slot] += 1
     s.lengths[slot] = np.linalg.norm(s.sums[slot])
     s.touched[slot] = e.time
-    s.members[slot].append((e.source, v))
+    s.members[slot].append((e.source, v, e.conflict_group))
     if len(s.members[slot]) > p.records:
-        gone, _ = s.members[slot].popleft()
-        s.stale.discard(gone)
+        forget(s, slot)
     if p.temporal and e.conflict_group is not None:
         if (old := s.current.get(e.conflict_group)) is not None:
             s.stale.add(old)
@@ -145,7 +154,7 @@ def read(s: State, p: Policy, e) -> tuple[int, float, list[str]]:
     cos = s.sums[: s.n] @ v / np.maximum(s.lengths[: s.n], 1e-12)
     route = np.argsort(-cos, kind="stable")[: p.route_k]
     held = [m for slot in route for m in s.members[slot]]
-    found = [(float(x @ v), -k, src) for k, (src, x) in enumerate(held) if src not in s.stale]
+    found = [(float(x @ v), -k, src) for k, (src, x, _) in enumerate(held) if src not in s.stale]
     return int(route[0]), float(cos[route[0]]), [src for _, _, src in sorted(found, reverse=True)[: int(e.top_k)]]
 
 
@@ -171,13 +180,24 @@ def _frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
     return out.assign(stream=key[0], layer=key[1], grp=key[2])[["stream", "layer", "grp", "seq", "op", "slot", "created", "score", "p_new", "results"]]
 
 
-def run_batch(events: DataFrame, policy: Policy) -> DataFrame:
-    """One row for each event. A key's events meet in one task: they are a sequence, each step depending on those before."""
+def _in_order(events: DataFrame, policy_of: Callable[[str], Policy]) -> DataFrame:
+    """Every key's events in order, streamed through one task beside the memory: a sequence, each step depending on those before."""
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key, apply(State(), policy, rows))
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = s = None
+        for frame in frames:
+            for its, rows in frame.groupby(["stream", "layer", "grp"], sort=False):
+                if its != key:
+                    key, s = its, State()
+                yield _frame(its, apply(s, policy_of(its[0]), rows))
 
-    return events.groupBy("stream", "layer", "grp").applyInPandas(one, OUT)
+    ordered = events.repartition("stream", "layer", "grp").sortWithinPartitions("stream", "layer", "grp", "time", "seq")
+    return ordered.mapInPandas(each, OUT)
+
+
+def run_batch(events: DataFrame, policy: Policy) -> DataFrame:
+    """One row for each event."""
+    return _in_order(events, lambda _: policy)
 
 
 def run_stream(events: DataFrame, policy: Policy) -> DataFrame:
@@ -199,8 +219,5 @@ def sweep(events: DataFrame, policies: dict[str, Policy]) -> DataFrame:
     names = F.array(*[F.lit(n) for n in policies])
     grid = events.withColumn("config", F.explode(names)).withColumn("stream", F.concat_ws("|", "config", "stream"))
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key, apply(State(), policies[key[0].split("|", 1)[0]], rows))
-
-    done = grid.groupBy("stream", "layer", "grp").applyInPandas(one, OUT)
+    done = _in_order(grid, lambda stream: policies[stream.split("|", 1)[0]])
     return done.withColumns({"config": F.split("stream", r"\|", 2)[0], "stream": F.split("stream", r"\|", 2)[1]})

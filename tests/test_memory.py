@@ -102,3 +102,49 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.stream, r.seq): (r.op, r.slot, list(r.results)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == plain(rows, policy)
     assert got["s0", 120] == ("late", -1, [])
+
+
+def test_what_is_known_of_records_is_bounded():
+    """Many more sources and conflict groups than the memory has room for."""
+    from types import SimpleNamespace
+
+    rng, s, p = random.Random(5), memory.State(), memory.Policy(threshold=0.99, temporal=True, slots=4, records=3)
+    for i in range(3000):
+        memory.write(s, p, SimpleNamespace(vector=[rng.gauss(0, 1) for _ in range(4)], source=f"r{i}", conflict_group=f"c{rng.randrange(400)}" if i % 2 else f"own{i}", time=float(i)))
+        held = {m[0] for members in s.members for m in members}
+        assert len(held) <= 12 and s.stale <= held and set(s.current.values()) <= held
+
+
+def plain_vmf(rows, p):
+    """Every write's posterior from all unit vectors of each slot."""
+    from mnemolith.functions.vector import sphere_log_density, vmf_density
+
+    out = {}
+    for stream in sorted({r[0] for r in rows}):
+        slots = []
+        for _, _, _, seq, op, _, vector, *_ in sorted((r for r in rows if r[0] == stream and r[4] == "write"), key=lambda r: r[3]):
+            v, d = unit(vector), len(vector)
+            logs = [math.log(p.alpha) + sphere_log_density(d)]
+            for members in slots:
+                total = [sum(c) for c in zip(*members)]
+                r = min(1, math.sqrt(dot(total, total)) / (len(members) + p.prior_mass))
+                kappa = min(p.largest_kappa, r * (d - r * r) / max(1 - r * r, 1e-12))
+                logs.append(p.count_exponent * math.log(len(members)) + vmf_density(dot(unit(total), v), kappa, d))
+            top = max(logs)
+            p_new = math.exp(logs[0] - top) / sum(math.exp(x - top) for x in logs)
+            if not slots or p_new > p.tau_new:
+                slots.append([v])
+                slot = len(slots) - 1
+            else:
+                slot = logs[1:].index(max(logs[1:]))
+                slots[slot].append(v)
+            out[stream, seq] = (slot, round(p_new, 9))
+    return out
+
+
+@pytest.mark.parametrize("dims", [6, 40])
+def test_vmf_writes_against_plain_sums(spark, dims):
+    rows = [r for r in made(160, dims=dims) if r[7] != "late"]
+    p = memory.Policy("vmf")
+    got = {(r.stream, r.seq): (r.slot, round(r.p_new, 9)) for r in memory.run_batch(spark.createDataFrame(rows, EVENTS), p).where("op = 'write'").collect()}
+    assert got == plain_vmf(rows, p)
