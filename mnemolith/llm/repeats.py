@@ -169,11 +169,6 @@ class _Windows:
         return _mixed(_sums(self.hashes, at, self.window))
 
 
-def covering_starts(docs: DataFrame, window: int = 13, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag, starts): first words of the windows that start in an earlier document too; only rows that have some."""
-    return _covering_starts(docs, _shared_ids(docs, id_col), window, anchor, id_col, text_col)
-
-
 def _covering_starts(docs: DataFrame, shared_ids: bool, window: int, anchor: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
