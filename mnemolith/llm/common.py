@@ -35,6 +35,15 @@ class Memo(dict):
             self.used += getsizeof(k) + getsizeof(v) + 100
 
 
+#: Shuffle partitions that one task works off at most: a sort's memory is held until its task ends.
+TOGETHER = 8
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """How many tasks so many rows need, ``each`` for a task, so that small tables don't make a file in each of many tasks."""
+    return max(1, -(-rows // each), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // TOGETHER))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

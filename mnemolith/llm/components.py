@@ -3,7 +3,8 @@
 Each round is two aggregations and two joins over the edges, written to the
 checkpoint folder; edges never reach the driver. It ends when a round changes
 nothing, after O(log^2 n) rounds. Joins are merge joins: a round's small tables
-would otherwise each be held by the driver as a broadcast.
+would otherwise each be held by the driver as a broadcast. A round has as many
+tasks as its edges need, so that few edges don't make many small files.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolith.llm.common import tasks_for
 from mnemolith.session import cut
 
-#: Tasks that a node's rows are dealt to at most.
-SALTS = 16
+#: Tasks that a node's rows are dealt to at most, and edges that one task takes.
+SALTS, EDGES = 16, 100_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,14 +24,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = _mark(now)
     while mark[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        tasks = tasks_for(edges.sparkSession, mark[0], EDGES)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         # a hub's rows are dealt to several tasks
-        salted = both.where("v > u").withColumn("s", F.pmod(F.hash("v"), F.lit(SALTS)))
-        large = salted.join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        salts = min(SALTS, -(-mark[0] // EDGES))
+        least = least.select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
+        salted = both.where("v > u").withColumn("s", F.pmod(F.hash("v"), F.lit(salts)))
+        large = salted.join(least.hint("merge"), ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(tasks).where("u <> v").distinct().coalesce(tasks))
         before, mark = mark, _mark(now)
         if before == mark:
             break

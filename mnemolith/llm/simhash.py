@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolith.llm.common import packed, quoted, text_or_empty, unpacked
+from mnemolith.llm.common import packed, quoted, tasks_for, text_or_empty, unpacked
 from mnemolith.llm.components import connected_components
 from mnemolith.llm.exact_dedup import bloom_filter, filter_test, in_filter
 from mnemolith.session import bounded_batches, cut
@@ -46,6 +46,8 @@ BITS = 64
 #: Bytes of a row's sketch, and the estimate below which a pair isn't compared in full: 0.3 under
 #: 0.8, six standard deviations of an estimate from so many bytes.
 SKETCH, SURE = 64, 0.5
+#: Places in classes that one task takes.
+PLACES = 200_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -176,7 +178,8 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
     Candidates meet by their class (equal fingerprints of the whole text or of
     the same sample). Rounds compare leaders of each class with all its other
     members; two members are left uncompared only once both are of one
-    component. The first leader of a class is its smallest row. What is left apart
+    component. The first leader of a class is its smallest row; a row meets that of
+    its largest class first, and then those it isn't linked with. What is left apart
     then is put into new classes by rare shingles (the prefix filter, which loses
     no pair), so that texts that share a passage only are compared no more. The
     next leaders are the member with the most links so far (the middle of a group
@@ -203,6 +206,8 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
 
     bounded_batches(rows.sparkSession)
     made = cut(rows.select("row", "text").mapInArrow(prints, "row long, kind int, fp long, size int, sketch binary"))
+    # what follows is of at most so many rows, so it needs no more tasks than these
+    tasks = tasks_for(rows.sparkSession, made.count(), PLACES)
     sketches = made.where("kind = 0").select("row", "size", "sketch")
     sketches = cut(sketches if distinct else sketches.dropDuplicates(["row"]))
     firsts = cut(made.where("kind = 0").groupBy("fp").agg(F.min("row").alias("row")))
@@ -229,13 +234,15 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
 
         hashes = rows.select("row", "text", F.xxhash64("row").alias("h")).mapInArrow(sets, "row long, hashes array<long>")
         hashes = cut(hashes if distinct else hashes.dropDuplicates(["row"]))
-        shared.unpersist()
+        shared.destroy()  # the sets are written
         return hashes
 
     def confirmed(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The pairs that aren't among the ``known`` ones, and those of them that are alike."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = cut(pairs.join(known.hint("merge"), ["u", "v"], "left_anti") if known is not None else pairs)
+        pairs = cut((pairs.join(known.hint("merge"), ["u", "v"], "left_anti") if known is not None else pairs).coalesce(tasks))
+        if pairs.isEmpty():
+            return pairs, pairs
         first, second = (sketches.select(F.col("row").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")).hint("merge") for k in "uv")
         left = cut(pairs.join(first, "u").join(second, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(close, "u long, v long"))
         hashes = sets_of(cut(left.select(F.explode(F.array("u", "v")).alias("row")).distinct()))
@@ -246,8 +253,8 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
     def named(places: DataFrame, *key: str) -> DataFrame:
         """(class, row, size, leader) of the rows that share a key; classes of the same rows are one."""
         mark = [F.count("*").alias("n"), F.min("row").alias("leader"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
-        classes = places.groupBy(*key).agg(*mark).where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min(F.struct(*key)).alias("c")).select("c.*", "leader")
-        return cut(places.join(classes.hint("merge"), list(key)).select(F.xxhash64(*key).alias("class"), "row", "size", "leader").distinct())
+        classes = places.groupBy(*key).agg(*mark).where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min(F.struct(*key)).alias("c")).select("c.*", "leader", "n")
+        return cut(places.join(classes.hint("merge"), list(key)).select(F.xxhash64(*key).alias("class"), "row", "size", "leader", "n").distinct().coalesce(tasks))
 
     def by_rare_shingles(wanted: DataFrame) -> DataFrame:
         """The places (h, row, size) of rows that are left: their rarest shingles among them, so many that rows alike share one (the prefix filter)."""
@@ -264,35 +271,51 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
     def sized(pairs: DataFrame) -> DataFrame:
         return pairs.where((F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size")) & (F.col("row") != F.col("lead"))).select(F.col("row").alias("u"), F.col("lead").alias("v"))
 
-    def starred(members: DataFrame, more: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def meetings(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """The members of classes with their leaders, of those that aren't of one component."""
         ends = members.where("row = leader").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"))
-        pairs = sized(members.join(ends.hint("merge"), "class"))
-        return confirmed(pairs if more is None else pairs.unionByName(more), known)
+        if roots is None:
+            return sized(members.join(ends.hint("merge"), "class"))
+        own = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root")).hint("merge")
+        ends = ends.join(own("lead"), "lead", "left").withColumn("lead_root", F.coalesce("lead_root", "lead"))
+        state = members.join(own("row"), "row", "left").withColumn("row_root", F.coalesce("row_root", "row"))
+        return sized(state.join(ends.hint("merge"), "class").where("row_root <> lead_root"))
+
+    def starred(members: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(compared, found, roots) once every member is compared with its classes' leaders, or of one component with them.
+
+        Each row meets the leader of its largest class first. That links most rows of a large group, however many classes
+        they share, so that few are left to meet the leaders of the others.
+        """
+        largest = members.where("row <> leader").groupBy("row").agg(F.max_by(F.struct("class", "size", "leader", "n"), F.struct("n", "class")).alias("m")).select("m.class", "row", "m.size", "m.leader", "m.n")
+        first, found = confirmed(meetings(cut(largest.coalesce(tasks).unionByName(members.where("row = leader"))), None).unionByName(more), None)
+        roots = connected_components(found, "u", "v")
+        second, rest = confirmed(meetings(members, roots), first)
+        return first.unionByName(second), found.unionByName(rest), grown(roots, rest)
 
     def grown(roots: DataFrame, links_: DataFrame) -> DataFrame:
         """The components so far and the new links."""
-        return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links_), "u", "v")
+        return roots if links_.isEmpty() else connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links_), "u", "v")
 
     members = named(made.select("kind", "fp", "row", "size"), "kind", "fp")
-    compared, found = starred(members, near, None)
-    roots = connected_components(found, "u", "v")
-    left, share, refined = members.where("row <> leader").drop("leader"), crowd, False
+    compared, found, roots = starred(members, near)
+    left, share, refined = members.where("row <> leader").drop("leader", "n"), crowd, False
     while True:
         own = roots.withColumnRenamed("node", "row").hint("merge")
         degrees = found.select(F.explode(F.array("u", "v")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
         state = left.join(own, "row", "left").join(degrees.hint("merge"), "row", "left").select("class", "row", "size", F.coalesce("root", "row").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        state = cut(state)
+        state = cut(state.coalesce(tasks))
         hub = F.max(F.struct("degree", F.xxhash64("row").alias("h"), "row", "root")).alias("hub")
-        opened = cut(state.groupBy("class").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low <> high").select("class", "n", F.col("hub.row").alias("hub"), F.col("hub.root").alias("hub_root")))
+        opened = cut(state.groupBy("class").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low <> high").select("class", "n", F.col("hub.row").alias("hub"), F.col("hub.root").alias("hub_root")).coalesce(tasks))
         chosen = (F.col("row") == F.col("hub")) | ((F.col("root") != F.col("hub_root")) & (F.pmod(F.xxhash64("row"), F.col("n")) < share))
-        state = cut(state.join(opened.hint("merge"), "class").select("class", "row", "size", "root", chosen.alias("chosen")))
+        state = cut(state.join(opened.hint("merge"), "class").select("class", "row", "size", "root", chosen.alias("chosen")).coalesce(tasks))
         if not state.limit(1).count():
             return roots
         if not refined:
             # what share a sample and is still apart mostly shares a passage: classes of rare shingles take the place of those
             members = named(by_rare_shingles(cut(state.select("row").distinct())), "h")
-            seen, more = starred(members, None, compared)
-            left, refined = members.where("row <> leader").drop("leader"), True
+            seen, more = confirmed(meetings(members, roots), compared)
+            left, refined = members.where("row <> leader").drop("leader", "n"), True
         else:
             leaders = state.where("chosen").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"), F.col("root").alias("lead_root"))
             seen, more = confirmed(sized(state.join(leaders.hint("merge"), "class").where("root <> lead_root")), compared)
