@@ -198,7 +198,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, rows: int = 4096, tile
     led = classes.select("cls", "n", "vector").mapInArrow(leading, "cls long, n long, vector array<double>, dims int, c1 double, c2 double")
     led = led.withColumn("slice", F.floor(F.col("c1") / (reach / 2)).cast("int"))
     count = classes.count()
-    ordered = led.repartitionByRange(max(1, -(-count // rows)), "dims", "slice", "c2", "cls").sortWithinPartitions("dims", "slice", "c2", "cls")
+    # as many tasks as strips, however many ranges a session makes, so that strips are full
+    strips_ = max(1, -(-count // rows))
+    ordered = led.repartitionByRange(strips_, "dims", "slice", "c2", "cls").coalesce(strips_).sortWithinPartitions("dims", "slice", "c2", "cls")
 
     def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
