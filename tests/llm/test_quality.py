@@ -1,9 +1,10 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from mnemolith.llm.quality import drop_bad, fit, scores
+from mnemolith.llm.quality import _logistic, drop_bad, fit, scores
 
 
 def test_scores(spark, odd, empty):
@@ -37,3 +38,17 @@ def test_whole_texts_teach(spark):
     got = {r.doc_id: r.score for r in scores(docs, fit(docs, spark.createDataFrame([r[::2] for r in rows], "doc_id long, quality int"))).collect()}
     held = [(got[i], q) for i, _, q in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum((s >= 0.5) == (q == 1) for s, q in held) >= 0.9 * len(held)
+
+
+def test_the_curve_converges():
+    # a few outliers among well parted rows, where whole Newton steps swing until every score is 0
+    r, y = np.random.default_rng(143), np.arange(200) % 2
+    d = np.where(y == 1, r.normal(0.13, 0.06, 200), r.normal(-0.25, 0.08, 200))
+    p = np.where(y == 1, r.normal(-0.8, 0.2, 200), r.normal(-2, 1.0, 200))
+    d = np.clip(np.where(r.random(200) < 0.03, r.uniform(-0.9, 0.9, 200), d), -0.95, 0.95)
+    p = np.where(r.random(200) < 0.05, r.uniform(-4.5, 0.2, 200), p)
+    x = np.stack([np.ones(200), 5 * d, 5 * np.abs(d), p, p**2, np.minimum(0, p + 2) * 3], axis=1)
+    w = _logistic(x, y.astype(float))
+    assert ((x @ w > 0) == (y == 1)).mean() > 0.95
+    z = x @ w
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-z))) - 1e-2 * w).max() < 1e-4  # the loss is flat there
