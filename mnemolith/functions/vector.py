@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once for a row; a lambda's body would work it out anew for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """The vector over its norm; a zero vector stays zero."""
-    n = F.greatest(norm(a), F.lit(TINY))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    over = lambda v: once(F.greatest(norm(v), F.lit(TINY)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    return once(a, over)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,8 +44,7 @@ def mean_of(a: Column) -> Column:
 
 
 def centred(a: Column) -> Column:
-    m = mean_of(a)
-    return F.transform(a, lambda x: x.cast("double") - m)
+    return once(a, lambda v: once(mean_of(v), lambda m: F.transform(v, lambda x: x.cast("double") - m)))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
