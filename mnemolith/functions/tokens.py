@@ -1,42 +1,56 @@
 """Tokenizers by name: each makes of a text column an array of (id, start, end), with character offsets.
 
 ``blank`` (runs of what isn't white space; an id is 28 bits of the word's MD5)
-and ``chars`` (an id is 10 more than the code point) stay in the JVM;
-``file:PATH`` is a tokenizers file, run in Arrow batches. Another one is a
-function from a column to such an array, added by ``register``.
+and ``file:PATH`` (a tokenizers file) run in Arrow batches; ``chars`` (an id is
+10 more than the code point) stays in the JVM. Another one is a function from a
+column to such an array, added by ``register``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolith.session import cut
+from mnemolith.session import bounded_batches, cut
 
 Tokenizer = Callable[[Column], Column]
 PIECES = "array<struct<id:int,start:int,end:int>>"
 #: What a role's line looks like where no model's template is given.
 TURN = "{role}: {content}"
-
-
-def word_id(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int")
+#: A word: the white space that parts words is that of Java's \s.
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def blank(text: Column) -> Column:
-    """Words and the blanks before each, so that an offset is the sum of what comes before."""
-    parts = F.regexp_extract_all(text, F.lit(r"(\s*)(\S+)"), F.lit(0))
-    step = F.struct(F.lit(0).alias("at"), F.array().cast(PIECES).alias("out"))
-
-    def add(s: Column, p: Column) -> Column:
-        word = F.regexp_extract(p, r"(\S+)", 1)
-        end = s["at"] + F.char_length(p)
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(word_id(word).alias("id"), (end - F.char_length(word)).alias("start"), end.alias("end")))).alias("out"))
-
-    return F.aggregate(parts, step, add)["out"]
+    """Words, with what a sum of the lengths before gives as offsets; one pass over a text, however long it is."""
+
+    @F.arrow_udf(PIECES)
+    def words(texts: pa.Array) -> pa.Array:
+        known: dict[str, int] = {}
+        ids_, starts, ends, sizes, missing = array("i"), array("i"), array("i"), [0], []
+        for t in texts.to_pylist():
+            for m in WORD.finditer(t or ""):
+                word = m[0]
+                i = known.get(word)
+                if i is None:
+                    i = known[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big") >> 4
+                ids_.append(i)
+                starts.append(m.start())
+                ends.append(m.end())
+            sizes.append(len(ids_))
+            missing.append(t is None)
+        each = pa.StructArray.from_arrays([pa.array(np.frombuffer(x, np.int32)) for x in (ids_, starts, ends)], names=["id", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each, mask=pa.array(missing, pa.bool_()))
+
+    return words(text)
 
 
 def chars(text: Column) -> Column:
@@ -88,6 +102,7 @@ def load_sequences(rows: DataFrame, make: Tokenizer, most_tokens: int | None = N
     Every row is tokenised once and cut at ``most_tokens``; ``metadata`` is JSON of all other columns and of
     ``tokenization_source``. A row that has none of the three, a table without rows, and ids that aren't distinct are errors.
     """
+    bounded_batches(rows.sparkSession)
     has = lambda c: F.col(c).isNotNull() if c in rows.columns else F.lit(False)
     column = lambda c, f, kind: f(F.col(c)) if c in rows.columns else F.lit(None).cast(kind)
     given = F.when(has("token_ids"), "provided_token_ids").when(has("messages"), "chat_template").when(has("text"), "text")

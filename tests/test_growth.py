@@ -1,11 +1,14 @@
 """Work that must not grow faster than its input."""
 
+import hashlib
 import math
+import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
-from mnemolith.functions import vector
+from mnemolith.functions import tokens, vector
 
 
 def test_long_vectors_take_a_pass(spark):
@@ -20,3 +23,14 @@ def test_long_vectors_take_a_pass(spark):
     assert all(abs(a - (b - mean) / n) < 1e-9 for u in got.values() for a, b in zip(u, v))
     none = spark.createDataFrame([(None,), ([0.0, 0.0],)], "v array<double>").select(vector.unit(vector.centred(F.col("v"))).alias("u")).collect()
     assert [r.u for r in none] == [None, [0.0, 0.0]]
+
+
+def test_long_texts_take_a_pass(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["é", "ab", "🙂x", "c\x1cd"]) + rng.choice([" ", "\n\t", "  "]) for _ in range(150_000))
+    began = time.time()
+    got = spark.createDataFrame([(0, text), (1, None), (2, " \t")], "id long, text string").select("id", tokens.blank(F.col("text")).alias("p")).orderBy("id").collect()
+    assert time.time() - began < 40
+    words = list(re.finditer(r"[^ \t\n\x0b\f\r]+", text))
+    assert [(p.id, p.start, p.end) for p in got[0].p] == [(int(hashlib.md5(m[0].encode()).hexdigest()[:7], 16), m.start(), m.end()) for m in words]
+    assert got[1].p is None and got[2].p == []
