@@ -9,6 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from mnemolith.functions import tokens, vector
+from mnemolith.operators import retrieval
 
 
 def test_long_vectors_take_a_pass(spark):
@@ -34,3 +35,10 @@ def test_long_texts_take_a_pass(spark):
     words = list(re.finditer(r"[^ \t\n\x0b\f\r]+", text))
     assert [(p.id, p.start, p.end) for p in got[0].p] == [(int(hashlib.md5(m[0].encode()).hexdigest()[:7], 16), m.start(), m.end()) for m in words]
     assert got[1].p is None and got[2].p == []
+
+
+def test_resamples_are_dealt_out(spark):
+    # rows of few bytes, which come in one task, are drawn for in several
+    rows = spark.range(300).coalesce(1).selectExpr("id % 2 AS g", "id", "id / 300 AS x")
+    plan = retrieval.bootstrap(rows, ["g"], ["id"], "x", 50, 3)._jdf.queryExecution().toString()
+    assert int(re.search(r"hashpartitioning\(__name[^,]*, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 4
