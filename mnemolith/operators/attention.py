@@ -7,10 +7,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolith.functions.vector import TINY, softmax
+from mnemolith.session import cut
+
+#: Queries, and rows of memory, that meet at once.
+PART = 4096
 
 
 def block_mass(attention: DataFrame, block: int, layers: list[int] | None = None) -> DataFrame:
@@ -67,12 +74,45 @@ def event_summary(events: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def readout(memory: DataFrame, query: Column, dims: int) -> DataFrame:
-    """Softmax(q.k / sqrt(d) + ln n) over (query_id, key, value, n), applied to the values: (query_id, dim, value)."""
-    from mnemolith.functions.vector import dot
+def readout(queries: DataFrame, memory: DataFrame, by: str, dims: int) -> DataFrame:
+    """(query_id, dim, value): softmax(q.k / sqrt(d) + ln n) of queries (query_id, ``by``, q) over the memory (``by``, id, key, value, n) of their ``by``, applied to the values.
 
-    scored = memory.withColumn("a", softmax(dot(query, F.col("key")) / math.sqrt(dims) + F.log(F.col("n").cast("double")), "query_id"))
-    return scored.select("query_id", "a", F.posexplode("value").alias("dim", "x")).groupBy("query_id", "dim").agg(F.sum(F.col("a") * F.col("x").cast("double")).alias("value"))
+    Queries and memory of a ``by`` are dealt to parts of bounded size; a pair of parts gives each of its queries the largest
+    score, the sum of the others over it and the sum of values, and those meet. No pair of a query and a key is a row.
+    Keys or values that are null or hold null take no part; a query that is null or meets no others has null values.
+    """
+    shape = f"query_id {dict(queries.dtypes)['query_id']}, top double, weight double, total array<double>"
+
+    def met(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = {"query_id": asked["query_id"], "top": np.full(len(asked), -np.inf), "weight": np.zeros(len(asked)), "total": np.zeros((len(asked), dims))}
+        some = np.flatnonzero([x is not None and None not in x for x in asked["q"].to_pylist()])
+        if len(some) and len(known):
+            rows = lambda t, c: np.asarray(pc.list_flatten(t[c])).reshape(-1, dims)
+            n, values = known["n"].to_numpy(), rows(known, "value")
+            # a part's scores are at most PART squared
+            score = rows(asked.take(pa.array(some)), "q") @ rows(known, "key").T / math.sqrt(dims) + np.log(n)
+            out["top"][some] = top = score.max(axis=1)
+            e = np.exp(score - top[:, None])
+            out["weight"][some], out["total"][some] = e.sum(axis=1), e @ values
+        out["total"] = pa.FixedSizeListArray.from_arrays(pa.array(out["total"].ravel()), dims).cast(pa.list_(pa.float64()))
+        return pa.table({k: x if k in ("query_id", "total") else pa.array(x) for k, x in out.items()})
+
+    number = lambda c: F.col(c).cast("array<double>").alias(c)
+    q = queries.where(F.col(by).isNotNull()).select(by, "query_id", number("q"))
+    m = memory.where(F.col(by).isNotNull()).select(by, "id", number("key"), number("value"), F.col("n").cast("double").alias("n"))
+    sound = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    parts = lambda df, name: df.groupBy(by).agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    sizes = cut(parts(q, "__asked").join(parts(m, "__known"), by))
+    own = lambda df, n, id_: df.join(sizes, by).withColumn("__own", F.pmod(F.xxhash64(id_), F.col(n)).cast("int"))
+    other = lambda df, n: df.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    asked = other(own(q, "__asked", "query_id"), "__known").select(F.col(by).alias(by), F.col("__own").alias("__a"), F.col("__other").alias("__k"), "query_id", "q")
+    known = other(own(m.where(sound("key") & sound("value") & F.col("n").isNotNull()), "__known", "id"), "__asked").select(F.col(by).alias(by), F.col("__other").alias("__a"), F.col("__own").alias("__k"), "key", "value", "n")
+    pairs = [by, "__a", "__k"]
+    some = cut(asked.groupBy(*pairs).cogroup(known.groupBy(*pairs)).applyInArrow(met, shape).where("query_id IS NOT NULL"))
+    most = some.groupBy("query_id").agg(F.max("top").alias("most"))
+    weighed = some.join(most, "query_id").withColumn("__w", F.when(F.col("weight") > 0, F.exp(F.col("top") - F.col("most"))).otherwise(F.lit(0.0)))
+    each = weighed.select("query_id", "__w", "weight", F.posexplode("total").alias("dim", "x"))
+    return each.groupBy("query_id", "dim").agg((F.sum(F.col("__w") * F.col("x")) / F.nullif(F.sum(F.col("__w") * F.col("weight")), F.lit(0.0))).alias("value"))
 
 
 def future_mass_by_head(attention: DataFrame, block: int) -> DataFrame:

@@ -474,8 +474,8 @@ def native_rerank(spark, sf_dir):
 def attention_readout(spark, sf_dir):
     v = t.vectors(spark, sf_dir)
     q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("vector").alias("q"))
-    m = q.join(v, "label").select("query_id", "q", F.col("vector").alias("key"), F.col("vector").alias("value"), (F.col("id") % 3 + 1).alias("n"))
-    return rounded(att.readout(m, F.col("q"), 64))
+    m = v.select("label", "id", F.col("vector").alias("key"), F.col("vector").alias("value"), (F.col("id") % 3 + 1).alias("n"))
+    return rounded(att.readout(q, m, "label", 64))
 
 
 DEBYE = "-(31 * eta - 0.5 * ln(2 * pi() * 31) - 0.5 * ln(root) + ln(1 + (3 * tt - 5 * tt ** 3) / 24 / 31 + (81 * tt ** 2 - 462 * tt ** 4 + 385 * tt ** 6) / 1152 / 961))"

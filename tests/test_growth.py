@@ -9,7 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from mnemolith.functions import tokens, vector
-from mnemolith.operators import retrieval
+from mnemolith.operators import attention, retrieval
 
 
 def test_long_vectors_take_a_pass(spark):
@@ -42,3 +42,22 @@ def test_resamples_are_dealt_out(spark):
     rows = spark.range(300).coalesce(1).selectExpr("id % 2 AS g", "id", "id / 300 AS x")
     plan = retrieval.bootstrap(rows, ["g"], ["id"], "x", 50, 3)._jdf.queryExecution().toString()
     assert int(re.search(r"hashpartitioning\(__name[^,]*, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 4
+
+
+def test_readout_meets_in_parts(spark, monkeypatch):
+    # parts of three: every query still sees all of its group, and no pair of a query and a key is a row
+    monkeypatch.setattr(attention, "PART", 3)
+    rng = random.Random(4)
+    vec = lambda: [rng.gauss(0, 3) for _ in range(4)]
+    memory = [(i % 2, i, vec(), vec(), 1 + i % 3) for i in range(25)] + [(0, 25, None, vec(), 1), (None, 26, vec(), vec(), 1)]
+    queries = [(100 + i, i % 2, vec()) for i in range(9)] + [(200, 0, None), (201, 7, vec())]
+    m = spark.createDataFrame(memory, "label long, id long, key array<double>, value array<double>, n int")
+    q = spark.createDataFrame(queries, "query_id long, label long, q array<double>")
+    got = {(r.query_id, r.dim): r.value for r in attention.readout(q, m, "label", 4).collect()}
+    want = {(200, d): None for d in range(4)}
+    for i, label, x in queries[:9]:
+        own = [(sum(a * b for a, b in zip(x, k)) / 2 + math.log(n), v) for g, _, k, v, n in memory if g == label and k]
+        top = max(s for s, _ in own)
+        total = sum(math.exp(s - top) for s, _ in own)
+        want |= {(i, d): sum(math.exp(s - top) * v[d] for s, v in own) / total for d in range(4)}
+    assert got.keys() == want.keys() and all(w is None and got[k] is None or abs(got[k] - w) < 1e-9 for k, w in want.items())
