@@ -27,6 +27,8 @@ TASK = "Use the conversation memory to answer the final question. Return only th
 EARLIER = "Relevant earlier conversation:\n"
 BETWEEN = ("\n\nIntervening conversation:\n", "\n")
 MEMORY = ("\n\nMemory conversation:\n", "\n")
+#: Bytes of a place that is asked for, beside its answer; and so many bytes of them that go to all tasks at most.
+ROW, SMALL = 64, 4 << 20
 
 
 def ordered(texts: DataFrame, key: str, seed: int) -> tuple[DataFrame, int]:
@@ -45,11 +47,16 @@ def read_on(targets: DataFrame, texts: DataFrame, seed: int = 0) -> DataFrame:
     """(target_id, text_id, rank, size): for each target (target_id, answer, need), texts (text_id, text, size) in order until their sizes reach its need.
 
     A target's own id and texts that hold its answer (compared in lower case) aren't taken; nor are nulls. If all of the order
-    isn't enough, all that is fit comes once.
+    isn't enough, all that is fit comes once. Only ids, hashes and sizes are put in order; a text is read where a place of it is
+    asked for: it stays where it is if what is asked takes few bytes, else it moves once for each stretch.
     """
-    pool, n = ordered(texts.where("text_id IS NOT NULL AND text IS NOT NULL AND size > 0").select("text_id", F.lower("text").alias("text"), F.col("size").cast("long").alias("size")), "text_id", seed)
+    sound = texts.where("text_id IS NOT NULL AND text IS NOT NULL AND size > 0").select("text_id", "text", F.xxhash64("text").alias("__h"), F.col("size").cast("long").alias("size"))
+    pool, n = ordered(sound.select("text_id", "__h", "size"), "text_id", seed)
     if not n:
         return targets.join(texts.select("text_id", F.col("size").cast("long").alias("size")), F.lit(False)).select("target_id", "text_id", F.lit(0).alias("rank"), "size")
+    if pool.groupBy("text_id", "__h").count().where("count > 1").limit(1).count():  # equal rows have a place each, but one text
+        sound = sound.dropDuplicates(["text_id", "__h"])
+    sound = sound.select("text_id", "__h", "text")
     mean = float(pool.agg(F.avg("size")).first()[0])
     left = targets.where("target_id IS NOT NULL AND answer IS NOT NULL AND need > 0").select("target_id", F.lower("answer").alias("answer"), F.col("need").cast("long").alias("need"))
     left = cut(left.withColumns({"begin": start_of(F.col("target_id"), n, seed), "from": F.lit(0).cast("long"), "got": F.lit(0).cast("long")}))
@@ -57,8 +64,14 @@ def read_on(targets: DataFrame, texts: DataFrame, seed: int = 0) -> DataFrame:
     while left.limit(1).count():
         till = F.least(F.lit(n), F.col("from") + F.ceil((F.col("need") - F.col("got")) / mean * stretch) + 1)
         spans = left.withColumn("till", till)
+        bytes_ = spans.agg(F.sum((F.col("till") - F.col("from")) * (F.octet_length("answer") + ROW))).first()[0]
         places = spans.select("target_id", "answer", "begin", F.explode(F.sequence("from", F.col("till") - 1)).alias("k")).withColumn("place", (F.col("begin") + F.col("k")) % n)
-        fit = places.join(pool, "place").where((F.col("text_id").cast("string") != F.col("target_id").cast("string")) & ~F.contains("text", F.col("answer")))
+        asked = places.join(pool, "place").where(F.col("text_id").cast("string") != F.col("target_id").cast("string")).drop("place", "begin")
+        key = ["text_id", "__h"]
+        if bytes_ <= SMALL:
+            fit = sound.join(asked.hint("broadcast"), key).where(~F.contains(F.lower("text"), F.col("answer")))
+        else:
+            fit = sound.withColumn("text", F.lower("text")).join(asked, key).where(~F.contains("text", F.col("answer")))
         fit = cut(fit.select("target_id", "text_id", "k", "size"))
         found = fit if found is None else found.unionByName(fit)
         more = fit.groupBy("target_id").agg(F.sum("size").alias("more"))

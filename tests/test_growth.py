@@ -9,7 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from mnemolith.functions import tokens, vector
-from mnemolith.operators import attention, retrieval
+from mnemolith.operators import attention, retrieval, synthesis
 
 
 def test_long_vectors_take_a_pass(spark):
@@ -61,3 +61,19 @@ def test_readout_meets_in_parts(spark, monkeypatch):
         total = sum(math.exp(s - top) for s, _ in own)
         want |= {(i, d): sum(math.exp(s - top) * v[d] for s, v in own) / total for d in range(4)}
     assert got.keys() == want.keys() and all(w is None and got[k] is None or abs(got[k] - w) < 1e-9 for k, w in want.items())
+
+
+def test_texts_are_not_put_in_order(spark, monkeypatch):
+    # ids, hashes and sizes are; a text is read where it is asked for, by either way, also if rows are equal
+    written, real = [], synthesis.cut
+    monkeypatch.setattr(synthesis, "cut", lambda df: written.append(df.columns) or real(df))
+    texts = spark.createDataFrame([(i, f"Text {i % 5} of many", 1) for i in range(30)] + [(3, "Text 3 of many", 1), (40, None, 1)], "text_id long, text string, size int")
+    targets = spark.createDataFrame([(100, "text 1", 8), (3, "TEXT 2", 40), (101, "", 4)], "target_id long, answer string, need int")
+    ways = []
+    for small in (1 << 20, 0):
+        monkeypatch.setattr(synthesis, "SMALL", small)
+        ways.append(sorted(map(tuple, synthesis.read_on(targets, texts, 2).collect())))
+    assert ways[0] == ways[1] and not any("text" in c for c in written)
+    taken = [(t, i) for t, i, _, _ in ways[0]]
+    assert [t for t, _ in taken].count(100) == 8 and [t for t, _ in taken].count(101) == 0
+    assert sorted(i for t, i in taken if t == 3) == [i for i in range(30) if i % 5 != 2 and i != 3]
