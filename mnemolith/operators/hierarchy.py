@@ -7,11 +7,15 @@ have length one. Every step works on all slots of all streams at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolith.functions.vector import dot, unit
-from mnemolith.session import cut
+from mnemolith.functions.vector import TINY, dot, unit
+from mnemolith.session import bounded_batches, cut
 
 
 def _best(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
@@ -40,28 +44,108 @@ def routed_reads(queries: DataFrame, parents: DataFrame, leaves: DataFrame, reco
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "record_id", "score", "rank")
 
 
+#: Bytes of all seeds up to which they are broadcast, and slots whose sums a task holds at a time.
+SEEDS, HELD = 8 << 20, 1000
+
+
+def _sums_of_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (no, id_hash, vector, c0, c1, n, x) to partial sums of each slot's two sides, with the number and mark of side 1."""
+    held: dict[int, list] = {}
+
+    def out() -> pa.RecordBatch:
+        numbers = lambda i: pa.array([v[i] for v in held.values()], pa.list_(pa.float64()))
+        return pa.record_batch([pa.array(list(held), pa.int64()), *map(numbers, range(4)), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(4, 8))], names=["no", "c0", "c1", "s0", "s1", "n", "x", "n_before", "x_before"])
+
+    for b in batches:
+        no = b.column(0).to_numpy()
+        order = np.argsort(no, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(no[order])) + 1) if len(no) else ():
+            part = b.take(pa.array(at))
+            c = [None if x is None else np.array(x, float) for x in (part.column(3)[0].as_py(), part.column(4)[0].as_py())]
+            have = part.filter(part.column(2).is_valid())
+            vectors = have.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(have), -1) if len(have) else np.zeros((0, 0))
+            side = np.zeros(len(have), np.bool_)
+            if c[0] is not None and c[1] is not None and len(have):
+                d0, d1 = np.zeros(len(have)), np.zeros(len(have))
+                for k, column in enumerate(np.ascontiguousarray(vectors.T)):  # in the order in which ``dot`` adds
+                    d0 += column * c[0][k]
+                    d1 += column * c[1][k]
+                side = (d1 > d0) | (np.isnan(d1) & ~np.isnan(d0))
+            sums = [vectors[side == k].sum(axis=0) if (side == k).any() else None for k in (False, True)]
+            n, x = int(side.sum()), int(np.bitwise_xor.reduce(have.column(1).to_numpy()[side]))
+            if v := held.get(int(no[at[0]])):
+                for k in (0, 1):
+                    v[2 + k] = sums[k] if v[2 + k] is None else v[2 + k] if sums[k] is None else v[2 + k] + sums[k]
+                v[4], v[5] = v[4] + n, v[5] ^ x
+            else:
+                held[int(no[at[0]])] = [*c, *sums, n, x, part.column(5)[0].as_py(), part.column(6)[0].as_py()]
+        if len(held) >= HELD:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def _next_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums, those of a slot one after the other, to (no, c0, c1 as used, next0, next1, n, x, settled)."""
+    names = ["no", "c0", "c1", "next0", "next1", "n", "x", "settled"]
+    kinds = [pa.int64(), *[pa.list_(pa.float64())] * 4, pa.int64(), pa.int64(), pa.bool_()]
+
+    def done(v: list) -> tuple:
+        no, c0, c1, s0, s1, n, x, n_before, x_before = v
+        u0, u1 = (None if s is None else s / max(float(np.sqrt((s * s).sum())), TINY) for s in (s0, s1))
+        return no, c0, c1, u1 if u0 is None else u0, u0 if u1 is None else u1, n, x, (n, x) == (n_before, x_before)
+
+    now = None
+    for b in batches:
+        rows = []
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            s = [None if y is None else np.array(y, float) for y in r[3:5]]
+            if now and now[0] == r[0]:
+                for k in (0, 1):
+                    now[3 + k] = s[k] if now[3 + k] is None else now[3 + k] if s[k] is None else now[3 + k] + s[k]
+                now[5], now[6] = now[5] + r[5], now[6] ^ r[6]
+            else:
+                if now:
+                    rows.append(done(now))
+                now = [*r[:3], *s, *r[5:]]
+        if rows:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    if now:
+        yield pa.record_batch([pa.array([c], k) for c, k in zip(done(now), kinds)], names=names)
+
+
 def two_means(records: DataFrame, rounds: int = 50) -> DataFrame:
     """(stream, slot, record_id, side): every slot's records parted in two by direction.
 
-    Seeds: the record farthest from the slot's centre, and the one farthest from that. A round is one join and
-    one aggregation over all slots; it ends when no record changes sides. A slot of one record has one side.
+    Seeds: the record farthest from the slot's centre, and the one farthest from that. A round is one job over all
+    slots that aren't settled: tasks part their records and send one sum a side; a slot is settled when none of its
+    records changes sides. A slot of one record has one side.
     """
     key = ["stream", "slot"]
+    bounded_batches(records.sparkSession)
     rows = cut(records.select(*key, "record_id", unit(F.col("vector")).alias("vector")))
     far = lambda to: F.min_by(F.col("vector"), F.struct(F.round(dot(F.col("vector"), F.col(to)), 12), F.col("record_id")))
     first = rows.join(centres(rows, *key), key).groupBy(*key).agg(far("centre").alias("c0"))
-    seeds = cut(rows.join(first, key).groupBy(*key).agg(F.first("c0").alias("c0"), far("c0").alias("c1")))
-    before = None
-    for _ in range(rounds):
-        side = F.when(dot(F.col("vector"), F.col("c1")) > dot(F.col("vector"), F.col("c0")), 1).otherwise(0)
-        sided = cut(rows.join(seeds, key).select(*key, "record_id", "vector", side.alias("side")))
-        mark = sided.agg(F.coalesce(F.bit_xor(F.xxhash64("stream", "slot", "record_id", "side")), F.lit(0)), F.count_if(F.col("side") == 1)).first()
-        if mark == before:
+    seeds = rows.join(first, key).groupBy(*key).agg(F.first("c0").alias("c0"), far("c0").alias("c1"))
+    slots = cut(seeds.select(F.monotonically_increasing_id().alias("no"), *key, "c0", "c1"))
+    size = slots.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("c0")), F.lit(0)).alias("dims")).first()
+    small = (lambda df: F.broadcast(df)) if size.n * max(1, size.dims) * 16 <= SEEDS else (lambda df: df)
+    rows = cut(rows.join(small(slots.select("no", *key)), key).select("no", *key, "record_id", F.xxhash64("record_id").alias("id_hash"), "vector"))
+    now = slots.select("no", "c0", "c1", F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("x"))
+    last = None
+    for k in range(rounds):
+        met = rows.select("no", "id_hash", "vector").join(small(now), "no").select("no", "id_hash", "vector", "c0", "c1", "n", "x")
+        sums = met.mapInArrow(_sums_of_sides, "no long, c0 array<double>, c1 array<double>, s0 array<double>, s1 array<double>, n long, x long, n_before long, x_before long")
+        state = cut(sums.repartition("no").sortWithinPartitions("no").mapInArrow(_next_seeds, "no long, c0 array<double>, c1 array<double>, next0 array<double>, next1 array<double>, n long, x long, settled boolean"))
+        more = k + 1 < rounds and not state.where("not settled").isEmpty()
+        used = (state.where("settled") if more else state).select("no", "c0", "c1")
+        last = used if last is None else last.unionByName(used)
+        if not more:
             break
-        before = mark
-        both = centres(sided, *key, "side").groupBy(*key).pivot("side", [0, 1]).agg(F.first("centre"))
-        seeds = cut(both.select(*key, F.coalesce("0", "1").alias("c0"), F.coalesce("1", "0").alias("c1")))
-    return sided.select(*key, "record_id", "side")
+        now = state.where("not settled").select("no", F.col("next0").alias("c0"), F.col("next1").alias("c1"), "n", "x")
+    side = F.when(dot(F.col("vector"), F.col("c1")) > dot(F.col("vector"), F.col("c0")), 1).otherwise(0)
+    return cut(rows.join(small(last), "no").select(*key, "record_id", side.alias("side")))
 
 
 def split_gains(records: DataFrame, sides: DataFrame, least_records: int = 4, least_gain: float = 0.05) -> DataFrame:

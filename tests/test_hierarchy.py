@@ -52,6 +52,24 @@ def test_two_means_and_gains(spark):
     assert all(r.after <= r.before + 1e-9 for r in gains.values())
 
 
+def test_rounds_stop_for_settled_slots_and_sum_in_tasks(spark):
+    """No round sends a row for each number of each record, and many slots go by a join that isn't a broadcast."""
+    rng = random.Random(6)
+    rows = [("s", slot, slot * 100 + i, [rng.gauss(0, 1) for _ in range(4)]) for slot in range(5) for i in range(40)]
+    df = spark.createDataFrame([*rows, ("s", 9, 999, None)], "stream string, slot int, record_id long, vector array<double>").repartition(4)
+    plans, once, held = [], hierarchy.cut, hierarchy.SEEDS
+    try:
+        hierarchy.cut = lambda x: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or once(x)
+        hierarchy.SEEDS = 0
+        got = {r.record_id: r.side for r in hierarchy.two_means(df).collect()}
+    finally:
+        hierarchy.cut, hierarchy.SEEDS = once, held
+    assert not any("Generate" in p for p in plans[3:])
+    for slot in range(5):
+        vectors = {r[2]: unit(r[3]) for r in rows if r[1] == slot}
+        assert {i: got[i] for i in vectors} == plain_sides(vectors)
+
+
 def test_merges_are_greedy(spark):
     rng = random.Random(9)
     slots = [("s", k % 3, k, unit([rng.gauss(1, 1) for _ in range(5)])) for k in range(40)]
