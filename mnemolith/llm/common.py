@@ -34,6 +34,10 @@ class Memo(dict):
             self[k] = v
             self.used += getsizeof(k) + getsizeof(v) + 100
 
+    def forget(self, k) -> None:
+        v = self.pop(k)
+        self.used -= getsizeof(k) + getsizeof(v) + 100
+
 
 #: Shuffle partitions that one task works off at most: a sort's memory is held until its task ends.
 TOGETHER = 8

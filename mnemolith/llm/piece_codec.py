@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +46,9 @@ MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Below the least piece score: what a character without a piece costs.
 PENALTY = 10.0
+#: Characters of a unit that is searched at once and remembered, at most.
+SHORT = 64
+NEVER = float("-inf")
 
 
 @lru_cache(maxsize=2)
@@ -66,6 +70,14 @@ class PieceCodec:
         self.skip = {i for i in every if model.is_control(i)}
         self.score = {self.pieces[i]: (model.get_score(i), i) for i in every if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))}
         self.longest = max(map(len, self.score))
+        # pieces by their characters in turn: (what may follow, score and id of the piece that ends here or None)
+        self.tree: dict[str, tuple] = {}
+        for p, (value, i) in sorted(self.score.items()):  # beginnings come first
+            kids = self.tree
+            for c in p[:-1]:
+                kids = kids.setdefault(c, ({}, None, None))[0]
+            kids[p[-1]] = ({}, value, i)
+        self.bytes_of = [b"" if i in self.skip else self.raw.get(i, p.encode()) for i, p in enumerate(self.pieces)]
         self.floor = min(s for s, _ in self.score.values()) - PENALTY
         self.by_unit = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.known = Memo()
@@ -100,7 +112,27 @@ class PieceCodec:
         if n > done:
             yield self._path(text, back, done, n)
 
-    def _path(self, text: str, back: dict[int, tuple[int, int]], first: int, end: int) -> list[int]:
+    def short(self, text: str) -> list[int]:
+        """Ids of a short marked text: the same search, with nothing to commit before its end."""
+        tree, floor, n = self.tree, self.floor, len(text)
+        best: list[float] = [0.0, *[NEVER] * n]
+        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        for at, here in enumerate(best):  # which is final when it is met
+            kids, one = tree, False
+            for end in range(at, n):
+                node = kids.get(text[end])
+                if node is None:  # no piece begins like this
+                    break
+                kids, score, i = node
+                if score is not None:
+                    one = one or end == at
+                    if (value := here + score) > best[end + 1]:
+                        best[end + 1], back[end + 1] = value, (at, i)
+            if not one and at < n and here + floor > best[at + 1]:
+                best[at + 1], back[at + 1] = here + floor, (at, self.unknown)
+        return self._path(text, back, 0, n)
+
+    def _path(self, text: str, back: dict[int, tuple[int, int]] | list[tuple[int, int]], first: int, end: int) -> list[int]:
         out: list[int] = []
         while end > first:
             start, i = back[end]
@@ -117,21 +149,19 @@ class PieceCodec:
         marked = MARK + text.replace(" ", MARK)
         if not self.by_unit:
             return [i for run in self.stream(marked) for i in run]
-        self.known.room()
-        out: list[int] = []
-        for unit in UNIT.finditer(marked):
-            u = unit[0]
-            ids = self.known.get(u)
-            if ids is None:
-                ids = [i for run in self.stream(u) for i in run]
-                if len(u) <= 64:
-                    self.known.learn([(u, ids)])
-            out += ids
-        return out
+        known = self.known
+        known.room()
+        units = UNIT.findall(marked)
+        new = [u for u in dict.fromkeys(units) if u not in known]
+        known.learn((u, array("I", self.short(u) if len(u) <= SHORT else [i for run in self.stream(u) for i in run]).tobytes()) for u in new)
+        ids = np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4").tolist()
+        for u in new:
+            if len(u) > SHORT:
+                known.forget(u)
+        return ids
 
     def decode(self, ids: list[int]) -> str:
-        raw, pieces, skip = self.raw, self.pieces, self.skip
-        marked = b"".join([raw[i] if i in raw else pieces[i].encode() for i in ids if i not in skip]).decode("utf-8", "replace")
+        marked = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         text = marked.replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 

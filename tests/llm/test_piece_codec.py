@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from mnemolith.llm.piece_codec import UNIT, PieceCodec, decode_documents, encode_documents
+from mnemolith.llm.piece_codec import SHORT, UNIT, PieceCodec, decode_documents, encode_documents
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -109,3 +109,15 @@ def test_documents(docs, odd, empty):
     back = decode_documents(encode_documents(odd, PATH, keep_ids=True), PATH).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((r.doc_id, (r.text or "").replace("▁", " ")) for r in odd.collect()), key=str)
     assert encode_documents(empty, PATH).count() == 0
+
+
+def test_short_units_are_searched_alike():
+    """The search of a unit at once, by the tree of pieces, commits to what the streaming one does; long units aren't remembered."""
+    codec = PieceCodec(PATH)
+    rng = random.Random(3)
+    units = ["▁" + "".join(rng.choice("aeinrst.,é0▁ﬁ🙂") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    for u in units:
+        assert codec.short(u) == [i for run in codec.stream(u) for i in run]
+    long = "ab" * 40
+    assert codec.decode(codec.encode(f"x {long} x")) == f"x {long} x"
+    assert not any(len(u) > SHORT for u in codec.known)
