@@ -294,8 +294,15 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
         return first.unionByName(second), found.unionByName(rest), grown(roots, rest)
 
     def grown(roots: DataFrame, links_: DataFrame) -> DataFrame:
-        """The components so far and the new links."""
-        return roots if links_.isEmpty() else connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links_), "u", "v")
+        """The components so far and the new links, which join roots: only those are put together anew."""
+        if links_.isEmpty():
+            return roots
+        ends = links_
+        for k in "uv":
+            ends = ends.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")).hint("merge"), k, "left").withColumn(k, F.coalesce(f"{k}_root", k)).select("u", "v")
+        new = connected_components(ends, "u", "v")
+        moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")).hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return cut(moved.unionByName(new))
 
     members = named(made.select("kind", "fp", "row", "size"), "kind", "fp")
     compared, found, roots = starred(members, near)

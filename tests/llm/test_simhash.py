@@ -3,6 +3,7 @@ import re
 
 import xxhash
 
+from mnemolith.llm import components
 from mnemolith.llm.components import connected_components
 from mnemolith.llm.simhash import links, near_components
 
@@ -61,3 +62,19 @@ def test_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (200, 100)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 200: 100}
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """Few edges are joined up in three jobs' plans; rounds give the same for as many as there are."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(400 + i, 401 + i) for i in range(30)]
+    want = roots(sorted({x for e in edges for x in e}), edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    made, once = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda x: made.append(1) or once(x))
+    by = {few: {r.node: r.root for r in connected_components(df, few=few).collect()} for few in (components.EDGES, 0)}
+    assert by[0] == by[components.EDGES] == {n: r for n, r in want.items() if n != r}
+    made.clear()
+    connected_components(df)
+    assert len(made) == 2
+    assert connected_components(df.where("a < 0")).count() == 0
