@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolith.llm.common import packed, quoted, tasks_for, text_or_empty, unpacked
@@ -181,10 +181,9 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
     component. The first leader of a class is its smallest row; a row meets that of
     its largest class first, and then those it isn't linked with. What is left apart
     then is put into new classes by rare shingles (the prefix filter, which loses
-    no pair), so that texts that share a passage only are compared no more. The
-    next leaders are the member with the most links so far (the middle of a group
-    links it at once) and about ``crowd`` hash-chosen ones, eight times as many
-    each round, of those outside that member's component.
+    no pair), so that texts that share a passage only are compared no more. What is
+    apart even then is compared by how it differs from the member of its class that
+    has the most links so far (``by_differences``, which loses no pair either).
 
     With ``distinct`` no two rows share a key. A pair's short sketches meet first.
     Sets of shingles are made and moved only for pairs that the sketches leave,
@@ -237,15 +236,16 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
         shared.destroy()  # the sets are written
         return hashes
 
-    def confirmed(pairs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The pairs that aren't among the ``known`` ones, and those of them that are alike."""
+    def confirmed(pairs: DataFrame, known: DataFrame | None = None, hashes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that aren't among the ``known`` ones, and those of them that are alike, by the sets given or by new ones."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         pairs = cut((pairs.join(known.hint("merge"), ["u", "v"], "left_anti") if known is not None else pairs).coalesce(tasks))
         if pairs.isEmpty():
             return pairs, pairs
         first, second = (sketches.select(F.col("row").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")).hint("merge") for k in "uv")
         left = cut(pairs.join(first, "u").join(second, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(close, "u long, v long"))
-        hashes = sets_of(cut(left.select(F.explode(F.array("u", "v")).alias("row")).distinct()))
+        if hashes is None:
+            hashes = sets_of(cut(left.select(F.explode(F.array("u", "v")).alias("row")).distinct()))
         both = left.join(hashes.select(F.col("row").alias("v"), F.col("hashes").alias("hv")), "v").join(hashes.select(F.col("row").alias("u"), F.col("hashes").alias("hu")), "u")
         n = F.size(F.array_intersect("hu", "hv"))
         return pairs, cut(both.where(n >= similarity * (F.size("hu") + F.size("hv") - n)).select("u", "v"))
@@ -256,17 +256,19 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
         classes = places.groupBy(*key).agg(*mark).where("n > 1").groupBy("n", "leader", "x", "y").agg(F.min(F.struct(*key)).alias("c")).select("c.*", "leader", "n")
         return cut(places.join(classes.hint("merge"), list(key)).select(F.xxhash64(*key).alias("class"), "row", "size", "leader", "n").distinct().coalesce(tasks))
 
-    def by_rare_shingles(wanted: DataFrame) -> DataFrame:
-        """The places (h, row, size) of rows that are left: their rarest shingles among them, so many that rows alike share one (the prefix filter)."""
-        sets = sets_of(wanted).join(wanted.hint("merge"), "row", "left_semi")
+    def shared_shingles(sets: DataFrame) -> DataFrame:
+        """(row, size, hashes) of sets: the shingles that other sets have too, the rarest first."""
         each = cut(sets.select("row", F.size("hashes").alias("size"), F.explode("hashes").alias("h")))
         often = cut(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-        shared = each.join(often.hint("merge"), "h")
-        whole = Window.partitionBy("row")
-        ranked = shared.withColumns({"rank": F.row_number().over(whole.orderBy("n", "h")), "shared": F.count("*").over(whole)})
+        shared = each.join(often.hint("merge"), "h").groupBy("row").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s"))
+        return cut(shared.select("row", "size", F.col("s.h").alias("hashes")))
+
+    def by_rare_shingles(shared: DataFrame) -> DataFrame:
+        """The places (h, row, size) of rows: their rarest shingles, so many that rows alike share one (the prefix filter)."""
         prefix = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
         # shingles that no other row has come first
-        return ranked.where(F.col("rank") <= prefix - (F.col("size") - F.col("shared"))).select("h", "row", "size")
+        rest = F.greatest(prefix - (F.col("size") - F.size("hashes")), F.lit(0)).cast("int")
+        return shared.select(F.explode(F.slice("hashes", F.lit(1), rest)).alias("h"), "row", "size")
 
     def sized(pairs: DataFrame) -> DataFrame:
         return pairs.where((F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size")) & (F.col("row") != F.col("lead"))).select(F.col("row").alias("u"), F.col("lead").alias("v"))
@@ -304,30 +306,70 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
         moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")).hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         return cut(moved.unionByName(new))
 
+    def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """(class, row, root) of members beside the leaders, of classes in which those aren't of one component."""
+        own = roots.withColumnRenamed("node", "row").hint("merge")
+        state = cut(members.where("row <> leader").join(own, "row", "left").select("class", "row", F.coalesce("root", "row").alias("root")).coalesce(tasks))
+        opened = cut(state.groupBy("class").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("class").coalesce(tasks))
+        return cut(state.join(opened.hint("merge"), "class").coalesce(tasks))
+
     members = named(made.select("kind", "fp", "row", "size"), "kind", "fp")
     compared, found, roots = starred(members, near)
-    left, share, refined = members.where("row <> leader").drop("leader", "n"), crowd, False
-    while True:
-        own = roots.withColumnRenamed("node", "row").hint("merge")
-        degrees = found.select(F.explode(F.array("u", "v")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
-        state = left.join(own, "row", "left").join(degrees.hint("merge"), "row", "left").select("class", "row", "size", F.coalesce("root", "row").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        state = cut(state.coalesce(tasks))
-        hub = F.max(F.struct("degree", F.xxhash64("row").alias("h"), "row", "root")).alias("hub")
-        opened = cut(state.groupBy("class").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low <> high").select("class", "n", F.col("hub.row").alias("hub"), F.col("hub.root").alias("hub_root")).coalesce(tasks))
-        chosen = (F.col("row") == F.col("hub")) | ((F.col("root") != F.col("hub_root")) & (F.pmod(F.xxhash64("row"), F.col("n")) < share))
-        state = cut(state.join(opened.hint("merge"), "class").select("class", "row", "size", "root", chosen.alias("chosen")).coalesce(tasks))
-        if not state.limit(1).count():
-            return roots
-        if not refined:
-            # what share a sample and is still apart mostly shares a passage: classes of rare shingles take the place of those
-            members = named(by_rare_shingles(cut(state.select("row").distinct())), "h")
-            seen, more = confirmed(meetings(members, roots), compared)
-            left, refined = members.where("row <> leader").drop("leader", "n"), True
-        else:
-            leaders = state.where("chosen").select("class", F.col("row").alias("lead"), F.col("size").alias("lead_size"), F.col("root").alias("lead_root"))
-            seen, more = confirmed(sized(state.join(leaders.hint("merge"), "class").where("root <> lead_root")), compared)
-            left, share = state.where("not chosen").select("class", "row", "size"), share * 8
-        compared, found, roots = compared.unionByName(seen), found.unionByName(more), grown(roots, more)
+    if not (left := apart(members, roots)).limit(1).count():
+        return roots
+    # what shares a sample and is still apart mostly shares a passage: classes of rare shingles take the place of those
+    wanted = cut(left.select("row").distinct())
+    sets = cut(sets_of(wanted).join(wanted.hint("merge"), "row", "left_semi"))
+    shared = shared_shingles(sets)
+    members = named(by_rare_shingles(shared), "h")
+    seen, more = confirmed(meetings(members, roots), compared, sets)
+    compared, found, roots = compared.unionByName(seen), found.unionByName(more), grown(roots, more)
+    if not (left := apart(members, roots)).limit(1).count():
+        return roots
+    # a class's centre is its member with the most links: classes of one group mostly have the same
+    degrees = found.select(F.explode(F.array("u", "v")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
+    ranked = members.join(left.select("class").distinct().hint("merge"), "class", "left_semi").join(degrees.hint("merge"), "row", "left")
+    centres = cut(ranked.groupBy("class").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("row"), "row")).alias("m")).select("class", F.col("m.row").alias("centre")).coalesce(tasks))
+    centres = centres.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root")).hint("merge"), "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
+    places = cut(left.join(centres.hint("merge"), "class").where("row <> centre").select("centre", "centre_root", "row", "root").distinct().coalesce(tasks))
+    linked, pairs = by_differences(places, shared, similarity)
+    return grown(roots, cut(linked.unionByName(confirmed(pairs, compared, sets)[1])))
+
+
+def by_differences(places: DataFrame, shared: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of rows with their centre, and pairs (u, v) of a centre's rows that aren't of one component and may be alike.
+
+    ``places`` has (centre, centre_root, row, root), ``shared`` each row's size and
+    its shingles that others have too, the rarest first. Sets differ from each other as their
+    differences from the same centre do, and near copies of one text have little in
+    common in these: each has edits of its own. Rows alike the centre are of
+    its component. Of any other pair one row at least is not alike the centre, so its
+    difference is above ``far`` times both sizes; for the pair to be alike the two
+    differences must then share so many shingles that their first ones in an order
+    (the row's own, those beside the centre's by how rare they are, the centre's by
+    how common) have one in common, with enough of both left behind it.
+    """
+    far = (1 - similarity) / (1 + similarity)
+    of_centre = shared.select(F.col("row").alias("centre"), F.col("size").alias("centre_size"), F.col("hashes").alias("centre_hashes"))
+    both = places.join(shared.hint("merge"), "row").join(of_centre.hint("merge"), "centre")
+    both = both.select("centre", "row", "root", "size", "centre_size", (F.col("root") == F.col("centre_root")).alias("near"), (F.col("size") - F.size("hashes")).alias("own"), (F.col("centre_size") - F.size("centre_hashes")).alias("centre_own"), F.array_except("hashes", "centre_hashes").alias("more"), F.reverse(F.array_except("centre_hashes", "hashes")).alias("less"))
+    n = F.col("size") - F.col("own") - F.size("more")
+    both = cut(both.withColumn("alike", n >= similarity * (F.col("size") + F.col("centre_size") - n)))
+    # the centre's own shingles, which all others lack, come last: the first stands for all
+    order = F.concat("more", "less", F.when(F.col("centre_own") > 0, F.array(F.xxhash64("centre"))).otherwise(F.expr("array()").cast("array<bigint>")))
+    d = both.select("centre", "row", "root", "size", "own", (~F.col("near") & ~F.col("alike")).alias("out"), "centre_size", order.alias("order"), (F.col("own") + F.size("more") + F.size("less") + F.col("centre_own")).alias("d"))
+    least = lambda x: F.greatest(F.ceil(x - 1e-9), F.lit(1))
+    # what a row shares with a row that isn't alike the centre, and what such a one shares with any
+    with_out, with_any = least((F.col("d") + far * (F.col("centre_size") - F.col("size"))) / 2), least((F.col("d") - far * (F.col("size") + F.col("centre_size"))) / (1 + far))
+    first = lambda x: F.greatest(F.col("d") - x + 1 - F.col("own"), F.lit(0)).cast("int")
+    d = d.withColumns({"short": first(F.when(F.col("out"), F.greatest(with_out, with_any)).otherwise(with_out)), "long": first(with_any)})
+    firsts = d.select("centre", "row", "root", "size", "out", "d", "short", (F.col("d") - F.col("own")).alias("rest"), F.posexplode(F.slice("order", F.lit(1), F.when(F.col("out"), F.greatest("short", "long")).otherwise(F.col("short")))).alias("at", "h"))
+    firsts = cut(firsts.withColumn("rest", F.col("rest") - F.col("at")))
+    a, b = firsts.where("out").alias("a"), firsts.where("at < short").alias("b")
+    enough = (F.col("a.d") + F.col("b.d") - far * (F.col("a.size") + F.col("b.size"))) / 2 - 1e-9 <= F.least("a.rest", "b.rest")
+    once = ~F.col("b.out") | (F.col("a.at") < F.col("a.short")) & (F.col("a.row") < F.col("b.row"))
+    pairs = a.join(b.hint("merge"), (F.col("a.centre") == F.col("b.centre")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & once & enough).select(F.col("a.row").alias("u"), F.col("b.row").alias("v"))
+    return both.where("alike AND NOT near").select(F.col("row").alias("u"), F.col("centre").alias("v")), pairs
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -1,6 +1,8 @@
 """The near-dedup stage against all pairs' exact similarity."""
 
 import random
+import zlib
+from collections import Counter
 
 from mnemolith.llm import simhash
 
@@ -120,3 +122,68 @@ def test_recall_on_a_table(spark):
     gone = set(sets) - {r.doc_id for r in simhash.drop_near(docs).collect()}
     assert wanted and gone <= wanted
     assert len(gone) >= 0.99 * len(wanted)
+
+
+def edited(n=300, seed=11):
+    """Near copies of one text with few to many edits: alike the text, alike each other only, or alike none."""
+    rng = random.Random(seed)
+    base = [f"x{i}" for i in range(150)]
+    rows = [" ".join(base)]
+    for k in range(n):
+        copy = list(rng.choice(rows).split() if k % 5 == 0 else base)
+        for i in rng.sample(range(150), rng.randrange(1, 16)):
+            copy[i] = f"y{rng.randrange(40)}"
+        rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_unlike_rows_of_a_large_group_make_few_pairs(spark, monkeypatch):
+    rows = edited()
+    made, cut = [], simhash.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["u", "v"]:
+            made.append(out.count())
+        return out
+
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if alike(a, b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    wanted = [i for i, _ in rows if root(i) == i]
+    assert 50 < len(wanted) < 250
+    monkeypatch.setattr(simhash, "cut", counted)
+    got = sorted(r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == wanted
+    assert max(made) < 5 * len(rows)
+
+
+def test_differences_lose_no_pair(spark):
+    """Around any centre, all pairs alike of which one row at least isn't alike the centre."""
+    sets = {i: sorted({zlib.crc32(x.encode()) for x in shingles(t)}) for i, t in edited(120, 3)}
+    often = Counter(x for s in sets.values() for x in s)
+    shared = [(i, len(s), sorted((x for x in s if often[x] > 1), key=lambda x: (often[x], x))) for i, s in sets.items()]
+
+    def like(i, j):
+        n = len(set(sets[i]) & set(sets[j]))
+        return n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)
+
+    for centre in (0, 17, 60):
+        # some rows are of the centre's component already
+        joined = {i for i in sets if i % 3 == 0 and like(i, centre)} | {centre}
+        places = [(centre, -1, i, -1 if i in joined else i) for i in sets if i != centre]
+        links, pairs = simhash.by_differences(spark.createDataFrame(places, "centre long, centre_root long, row long, root long"), spark.createDataFrame(shared, "row long, size int, hashes array<long>"), 0.8)
+        assert {(r.u, r.v) for r in links.collect()} == {(i, centre) for i in sets if i not in joined and like(i, centre)}
+        found = {frozenset((r.u, r.v)) for r in pairs.collect()}
+        wanted = {frozenset((i, j)) for i in sets for j in sets if i < j and centre not in (i, j) and like(i, j) and not (like(i, centre) and like(j, centre)) and not (i in joined and j in joined)}
+        assert wanted <= found and len(wanted) > 10
