@@ -328,7 +328,9 @@ def near_roots(rows: DataFrame, words: int = 5, similarity: float = 0.8, max_dis
         return roots
     # a class's centre is its member with the most links: classes of one group mostly have the same
     degrees = found.select(F.explode(F.array("u", "v")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
-    ranked = members.join(left.select("class").distinct().hint("merge"), "class", "left_semi").join(degrees.hint("merge"), "row", "left")
+    # the classes are written, so Spark can split a large one
+    opened = cut(left.select("class").distinct().coalesce(tasks))
+    ranked = members.join(opened.hint("merge"), "class", "left_semi").join(degrees.hint("merge"), "row", "left")
     centres = cut(ranked.groupBy("class").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("row"), "row")).alias("m")).select("class", F.col("m.row").alias("centre")).coalesce(tasks))
     centres = centres.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root")).hint("merge"), "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
     places = cut(left.join(centres.hint("merge"), "class").where("row <> centre").select("centre", "centre_root", "row", "root").distinct().coalesce(tasks))
