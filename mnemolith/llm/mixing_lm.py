@@ -45,11 +45,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +58,10 @@ from mnemolith.session import bounded_batches, cut
 
 #: The end token and the escape as table keys; words are never empty and hold no blank.
 END, ESCAPE = b"", b" "
-#: Words between refinements of the weights, words and bytes that are worked on at once.
-BLOCK, AT_ONCE, BYTES = 64, 20_480, 8_000_000
+#: Words between refinements of the weights, words and bytes that are worked on at once, bytes whose equal words and pairs are counted together.
+BLOCK, AT_ONCE, BYTES, TOGETHER = 64, 20_480, 8_000_000, 4_000_000
+#: Levels of a tree whose nodes have their slots side by side, so that they come from memory together.
+LEVELS = 4
 #: Predictors of a bit, gates of coded and of spelled bits, tables of slots (three of coded bits, one of spelled).
 INPUTS, GATES, TABLES = 4, 32, 6
 #: The tables of coded and of spelled bits' contexts.
@@ -75,7 +77,7 @@ DRAWN = ((4.0, 16.0, 4.0), (4.0, 4.0, 4.0, 4.0))
 #: First weights of the predictors, for coded and for spelled bits.
 FIRST = np.repeat(np.array([[1.0, 0.8, 0.8, 0.8], [1.0, 1.0, 0.7, 0.3]], np.float32).T, GATES // 2, axis=1)
 RATE = 0.02
-EDGE = b".,;:!?()\"'"
+EDGE = np.isin(np.arange(256), np.frombuffer(b".,;:!?()\"'", np.uint8))
 
 
 Code = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -108,11 +110,16 @@ def alphabetic(keys: list, counts: list[int]) -> Code:
     return np.cumsum(number) - number, number, flat[:, 0].copy(), flat[:, 1].astype(np.int8), np.array(ones, np.float32)[flat[:, 0]] if len(flat) else np.empty(0, np.float32)
 
 
+def split(texts: pa.Array) -> pa.Array:
+    """A list of words for each text, and empty ones beside leading and closing blanks."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+
+
 class Tokens:
     """Tokens of some texts: kinds (the distinct tokens), of each token its kind, its text, and its place there."""
 
     def __init__(self, texts: pa.Array):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+        lists = split(texts)
         coded = lists.flatten().dictionary_encode()
         self.kinds: list[bytes] = coded.dictionary.cast(pa.large_binary()).to_pylist()
         kind = coded.indices.to_numpy().astype(np.int64)
@@ -141,11 +148,52 @@ def runs(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         yield a, texts.take(pa.array(range(a, len(size))))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The first column of batches that hold TOGETHER bytes, so that what they share is worked out once."""
+    some, n = [], 0
+    for b in batches:
+        some.append(b.column(0))
+        n += some[-1].nbytes
+        if n >= TOGETHER:
+            yield pa.concat_arrays(some)
+            some, n = [], 0
+    if some:
+        yield pa.concat_arrays(some)
+
+
 def _mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
+def side_by_side(code: Code, factor: int) -> np.ndarray:
+    """At each place of a code: the hash of the node LEVELS or fewer levels up where a run of slots begins, and in its low bits which slot of it is the place's."""
+    first, number, nodes, bits, _ = code
+    at = np.arange(len(nodes))
+    depth = (at - np.repeat(first, number)) % LEVELS
+    which = np.ones(len(nodes), np.int64)
+    for d in range(1, LEVELS):
+        deep = at[depth == d]
+        which[deep] = 2 * which[deep - 1] + bits[deep - 1]
+    low = np.uint64((1 << LEVELS) - 1)
+    return (nodes[at - depth].astype(np.uint64) + np.uint64(1)) * np.uint64(factor) & ~low | which.astype(np.uint64)
+
+
+def hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word a hash of its last three bytes, closing punctuation left out, and one of the whole."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    b = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    starts, here = np.cumsum(size) - size, np.arange(len(b))
+    whole = np.add.reduceat(_mix64((b + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + (here - np.repeat(starts, size)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts)
+    inner = ~EDGE[b]
+    inner[starts + size - 1] = False
+    last = np.maximum.accumulate(np.where(inner, here, -1))[starts + size - 1]
+    ends = np.ones(len(words), np.uint64)
+    for k in range(3):
+        ends = ends * np.uint64(257) + np.where(last - k >= starts, b[np.maximum(last - k, 0)] + np.uint64(1), np.uint64(0))
+    return _mix64(ends * np.uint64(0x9E3779B97F4A7C15)), _mix64(whole)
+
+
 class Coder:
     """Turns tokens into bit events: place in the code, bit, and slots of the predictors."""
 
@@ -153,24 +201,27 @@ class Coder:
         self.index = {w: k for k, w in enumerate(vocabulary)}
         self.code, self.spelling, self.slots = code, spelling, slots
         self.escape = self.index[ESCAPE]
-        self.keys = [(c[2].astype(np.uint64) + np.uint64(1)) * np.uint64(k) for c, k in ((code, 0x9E3779B97F4A7C15), (spelling, 0xD1342543DE82EF95))]
+        self.keys = [side_by_side(c, k) for c, k in ((code, 0x9E3779B97F4A7C15), (spelling, 0xD1342543DE82EF95))]
+        self.prior, self.logit = ([f(c[4]) for c in (code, spelling)] for f in (lambda odds: odds / (1 + odds), np.log))
+        self.signs = [2 * c[3].astype(np.float32) - 1 for c in (code, spelling)]
+        #: Bits that a context leaves free for a symbol.
+        self.symbols = np.uint64((1 << len(vocabulary).bit_length()) - 1)
 
     def look(self, t: Tokens) -> tuple[np.ndarray, ...]:
         """Symbol of each token; hashes of the end of the token before it, of that whole token, and of the last two frequent ones before; the last of those."""
-        get, escape, hash_of = self.index.get, self.escape, xxhash.xxh64_intdigest
-        symbol = np.fromiter((get(w, escape) for w in t.kinds), np.int64, len(t.kinds))[t.kind]
+        get, escape = self.index.get, self.escape
+        symbol = np.fromiter(map(get, t.kinds, repeat(escape)), np.int64, len(t.kinds))[t.kind]
         ends, whole = np.zeros(len(symbol), np.uint64), np.zeros(len(symbol), np.uint64)
         later = t.place[1:] > 0
-        for context, of in ((ends, lambda w: hash_of(w.rstrip(EDGE)[-3:], 1)), (whole, lambda w: hash_of(w, 2))):
-            own = np.fromiter(map(of, t.kinds), np.uint64, len(t.kinds))[t.kind[:-1]]
-            context[1:][later] = own[later]
+        for context, own in zip((ends, whole), hashes(t.kinds)):
+            np.copyto(context[1:], (own & ~self.symbols)[t.kind[:-1]], where=later)
         here = np.arange(len(symbol))
         start = here - t.place
         frequent = np.concatenate([[-1], np.maximum.accumulate(np.where(symbol < FREQUENT, here, -1))])
         last = frequent[:-1]  # before the token; -1 or before its text if there is none
         last2 = np.where(last >= start, frequent[np.maximum(last, 0)], -1)
         one, two = (np.where(x >= start, symbol[x], FREQUENT).astype(np.uint64) for x in (last, last2))
-        return symbol, ends, whole, one * np.uint64(FREQUENT + 1) + two + np.uint64(1), one
+        return symbol, ends, whole, _mix64((one * np.uint64(FREQUENT + 1) + two + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & ~self.symbols, one
 
     def _events(self, code: tuple, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of each symbol, which symbol each bit is of, and its place in the code."""
@@ -180,19 +231,28 @@ class Coder:
         at += (code[0][symbol] - (np.cumsum(n) - n))[of]
         return n, of, at
 
-    def coded(self, symbol: np.ndarray, *contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bits of each token, places in the code, slots of its contexts)."""
+    def coded(self, symbol: np.ndarray, *contexts: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits of each token, places in the code, slots of its contexts); ``first`` is the table of the first of these."""
         n, word, at = self._events(self.code, symbol)
         key, slot = self.keys[0][at], np.empty((len(contexts), len(at)), np.int64)
+        low = key & np.uint64((1 << LEVELS) - 1)
+        key ^= low
         for k, c in enumerate(contexts):
             h = c[word]
             h ^= key
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h >>= np.uint64(64 - self.slots)
+            h ^= low
             slot[k] = h
-            slot[k] += OF_CODED[k] << self.slots
+            slot[k] += OF_CODED[first + k] << self.slots
         return n, at, slot
 
+    def pairs(self, symbol: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different pairs of a symbol and its context, and how often each is there."""
+        pair, n = np.unique(context | symbol.astype(np.uint64), return_counts=True)
+        own = pair & self.symbols
+        return own.astype(np.int64), pair ^ own, n
+
     def spelled(self, words: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bits of each word, places in the code, slots) of the bits that spell words, each with a closing space; ``kind`` tells the text's."""
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -213,12 +273,29 @@ class Coder:
         pasts.append(sofar - np.repeat(sofar[starts], size))
         n, char, at = self._events(self.spelling, raw.astype(np.int64))
         key, slot = self.keys[1][at], np.empty((len(pasts), len(at)), np.int64)
+        low = key & np.uint64((1 << LEVELS) - 1)
+        key ^= low
         for k, p in enumerate(pasts):
-            slot[k] = _mix64((p * np.uint64(0x9E3779B97F4A7C15))[char] + key) >> np.uint64(64 - self.slots)
+            h = _mix64(p * np.uint64(0x9E3779B97F4A7C15))[char]
+            h ^= key
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h >>= np.uint64(64 - self.slots)
+            h ^= low
+            slot[k] = h
             slot[k] += OF_SPELLED[k] << self.slots
         return np.add.reduceat(n, starts), at, slot
 
 
+class Wide:
+    """A table that is copied when a worker reads it: numpy asks for large memory pages, a pickle doesn't, and looking up places anywhere in a table on small pages takes longer."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def __reduce__(self):
+        return np.copy, (self.table,)
+
+
 class Scorer:
     """``table`` has a slot's counts of ones and of zeros in the upper and the lower 16 bits."""
 
@@ -227,19 +304,18 @@ class Scorer:
 
     def _counts(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often a 1 and a 0 followed."""
-        c = self.table[slot]
-        return (c >> np.uint32(16)).astype(np.float32), (c & np.uint32(0xFFFF)).astype(np.float32)
+        c = self.table[slot].astype("<u4", copy=False).view("<u2")
+        return c[1::2].astype(np.float32), c[::2].astype(np.float32)
 
     def inputs(self, kind: int, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what each predictor adds in log odds, gate) of coded (0) or spelled (1) bits."""
-        base = (self.coder.code, self.coder.spelling)[kind][4][at]
-        zero = 1 / (1 + base)
-        one = base * zero
+        one = self.coder.prior[kind][at]
+        zero = 1 - one
         x = np.empty((INPUTS, len(at)), np.float32)
-        gate = np.zeros(len(at), np.int64)
-        before = np.log(base) if kind == 0 else np.float32(0)
+        gate = np.full(len(at), kind, np.uint8)  # the upper half is of spelled bits
+        before = np.float32(0)
         if kind == 0:
-            x[0] = before
+            before = x[0] = self.coder.logit[0][at]
             k = DRAWN[0][2]
             a, b = self._counts(slot[2])
             a += k * one
@@ -256,7 +332,7 @@ class Scorer:
                 n = a + b
                 gate *= 4
                 for least in SEEN:
-                    gate += n >= least
+                    gate += (n >= least).view(np.uint8)
             a += k * one
             b += k * zero
             odds = a / b
@@ -266,12 +342,11 @@ class Scorer:
             np.log(odds, out=odds)
             np.subtract(odds, before, out=x[i])
             before = odds
-        gate += GATES // 2 * kind
-        return x, gate
+        return x, gate.astype(np.int64)
 
-    def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each text's coded bits, and of each token's spelling (0 for those in the tree)."""
-        looked = self.coder.look(t)
+    def score(self, t: Tokens, looked: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text's coded bits, and of each token's spelling (0 for those in the tree); ``looked`` is what the coder says of the tokens."""
+        looked = looked or self.coder.look(t)
         symbol = looked[0]
         total, spelt = np.zeros(len(t.count)), np.zeros(len(symbol))
         ends, w, begin = np.cumsum(t.count), None, 0
@@ -283,59 +358,71 @@ class Scorer:
             else:
                 stop = min(begin + AT_ONCE, int(ends[t.of[begin]]))
             of, place = t.of[begin:stop], t.place[begin:stop]
-            docs = np.unique(of)
-            whose, block = of - docs[0], (place - place[0] if len(docs) == 1 else place) // BLOCK
+            docs = np.arange(of[0], of[-1] + 1)
+            block = (place - place[0] if len(docs) == 1 else place) // BLOCK
+            # the longest text first, so that the weights of those that go on are the first ones
+            docs = docs[np.argsort(-t.count[docs], kind="stable")]
+            rank = np.empty(len(docs), np.int64)
+            rank[docs - of[0]] = np.arange(len(docs))
+            whose = rank[of - of[0]]
             if w is None or place[0] == 0:
-                w = np.tile(FIRST, len(docs))
+                w = np.tile(FIRST.T, (len(docs), 1))
             # blocks of all texts come side by side, so that each step works on many
             order = np.argsort(block, kind="stable")
             whose, block = whose[order], block[order]
             own = symbol[begin:stop][order]
             edges = np.searchsorted(block, np.arange(block[-1] + 2))
+            live = (np.maximum.reduceat(whose, edges[:-1]) + 1) * GATES
             streams = []
             for kind in (0, 1):
                 if kind == 0:
                     n, at, slot = self.coder.coded(own, *(c[begin:stop][order] for c in looked[1:4]))
-                    its, word = edges, np.repeat(whose, n)
+                    its, word = edges, np.repeat(whose * GATES, n)
                 else:
                     strange = np.flatnonzero(own == self.coder.escape)
                     if not len(strange):
                         continue
                     n, at, slot = self.coder.spelled([t.kinds[k] for k in t.kind[begin:stop][order[strange]].tolist()], looked[4][begin:stop][order[strange]])
-                    its, word = np.searchsorted(strange, edges), np.repeat(whose[strange], n)
+                    its, word = np.searchsorted(strange, edges), np.repeat(whose[strange] * GATES, n)
                 x, gate = self.inputs(kind, at, slot)
-                gate += word * GATES
-                bit = (self.coder.code, self.coder.spelling)[kind][3][at]
-                streams.append((np.concatenate([[0], np.cumsum(n)])[its], bit.astype(np.float32), x, gate, np.zeros(len(at), np.float32), n))
-            for k in range(len(edges) - 1):
-                for at, y, x, cell, cost, _ in streams:
-                    a, z = int(at[k]), int(at[k + 1])
+                gate += word
+                x *= self.coder.signs[kind][at]  # for the bit that came, not for a 1
+                streams.append((np.concatenate([[0], np.cumsum(n)])[its].tolist(), x, gate, np.empty(len(at), np.float32), n))
+            for k, cells in enumerate(live.tolist()):
+                for at, x, cell, inverse, _ in streams:
+                    a, z = at[k], at[k + 1]
                     if a < z:
-                        cost[a:z] = self._step(w, y[a:z], x[:, a:z], cell[a:z])
-            total[docs] -= np.bincount(streams[0][3] // GATES, streams[0][4], len(docs))
-            if len(streams) > 1:
-                n = streams[1][5]
-                spelt[begin + order[strange]] = -np.add.reduceat(streams[1][4].astype(np.float64), np.cumsum(n) - n)
+                        self._step(w[:cells], x[:, a:z], cell[a:z], inverse[a:z])
+            for kind, (_, _, _, inverse, n) in enumerate(streams):
+                np.log(inverse, out=inverse)
+                each = np.add.reduceat(inverse, np.cumsum(n) - n, dtype=np.float64)
+                if kind == 0:
+                    total[docs] -= np.bincount(whose, each, len(docs))
+                else:
+                    spelt[begin + order[strange]] = -each
             begin = stop
         return total, spelt
 
-    def _step(self, w: np.ndarray, y: np.ndarray, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """Costs of a block's bits; takes one step along their gradient."""
-        s = w[0][cell]
-        s *= x[0]
+    def _step(self, w: np.ndarray, x: np.ndarray, cell: np.ndarray, inverse: np.ndarray) -> None:
+        """Sets the inverse probabilities of a block's bits; takes one step along the gradient of their costs."""
+        own = w.take(cell, axis=0)
+        s = own[:, 0] * x[0]
         for i in range(1, len(x)):
-            s += w[i][cell] * x[i]
+            s += own[:, i] * x[i]
         np.minimum(s, 16, out=s)
         np.maximum(s, -16, out=s)
-        e = np.exp(-s)
-        e += 1
-        error = y - 1 / e
-        s *= 1 - y
-        np.log(e, out=e)
-        s += e
+        np.negative(s, out=s)
+        np.exp(s, out=inverse)
+        inverse += 1
+        np.divide(-1, inverse, out=s)
+        s += 1
+        moved = np.empty((len(x), len(w)))
         for i in range(len(x)):
-            w[i] += RATE * np.clip(np.bincount(cell, error * x[i], w.shape[1]), -20, 20)
-        return s
+            moved[i] = np.bincount(cell, s * x[i], len(w))
+        np.minimum(moved, 20, out=moved)
+        np.maximum(moved, -20, out=moved)
+        moved *= RATE
+        w += moved.T
 
 
 def token_counts(training: DataFrame) -> DataFrame:
@@ -346,12 +433,13 @@ def token_counts(training: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
 
         found: Counter[bytes] = Counter()
-        for b in batches:
-            for _, texts in runs(b.column(0)):
-                t = Tokens(texts)
-                for w, n in zip(t.kinds, np.bincount(t.kind, minlength=len(t.kinds)).tolist()):
-                    if n:
-                        found[w] += n
+        for column in gathered(batches):
+            for _, texts in runs(column):
+                words, n = split(texts).flatten().value_counts().flatten()
+                found[END] += len(texts)
+                for w, k in zip(words.cast(pa.large_binary()).to_pylist(), n.to_pylist()):
+                    if w:  # blanks that lead and close give empty ones
+                        found[w] += k
                 if len(found) > 500_000:
                     yield out(found)
                     found = Counter()
@@ -378,26 +466,31 @@ def context_counts(training: DataFrame, shared, slots: int) -> np.ndarray:
                 kept = x[some] if sparse else x
                 yield pa.record_batch([pa.array([p], pa.int32()), pa.array([some.astype("<u4").tobytes() if sparse else b""], pa.binary()), pa.array([kept.astype("<u2" if kept.max() < 1 << 16 else "<u4").tobytes()], pa.binary())], names=["piece", "slots", "counts"])
 
-    def add(table: np.ndarray, bit: np.ndarray, slot: np.ndarray) -> None:
-        for s in slot:
-            s *= 2
-            s += bit
-            np.add.at(table, s, np.uint32(1))
+    def add(table: np.ndarray, bit: np.ndarray, slot: np.ndarray, n: np.ndarray) -> None:
+        slot *= 2
+        slot += bit
+        np.add.at(table, slot, n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *given, once = shared.value
         coder, table = Coder(*given), np.zeros(2 * size, np.uint32)
-        for b in batches:
-            for _, texts in runs(b.column(0)):
+        for column in gathered(batches):
+            for _, texts in runs(column):
                 t = Tokens(texts)
                 *every, kind = coder.look(t)
+                for i, context in enumerate(every[1:]):
+                    own, its, often = coder.pairs(every[0], context)
+                    often = often.astype(np.uint32)
+                    for k in range(0, len(own), AT_ONCE):
+                        n, at, (slot,) = coder.coded(own[k : k + AT_ONCE], its[k : k + AT_ONCE], first=i)
+                        add(table, coder.code[3][at], slot, np.repeat(often[k : k + AT_ONCE], n))
                 for k in range(0, len(t.kind), AT_ONCE):
-                    _, at, slot = coder.coded(*(x[k : k + AT_ONCE] for x in every))
-                    add(table, coder.code[3][at], slot)
                     rare = np.flatnonzero(once[every[0][k : k + AT_ONCE]]) + k
                     if len(rare):
                         _, at, slot = coder.spelled([t.kinds[i] for i in t.kind[rare].tolist()], kind[rare])
-                        add(table, coder.spelling[3][at], slot)
+                        bit, one = coder.spelling[3][at], np.ones(len(at), np.uint32)
+                        for s in slot:
+                            add(table, bit, s, one)
         yield from pieces(table)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,8 +539,10 @@ def lm_scores(docs: DataFrame, parts: int = 5, held: int = 1, words: int = 1 <<
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text_or_empty(text_col).alias("text"), (crc_mod(id_col, parts) == held).alias("held_out"))
     training = rows.where("not held_out")
     counts = cut(token_counts(training))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.sum(F.when(F.length("token") == 0, F.col("n"))).alias("ends")).first()
     known = frequent_tokens(counts, words)
+    if total.ends:
+        known.setdefault(END, total.ends)  # in the tree, however rare
     rest = total.n - sum(known.values())
     # of what is escaped, the share that is new
     escaped = rest + total.once + 1
@@ -460,18 +555,19 @@ def lm_scores(docs: DataFrame, parts: int = 5, held: int = 1, words: int = 1 <<
     slots = min(slots, max(12, (total.n + 1).bit_length()))
     once = np.array([known.get(s, 0) == 1 and s != END for s in symbols[:-1]] + [True])
     shared = spark.sparkContext.broadcast((symbols, code, spelling, slots, once))
-    model = spark.sparkContext.broadcast((context_counts(training, shared, slots), known))
+    model = spark.sparkContext.broadcast((Wide(context_counts(training, shared, slots)), np.array([*(known.get(s, 0) for s in symbols[:-1]), 0])))
     n_all, norm = total.n, math.log10(total.n + 0.5 * (total.v + 1))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = model.value
         scorer = Scorer(Coder(*shared.value[:4]), table)
-        logs = {w: math.log10(n + 0.5) for w, n in known.items()}
+        logs = np.log10(known + 0.5)
         for b in batches:
             for first, texts in runs(b.column(1)):
                 t, size = Tokens(texts), len(texts)
-                log = np.fromiter((logs.get(w, np.nan) for w in t.kinds), float, len(t.kinds))[t.kind]
-                top, (score, spelt) = ~np.isnan(log), scorer.score(t)
+                symbol, *_ = looked = scorer.coder.look(t)
+                score, spelt = scorer.score(t, looked)
+                log, top = logs[symbol], known[symbol] > 0
                 # the tokens outside the tree, with the cost of their spelling
                 other = np.flatnonzero(spelt)
                 offsets = pa.array(np.searchsorted(t.of[other], np.arange(size + 1)).astype(np.int32))

@@ -67,6 +67,57 @@ def test_odd_rows(spark, odd, empty):
     assert mixing_lm.lm_scores(empty, slots=16).count() == 0
 
 
+def test_an_end_rarer_than_the_words(spark):
+    compare(spark.createDataFrame([(k, "a b c d " * 30 + f"e{k}") for k in range(10)], "doc_id long, text string"), words=4, slots=16)
+
+
+def test_a_symbols_slots_are_side_by_side():
+    """Four levels of a tree touch one run of 16 slots in each table, and no slot of it twice, so that reading them costs little."""
+    coder = small_model(slots=18).coder
+    contexts = [np.array([c], np.uint64) for c in (5 << 40, 6 << 40, 7 << 40)]
+    for symbol in range(len(coder.code[1])):
+        number, _, slot = coder.coded(np.array([symbol]), *contexts)
+        for s in slot:
+            for k in range(0, int(number[0]), 4):
+                run = s[k : k + 4]
+                assert len(set((run // 16).tolist())) == 1 and len(set(run.tolist())) == len(run)
+
+
+def test_pairs_count_what_tokens_do():
+    """Counted by different pairs of a symbol and its context, the slots get what they get token by token."""
+    coder = small_model().coder
+    t = mixing_lm.Tokens(pa.array(["the cat and the cat and the dog sat", "the cat sat.", "", "the hat (and) the cat"]))
+    symbol, *contexts, _ = coder.look(t)
+    for i, context in enumerate(contexts):
+        single, paired = Counter(), Counter()
+        _, at, (slot,) = coder.coded(symbol, context, first=i)
+        single.update(zip(slot.tolist(), coder.code[3][at].tolist()))
+        own, its, often = coder.pairs(symbol, context)
+        assert len(own) < len(symbol)
+        n, at, (slot,) = coder.coded(own, its, first=i)
+        for s, bit, k in zip(slot.tolist(), coder.code[3][at].tolist(), np.repeat(often, n).tolist()):
+            paired[s, bit] += k
+        assert single == paired
+
+
+def test_context_counts_against_plain_counts(spark):
+    """The distributed tables, merged, against one pass over all tokens."""
+    coder = small_model(slots=12).coder
+    texts = ["the cat sat on the mat", None, "a dog and xylophone xylophone", "le chat et le chien", "the cat sat on the mat"] * 3
+    once = np.arange(len(coder.code[1])) == coder.escape
+    shared = spark.sparkContext.broadcast(([*coder.index], coder.code, coder.spelling, 12, once))
+    df = spark.createDataFrame([(x or "",) for x in texts], "text string").repartition(3)
+    wanted = np.zeros((mixing_lm.TABLES << 12, 2), np.int64)
+    for x in texts:
+        t = mixing_lm.Tokens(pa.array([x or ""]))
+        symbol, *contexts, kind = coder.look(t)
+        rare = np.flatnonzero(symbol == coder.escape)
+        for c, (_, at, slot) in ((coder.code, coder.coded(symbol, *contexts)), *([(coder.spelling, coder.spelled([t.kinds[k] for k in t.kind[rare]], kind[rare]))] if len(rare) else [])):
+            for s in slot:
+                np.add.at(wanted, (s, c[3][at]), 1)
+    assert (mixing_lm.context_counts(df, shared, 12) == (wanted[:, 1] << 16 | wanted[:, 0])).all()
+
+
 def small_model(slots=14):
     """A coder over a few words, and tables filled from a few texts."""
     texts = ["the cat sat on the mat with the hat", "a cat and a dog sat on a log", "le chat et le chien", "the dog and the cat the mat"] * 5 + ["one new word", "xylophone of the year"]
