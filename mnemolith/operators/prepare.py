@@ -150,11 +150,15 @@ def keep_first(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
 
 def fill_exactly(pieces: DataFrame, budget: Column) -> DataFrame:
     """Of ordered pieces (key, rank, token_ids), repeated in turn as often as needed, exactly ``budget`` tokens: (key, round, rank, take)."""
-    by = Window.partitionBy("key")
-    sized = pieces.withColumn("n", F.size("token_ids")).withColumn("all", F.sum("n").over(by)).where("n > 0")
+    return fill_sizes(pieces.withColumn("n", F.size("token_ids")), budget)
+
+
+def fill_sizes(pieces: DataFrame, budget: Column, *keep: str) -> DataFrame:
+    """``fill_exactly`` by the pieces' sizes (key, rank, n), whose tokens may be elsewhere; columns to ``keep`` come last."""
+    sized = pieces.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("n > 0")
     rounds = sized.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((budget - 1) / F.col("all")))))
     before = F.col("round") * F.col("all") + F.coalesce(F.sum("n").over(Window.partitionBy("key", "round").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rounds.withColumn("take", F.least(F.col("n"), budget - before)).where("take > 0").select("key", "round", "rank", F.col("take").cast("int").alias("take"))
+    return rounds.withColumn("take", F.least(F.col("n"), budget - before)).where("take > 0").select("key", "round", "rank", F.col("take").cast("int").alias("take"), *keep)
 
 
 def stratified_start(insertion: Column, target: Column, latest_end: Column, block: int, bins: int, bin_index: Column, key: Column, seed: int) -> Column:

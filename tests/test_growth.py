@@ -77,3 +77,46 @@ def test_texts_are_not_put_in_order(spark, monkeypatch):
     taken = [(t, i) for t, i, _, _ in ways[0]]
     assert [t for t, _ in taken].count(100) == 8 and [t for t, _ in taken].count(101) == 0
     assert sorted(i for t, i in taken if t == 3) == [i for i in range(30) if i % 5 != 2 and i != 3]
+
+
+def test_answers_that_most_texts_hold_are_listed(spark, monkeypatch):
+    # targets of one answer that 7 of 400 texts are free of don't each read to where these are; some texts are targets too
+    most, real = [], synthesis.cut
+
+    def cut(df):
+        out = real(df)
+        if "from" in out.columns:
+            most.append(out.agg(F.sum("from")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(synthesis, "cut", cut)
+    texts = [(i, "free" if i % 57 == 3 else f"Common {i}", 1 + i % 2) for i in range(400)]
+    targets = [(i, "COMMON", 1 + i % 12) for i in range(3, 1000, 9)] + [(2000, "o", 40), (2001, "e", 2), (2002, "7", 9)]
+    got = synthesis.read_on(spark.createDataFrame(targets, "target_id long, answer string, need int"), spark.createDataFrame(texts, "text_id long, text string, size int"), 6).collect()
+    ranked = sorted(texts, key=lambda t: (hashlib.sha256(f"6:{t[0]}".encode()).hexdigest(), str(t[0])))
+    for target, answer, need in targets:
+        b = int(hashlib.sha256(f"6:start:{target}".encode()).hexdigest()[:12], 16) % 400
+        wanted, total = [], 0
+        for i, text, size in ranked[b:] + ranked[:b]:
+            if i != target and answer.lower() not in text.lower() and total < need:
+                wanted.append((i, size))
+                total += size
+        assert [(r.text_id, r["size"]) for r in sorted((r for r in got if r.target_id == target), key=lambda r: r["rank"])] == wanted
+    assert max(most) <= 400 * 3
+
+
+def test_answerable_against_all_pairs(spark):
+    # by the shortest texts, by all texts, by one's own text only, and by none
+    texts = [(str(i), f"every ab {i}" + " x" * i, 1) for i in range(40)] + [("40", "EVERY abc xyz without it", 1), ("41", "nothing", 0), ("42", None, 1)]
+    targets = [("a", "every"), ("b", "AB 3"), ("40", "ab "), ("39", "ab "), ("c", "x"), ("0", "x"), (None, "z"), ("d", None), ("e", ""), ("5", "y ab 7 x")]
+    got = synthesis.answerable(spark.createDataFrame(targets, "target_id string, answer string"), spark.createDataFrame(texts, "text_id string, text string, size int"))
+    assert got.columns == ["target_id", "answer"]
+    assert sorted(map(tuple, got.collect())) == sorted((t, a) for t, a in targets if t is not None and a is not None and any(i != t and x is not None and n > 0 and a.lower() not in x.lower() for i, x, n in texts))
+
+
+def test_a_piece_moves_once(spark):
+    # the tokens of what lies between meet their targets in one join, for both sides of the evidence
+    rows = [(f"e{i:02d}", f"What is {i}?", f"a{i:02d}", f"User: evidence {i}", f"User: other words {i}") for i in range(12)]
+    made = synthesis.long_sequences(spark.createDataFrame(rows, "example_id string, question string, answer string, evidence string, conversation string"), tokens.chars, 768, placement="stratified", block=16, local=64, most_answer=32)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"slice\(token_ids#\d+, 1, take", plan)) == 1
