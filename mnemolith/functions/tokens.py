@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,28 +26,53 @@ PIECES = "array<struct<id:int,start:int,end:int>>"
 TURN = "{role}: {content}"
 #: A word: the white space that parts words is that of Java's \s.
 WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+#: Characters of texts that are cut into words at once, words of a run, and the ids that a worker keeps.
+CHUNK, RUN, MOST_KNOWN = 1 << 20, 1 << 16, 1 << 18
+KNOWN: dict[str, int] = {}
+
+
+def word_ids(words: list[str]) -> np.ndarray:
+    """The words' ids; a worker keeps those that it has met until there are too many."""
+    new = set(words).difference(KNOWN)
+    if len(KNOWN) + len(new) > MOST_KNOWN:
+        KNOWN.clear()
+        new = set(words)
+    for w in new:
+        KNOWN[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:4], "big") >> 4
+    return np.fromiter(map(KNOWN.__getitem__, words), np.int32, len(words))
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, starts and ends of all words of the texts, and how many each text has: what is white space is found in all texts at once."""
+    text = "\n".join(texts)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = (points != 32) & ((points < 9) | (points > 13))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    sizes = np.diff(np.searchsorted(starts, begins))
+    # the words themselves are objects only for a run at a time
+    found = [word_ids(WORD.findall(text, int(starts[i]), int(ends[i : i + RUN][-1]))) for i in range(0, len(starts), RUN)]
+    before = np.repeat(begins[:-1], sizes)
+    return np.concatenate([np.empty(0, np.int32), *found]), (starts - before).astype(np.int32), (ends - before).astype(np.int32), sizes
 
 
 def blank(text: Column) -> Column:
-    """Words, with what a sum of the lengths before gives as offsets; one pass over a text, however long it is."""
+    """Words with their offsets; one pass over a text, however long it is."""
 
     @F.arrow_udf(PIECES)
     def words(texts: pa.Array) -> pa.Array:
-        known: dict[str, int] = {}
-        ids_, starts, ends, sizes, missing = array("i"), array("i"), array("i"), [0], []
+        each, chunk, chars_ = [], [], 0
         for t in texts.to_pylist():
-            for m in WORD.finditer(t or ""):
-                word = m[0]
-                i = known.get(word)
-                if i is None:
-                    i = known[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big") >> 4
-                ids_.append(i)
-                starts.append(m.start())
-                ends.append(m.end())
-            sizes.append(len(ids_))
-            missing.append(t is None)
-        each = pa.StructArray.from_arrays([pa.array(np.frombuffer(x, np.int32)) for x in (ids_, starts, ends)], names=["id", "start", "end"])
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each, mask=pa.array(missing, pa.bool_()))
+            chunk.append(t or "")
+            if (chars_ := chars_ + len(chunk[-1])) > CHUNK:
+                each.append(words_of(chunk))
+                chunk, chars_ = [], 0
+        each.append(words_of(chunk))
+        *columns, sizes = (np.concatenate(x) for x in zip(*each))
+        ends = np.cumsum([0, *sizes])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in columns], names=["id", "start", "end"]), mask=texts.is_null())
 
     return words(text)
 

@@ -81,7 +81,7 @@ def _lists(answers: DataFrame, sound: DataFrame, pool: DataFrame) -> DataFrame:
     """(answer, place, text_id, size) of all places whose texts don't hold the answer: the answers go to the texts, which stay where they are."""
     lower = sound.select("text_id", "__h", F.lower("text").alias("text"))
     free = lower.join(F.broadcast(answers), ~F.contains("text", F.col("answer"))).select("answer", "text_id", "__h")
-    return free.join(pool, ["text_id", "__h"]).select("answer", "place", "text_id", "size")
+    return cut(free.join(pool, ["text_id", "__h"]).select("answer", "place", "text_id", "size"))
 
 
 def _begun(targets: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:

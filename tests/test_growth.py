@@ -120,3 +120,15 @@ def test_a_piece_moves_once(spark):
     made = synthesis.long_sequences(spark.createDataFrame(rows, "example_id string, question string, answer string, evidence string, conversation string"), tokens.chars, 768, placement="stratified", block=16, local=64, most_answer=32)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"slice\(token_ids#\d+, 1, take", plan)) == 1
+
+
+def test_words_of_many_texts_at_once(monkeypatch):
+    # in runs of two words, with three ids kept: as one pass over each text
+    monkeypatch.setattr(tokens, "RUN", 2)
+    monkeypatch.setattr(tokens, "MOST_KNOWN", 3)
+    texts = ["", "é  🙂x\ta\x1cb", " \n", "a b a c a d e", "\x0c\ra "]
+    ids, starts, ends, sizes = tokens.words_of(texts)
+    words = [m for t in texts for m in re.finditer(r"[^ \t\n\x0b\f\r]+", t)]
+    assert ids.tolist() == [int(hashlib.md5(m[0].encode()).hexdigest()[:7], 16) for m in words]
+    assert [(a, b) for a, b in zip(starts.tolist(), ends.tolist())] == [m.span() for m in words] and sizes.tolist() == [0, 3, 0, 7, 1]
+    assert len(tokens.KNOWN) <= 3 and tokens.words_of([])[0].size == 0
